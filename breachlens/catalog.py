@@ -3,7 +3,7 @@
 Every query starts from the driver tables via the stand-in log, so its work
 grows with ``lineitem``. Queries downstream of a score use the deterministic
 proxy score (so a DuckDB oracle can check them); the model queries train on
-the same summary.
+the same summary with small forests (the job defaults stay 300 trees, depth 12).
 """
 
 from __future__ import annotations
@@ -13,11 +13,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.operators import decide, metrics, reports, summary
+from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
+from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
+from breachlens.plans import scoring, training
+from breachlens.schema import EVENT_LOG_SCHEMA, KEY, LABEL, PROB
+from breachlens.session import shared_dir
+from breachlens.sources import event_log as src
+from breachlens.sources import sinks
 from breachlens.sources.stand_in import stand_in_event_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Dashboard state used by the list-view queries (the reference's widget values).
+LIST_BANDS = ("High", "Medium")
+LIST_MIN_PROB = 0.35
+LIST_SORT = "reassignment_count_max"
+SEARCH_QUERY = "c0+1[0-9]3"
+LIST_QUERY = "1"
+DETAIL_NUMBER = "INC0000001"
+# Small model settings for the registered checks.
+QUICK = training.TrainConfig(rf_trees=20, rf_max_depth=6, lr_max_iter=100)
+
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in_event_log(spark, sf_dir)
@@ -31,27 +47,123 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.proxy_scored(incidents(spark, sf_dir))
 
 
-def _q_incident_summary(spark, d):
-    return incidents(spark, d)
+# ── sources / sinks ──────────────────────────────────────────────────────────
+
+def _q_scan_event_log(spark, d):
+    path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "event-log-csv"))
+    return src.read_event_log(spark, path, schema=EVENT_LOG_SCHEMA.__class__(
+        [f for f in EVENT_LOG_SCHEMA.fields if f.name not in ("closed_at", "sys_created_at")]))
+
+
+def _q_parse_event_dates(spark, d):
+    log = event_log(spark, d)
+    cols = ("opened_at", "resolved_at", "sys_updated_at")
+    as_text = log.select(KEY, "event_seq", *[F.date_format(c, src.DAY_FIRST).alias(c) for c in cols])
+    return src.parse_event_dates(as_text)
+
+
+def _q_normalise_made_sla(spark, d):
+    return src.normalise_made_sla(event_log(spark, d).select(KEY, "event_seq", "made_sla"))
+
+
+def _q_export_scored(spark, d):
+    s = scored(spark, d)
+    path = sinks.export_scored(s, shared_dir(spark, "scored-csv"))
+    return sinks.read_exported(spark, path, s.schema)
+
+
+def _q_log_profile(spark, d):
+    return src.log_profile(event_log(spark, d))
+
+
+# ── model queries (fitted once per session and data folder) ──────────────────
+
+_FITTED: dict = {}
+
+
+def _fitted(spark, d, cfg=QUICK):
+    k = (id(spark), d, cfg)
+    if k not in _FITTED:
+        prep = training.prepare(incidents(spark, d), cfg)
+        models = training.train_candidates(prep, cfg)
+        evals = training.evaluate_candidates(models, prep.test).checkpoint()
+        _FITTED[k] = (prep, models, evals)
+    return _FITTED[k]
+
+
+def _best_model(spark, d):
+    prep, models, evals = _fitted(spark, d)
+    return models[training.pick_best(evals).first()["name"]]
+
 
+def _q_model_roundtrip(spark, d):
+    prep, models, evals = _fitted(spark, d)
+    best = _best_model(spark, d)
+    path = training.save_model(best, shared_dir(spark, "best-model"))
+    loaded = training.load_model(path)
+    inc = incidents(spark, d)
+    a = scoring.score_incidents(best, inc, ranked=False).select(KEY, F.col(PROB).alias("p_saved"))
+    b = scoring.score_incidents(loaded, inc, ranked=False).select(KEY, F.col(PROB).alias("p_loaded"))
+    return a.join(b, KEY).withColumn("same", F.col("p_saved") == F.col("p_loaded"))
 
-def _q_ranked(spark, d):
-    return decide.ranked_incidents(scored(spark, d))
 
+def _q_score_new_log(spark, d):
+    # Model fitted on the parquet-derived log; the "uploaded" log is the CSV
+    # export of the event log read back through the CSV source.
+    model = _best_model(spark, d)
+    path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "upload-csv"))
+    return scoring.score_new_log(model, src.read_event_log(spark, path))
 
-def _q_kpi(spark, d):
-    return reports.kpi_overview(scored(spark, d))
+
+def _q_train(name):
+    def q(spark, d):
+        prep, models, evals = _fitted(spark, d)
+        m = models[name]
+        return spark.createDataFrame(
+            [(name, scoring.input_feature_count(m), len(m.stages))], "name string, n_inputs int, n_stages int")
+    return q
+
+
+def _q_train_candidates(spark, d):
+    prep, models, _ = _fitted(spark, d)
+    return spark.createDataFrame([(n, scoring.input_feature_count(m), len(m.stages)) for n, m in models.items()],
+                                 "name string, n_inputs int, n_stages int")
+
+
+def _q_training_job(spark, d):
+    from breachlens.plans.train_job import run_training
+    return run_training(spark, incidents(spark, d), shared_dir(spark, "training-job"), QUICK)
 
 
 QUERIES: dict[str, Query] = {
-    "incident_summary": _q_incident_summary,
-    "ranked_incidents": _q_ranked,
-    "kpi_overview": _q_kpi,
+    # A. sources / sinks
+    "scan_event_log": _q_scan_event_log,
+    "parse_event_dates": _q_parse_event_dates,
+    "normalise_made_sla": _q_normalise_made_sla,
+    "export_scored": _q_export_scored,
+    "model_roundtrip": _q_model_roundtrip,
+    "score_new_log": _q_score_new_log,
+    "log_profile": _q_log_profile,
+    # B. projections / filters / predicates
+    "summary_minimal_schema": lambda s, d: summary.incident_summary(event_log(s, d).select(KEY, "event_seq")),
+    "feature_projection": lambda s, d: features.feature_projection(incidents(s, d)),
+    "sla_label": lambda s, d: incidents(s, d).select(KEY, "made_sla", LABEL),
+    "resolution_hours": lambda s, d: summary.resolution_hours(event_log(s, d)),
+    "risk_band": lambda s, d: scored(s, d).select(KEY, PROB, risk_band(PROB).alias("risk_band")),
+    "recommended_action": lambda s, d: scored(s, d).select(
+        KEY, "risk_band", recommended_action(F.col("risk_band")).alias("recommended_action")),
+    "threshold_predict": lambda s, d: scored(s, d).select(KEY, PROB, threshold_predict(PROB, 0.5).alias("predicted")),
+    "filter_bands": lambda s, d: listing.filter_bands(scored(s, d), LIST_BANDS).select(KEY, PROB, "risk_band"),
+    "filter_min_prob": lambda s, d: listing.filter_min_prob(scored(s, d), LIST_MIN_PROB).select(KEY, PROB),
+    "search_incidents": lambda s, d: listing.search_incidents(scored(s, d), SEARCH_QUERY).select(KEY, PROB),
+    "incident_detail": lambda s, d: listing.incident_detail(scored(s, d), DETAIL_NUMBER),
+    # C. aggregations
     "total_events": lambda s, d: summary.total_events(event_log(s, d)),
     "sys_mod_stats": lambda s, d: summary.sys_mod_stats(event_log(s, d)),
     "first_non_null_attrs": lambda s, d: summary.first_non_null_attrs(event_log(s, d)),
     "last_sla_flag": lambda s, d: summary.last_sla_flag(event_log(s, d)),
-    "resolution_hours": lambda s, d: summary.resolution_hours(event_log(s, d)),
+    "incident_summary": lambda s, d: incidents(s, d),
+    "kpi_overview": lambda s, d: reports.kpi_overview(scored(s, d)),
     "band_counts": lambda s, d: reports.band_counts(scored(s, d)),
     "score_quantiles": lambda s, d: reports.score_quantiles(scored(s, d)),
     "score_histogram": lambda s, d: reports.score_histogram(scored(s, d)),
@@ -64,6 +176,59 @@ QUERIES: dict[str, Query] = {
     "threshold_sweep": lambda s, d: metrics.threshold_sweep(scored(s, d)),
     "roc_auc": lambda s, d: metrics.roc_auc(scored(s, d)),
     "classification_report": lambda s, d: metrics.classification_report(scored(s, d)),
+    "driver_stats": lambda s, d: explain.driver_stats(scored(s, d)),
+    # D. sorts / limits
+    "ranked_incidents": lambda s, d: decide.ranked_incidents(scored(s, d)),
+    "sort_incidents": lambda s, d: listing.sort_incidents(scored(s, d), "total_events", descending=False).select(
+        KEY, "total_events", PROB),
+    "incident_list": lambda s, d: listing.incident_list(scored(s, d), LIST_BANDS, LIST_MIN_PROB, LIST_SORT, True,
+                                                        LIST_QUERY),
+    "incident_list_count": lambda s, d: listing.incident_list_count(scored(s, d), LIST_BANDS, LIST_MIN_PROB),
+    # E. explanations
+    "risk_drivers": lambda s, d: explain.risk_drivers(scored(s, d)).select(
+        KEY, F.array_join("risk_drivers", " | ").alias("risk_drivers")),
+    "explain_offline": lambda s, d: explain.explain_offline(scored(s, d)),
+    "explanation_facts": lambda s, d: explain.explanation_facts(scored(s, d)).select(
+        KEY, "facts.sla_breach_probability", "facts.risk_level", "facts.recommended_action", "facts.key_factors.*"),
+    "explanation_prompts": lambda s, d: explain.explanation_prompts(scored(s, d)),
+    # F. ML preparation / training / evaluation
+    "stratified_split": lambda s, d: split.stratified_split(incidents(s, d)).select(KEY, LABEL, "split"),
+    "impute_numeric": lambda s, d: _impute_numeric(s, d),
+    "impute_categorical": lambda s, d: _impute_categorical(s, d),
+    "onehot_category_sizes": lambda s, d: _onehot_sizes(s, d),
+    "class_weights": lambda s, d: features.class_weights(_train_rows(s, d)),
+    "train_logreg": _q_train("logreg"),
+    "train_random_forest": _q_train("random_forest"),
+    "train_candidates": _q_train_candidates,
+    "evaluate_candidates": lambda s, d: _fitted(s, d)[2],
+    "pick_best": lambda s, d: training.pick_best(_fitted(s, d)[2]),
+    "score_incidents": lambda s, d: scoring.score_incidents(_best_model(s, d), incidents(s, d)),
+    "training_job": _q_training_job,
 }
 
-__all__ = ["QUERIES", "event_log", "incidents", "scored", "F"]
+
+def _train_rows(spark, d):
+    return split.stratified_split(incidents(spark, d)).where(F.col("split") == "train")
+
+
+def _feature_types(spark, d):
+    return features.split_feature_types(features.feature_projection(incidents(spark, d)))
+
+
+def _impute_numeric(spark, d):
+    num, _ = _feature_types(spark, d)
+    return features.numeric_medians(_train_rows(spark, d), num)
+
+
+def _impute_categorical(spark, d):
+    _, cat = _feature_types(spark, d)
+    return features.categorical_modes(_train_rows(spark, d), cat)
+
+
+def _onehot_sizes(spark, d):
+    _, cat = _feature_types(spark, d)
+    train = _train_rows(spark, d)
+    return features.onehot_category_sizes(train, cat, features.categorical_modes(train, cat))
+
+
+__all__ = ["QUERIES", "event_log", "incidents", "scored"]

@@ -191,3 +191,143 @@ SELECT CAST(count(*) AS BIGINT) AS total_incidents,
   CAST(count(*) FILTER (WHERE risk_band = 'Medium') AS DOUBLE) / count(*) AS medium_share,
   CAST(count(*) FILTER (WHERE risk_band = 'Low') AS DOUBLE) / count(*) AS low_share
 FROM scored""")
+
+# ── sources, projections, filters, lists, explanations, ML preparation ───────
+
+_LOG_COLS = ("number, event_seq, sys_mod_count, reassignment_count, reopen_count, category, subcategory, priority, "
+             "assignment_group, caller_id, opened_by, location, opened_at, resolved_at, sys_updated_at, made_sla")
+_RAW_FLAG = "lower(trim(made_sla, ' \t\n\r' || chr(11) || chr(12)))"
+_SCORED_COLS = ("number, total_events, sys_mod_count_max, sys_mod_count_mean, reassignment_count_max, "
+                "reopen_count_max, category, subcategory, priority, assignment_group, caller_id, opened_by, location, "
+                "opened_at_min, resolved_at_max, resolution_hours, made_sla, sla_breached, score_bp, "
+                "sla_breach_probability, risk_band, recommended_action")
+_LIST_COLS = ("number, sla_breach_probability, risk_band, recommended_action, priority, assignment_group, category, "
+              "subcategory, total_events, reassignment_count_max, reopen_count_max, resolution_hours")
+_LIST_WHERE = "risk_band IN ('High', 'Medium') AND sla_breach_probability >= 0.35"
+
+_SIG = (("reassignment_count_max", "Reassignment count", "ticket changed hands too many times"),
+        ("reopen_count_max", "Reopen count", "fix did not stick the first time"),
+        ("resolution_hours", "Resolution time", "slow closure pattern"),
+        ("total_events", "Total events", "lots of activity with no clear closure"))
+
+
+def _driver_case(col: str, label: str, note: str) -> str:
+    v, m, q = f"CAST({col} AS DOUBLE)", f"{col}_median", f"{col}_q75"
+    return (f"CASE WHEN {v} IS NOT NULL AND {m} IS NOT NULL AND {m} <> 0 AND {q} IS NOT NULL AND {q} <> 0 "
+            f"AND {v} >= {q} AND {v} > {m} THEN '**{label}** is ' || printf('%g', {v}) || ' ({note})' END")
+
+
+_STATS = ", st AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5) AS {c}_median, quantile_cont({c}, 0.75) AS {c}_q75" for c, _, _ in _SIG) + " FROM scored)"
+
+_PRIO = ("CASE WHEN contains(priority, '1') OR contains(priority, 'Critical') "
+         "THEN '**Priority is Critical.** Needs immediate escalation.' "
+         "WHEN contains(priority, '2') OR contains(priority, 'High') "
+         "THEN '**Priority is High.** Worth escalating early.' END")
+
+_FACTS = """number, sla_breach_probability, risk_band AS risk_level, recommended_action,
+  CAST(trunc(CAST(total_events AS DOUBLE)) AS BIGINT) AS total_events,
+  CAST(trunc(CAST(reassignment_count_max AS DOUBLE)) AS BIGINT) AS reassignment_count_max,
+  CAST(trunc(CAST(reopen_count_max AS DOUBLE)) AS BIGINT) AS reopen_count_max,
+  resolution_hours, priority, assignment_group, category"""
+
+_SPLIT = """
+, cls AS (SELECT sla_breached, count(*) AS n_c FROM inc GROUP BY 1)
+, q1 AS (SELECT sla_breached, n_c, n, n - CAST(ceil(0.2::DOUBLE * CAST(n AS DOUBLE)) AS BIGINT) AS n_train
+         FROM (SELECT *, sum(n_c) OVER () AS n FROM cls))
+, q2 AS (SELECT *, floor(CAST(n_c AS DOUBLE) / CAST(n AS DOUBLE) * CAST(n_train AS DOUBLE)) AS fl,
+           CAST(n_c AS DOUBLE) / CAST(n AS DOUBLE) * CAST(n_train AS DOUBLE)
+           - floor(CAST(n_c AS DOUBLE) / CAST(n AS DOUBLE) * CAST(n_train AS DOUBLE)) AS rem FROM q1)
+, q3 AS (SELECT *, n_train - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, sla_breached) AS rr FROM q2)
+, quota AS (SELECT sla_breached, n_c - (CAST(fl AS BIGINT) + CASE WHEN rr <= need THEN 1 ELSE 0 END) AS test_quota
+            FROM q3)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY sla_breached ORDER BY md5(coalesce(number, '') || '#42')) AS r
+         FROM inc)
+, parts AS (SELECT rk.*, CASE WHEN r <= test_quota THEN 'test' ELSE 'train' END AS split
+            FROM rk JOIN quota USING (sla_breached))
+, train AS (SELECT * FROM parts WHERE split = 'train')"""
+
+_NUM = ("total_events", "sys_mod_count_max", "sys_mod_count_mean", "reassignment_count_max", "reopen_count_max",
+        "resolution_hours")
+_CAT = ("category", "subcategory", "priority", "assignment_group", "caller_id", "opened_by", "location")
+
+
+def _mode_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, (SELECT CAST({c} AS VARCHAR) FROM train WHERE {c} IS NOT NULL "
+            f"GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS mode")
+
+
+_INC_ONLY = (LOG_CTE, INC_CTE)
+
+ORACLES.update({
+    "scan_event_log": with_ctes(f"SELECT {_LOG_COLS} FROM log", LOG_CTE),
+    "parse_event_dates": with_ctes("SELECT number, event_seq, opened_at, resolved_at, sys_updated_at FROM log",
+                                   LOG_CTE),
+    "normalise_made_sla": with_ctes(f"""
+SELECT number, event_seq, made_sla,
+  CASE WHEN {_RAW_FLAG} = 'true' THEN true WHEN {_RAW_FLAG} = 'false' THEN false END AS made_sla_flag,
+  (made_sla IS NOT NULL AND coalesce({_RAW_FLAG} NOT IN ('true', 'false'), true)) AS made_sla_unrecognised
+FROM log""", LOG_CTE),
+    "export_scored": on_scored(f"SELECT {_SCORED_COLS} FROM scored"),
+    "log_profile": with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS event_rows, 16 AS n_columns,
+  CAST(count(DISTINCT number) + max(CASE WHEN number IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS tickets
+FROM log""", LOG_CTE),
+    "summary_minimal_schema": with_ctes(
+        "SELECT number, CAST(count(*) AS BIGINT) AS total_events FROM log GROUP BY number", LOG_CTE),
+    "feature_projection": with_ctes("""
+SELECT total_events, sys_mod_count_max, sys_mod_count_mean, reassignment_count_max, reopen_count_max, category,
+  subcategory, priority, assignment_group, caller_id, opened_by, location, resolution_hours FROM inc""", *_INC_ONLY),
+    "sla_label": with_ctes("SELECT number, made_sla, sla_breached FROM inc", *_INC_ONLY),
+    "risk_band": on_scored("SELECT number, sla_breach_probability, risk_band FROM scored"),
+    "recommended_action": on_scored("SELECT number, risk_band, recommended_action FROM scored"),
+    "threshold_predict": on_scored("""
+SELECT number, sla_breach_probability, CAST(sla_breach_probability >= 0.5 AS INTEGER) AS predicted FROM scored"""),
+    "filter_bands": on_scored(
+        "SELECT number, sla_breach_probability, risk_band FROM scored WHERE risk_band IN ('High', 'Medium')"),
+    "filter_min_prob": on_scored(
+        "SELECT number, sla_breach_probability FROM scored WHERE sla_breach_probability >= 0.35"),
+    "search_incidents": on_scored(
+        "SELECT number, sla_breach_probability FROM scored WHERE regexp_matches(number, 'c0+1[0-9]3', 'i')"),
+    "incident_detail": on_scored(f"SELECT {_SCORED_COLS} FROM scored WHERE number = 'INC0000001' LIMIT 1"),
+    "driver_stats": on_scored(_STATS + " SELECT * FROM st"),
+    "sort_incidents": on_scored("SELECT number, total_events, sla_breach_probability FROM scored"),
+    "incident_list": on_scored(f"""
+SELECT {_LIST_COLS} FROM scored
+WHERE {_LIST_WHERE} AND regexp_matches(number, '1', 'i')
+ORDER BY reassignment_count_max DESC NULLS LAST, number LIMIT 500"""),
+    "incident_list_count": on_scored(
+        f"SELECT CAST(least(count(*), 500) AS BIGINT) AS results FROM scored WHERE {_LIST_WHERE}"),
+    "risk_drivers": on_scored(_STATS + f"""
+SELECT number, coalesce(nullif(concat_ws(' | ', {', '.join(_driver_case(*s) for s in _SIG)}, {_PRIO}), ''),
+  'No major red flags in the usual signals. Looks like a fairly normal ticket.') AS risk_drivers
+FROM scored CROSS JOIN st"""),
+    "explain_offline": on_scored(f"""
+, f AS (SELECT {_FACTS} FROM scored)
+SELECT number, concat_ws(chr(10),
+  '- Risk: **' || coalesce(risk_level, 'Unknown') || '**'
+    || coalesce(' (prob ' || printf('%.2f', sla_breach_probability) || ')', ''),
+  '- Why: ' || coalesce(nullif(concat_ws(', ',
+      CASE WHEN reassignment_count_max >= 3 THEN 'high reassignment count (' || reassignment_count_max || ')' END,
+      CASE WHEN reopen_count_max >= 1 THEN 'reopened ' || reopen_count_max || ' time(s)' END,
+      CASE WHEN total_events >= 12 THEN 'many events (' || total_events || ')' END,
+      CASE WHEN resolution_hours >= 48 THEN 'long resolution time (~' || CAST(trunc(resolution_hours) AS BIGINT)
+        || ' hrs)' END), ''), 'no extreme signals, but pattern suggests monitoring.'),
+  CASE WHEN recommended_action IS NOT NULL AND recommended_action <> '' THEN '- Next: ' || recommended_action END
+) AS explanation FROM f"""),
+    "explanation_facts": on_scored(f"SELECT {_FACTS} FROM scored"),
+    "stratified_split": with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace(
+        "\nSELECT 1", _SPLIT + "\nSELECT number, sla_breached, split FROM parts"),
+    "impute_numeric": with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace(
+        "\nSELECT 1", _SPLIT + "\nSELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in _NUM)
+        + " FROM train"),
+    "impute_categorical": with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace(
+        "\nSELECT 1", _SPLIT + "\n" + "\nUNION ALL ".join(_mode_sql(c) for c in _CAT)),
+    "onehot_category_sizes": with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace(
+        "\nSELECT 1", _SPLIT + "\n" + "\nUNION ALL ".join(
+            f"SELECT '{c}' AS feature, CAST(count(DISTINCT {c}) AS BIGINT) AS n_categories FROM train" for c in _CAT)),
+    "class_weights": with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace("\nSELECT 1", _SPLIT + """
+SELECT sla_breached, CAST(n_c AS BIGINT) AS n_c,
+  CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(*) OVER () * n_c AS DOUBLE) AS weight
+FROM (SELECT sla_breached, count(*) AS n_c FROM train GROUP BY 1)"""),
+})
