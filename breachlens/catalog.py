@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
 from breachlens.plans import scoring, training
-from breachlens.schema import EVENT_LOG_SCHEMA, KEY, LABEL, PROB
+from breachlens.schema import KEY, LABEL, PROB
 from breachlens.session import shared_dir
 from breachlens.sources import event_log as src
 from breachlens.sources import sinks
@@ -51,8 +51,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_scan_event_log(spark, d):
     path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "event-log-csv"))
-    return src.read_event_log(spark, path, schema=EVENT_LOG_SCHEMA.__class__(
-        [f for f in EVENT_LOG_SCHEMA.fields if f.name not in ("closed_at", "sys_created_at")]))
+    return src.read_event_log(spark, path)
 
 
 def _q_parse_event_dates(spark, d):

@@ -29,7 +29,7 @@ FEATURES = "features"
 MISSING_LABEL = "sla_breached not found. Is 'made_sla' present in the CSV?"
 
 
-@dataclass
+@dataclass(frozen=True)
 class TrainConfig:
     seed: int = 42
     test_size: float = 0.2

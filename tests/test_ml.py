@@ -1,0 +1,32 @@
+from pyspark.sql import functions as F
+
+from breachlens.catalog import incidents
+from breachlens.plans import scoring, training
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_train_evaluate_roundtrip(spark, tmp_path):
+    cfg = training.TrainConfig(rf_trees=5, rf_max_depth=4, lr_max_iter=20)
+    prep = training.prepare(incidents(spark, SF), cfg)
+    assert prep.n_inputs == 13
+    models = training.train_candidates(prep, cfg)
+    ev = training.evaluate_candidates(models, prep.test).collect()
+    assert {r["name"] for r in ev} == {"logreg", "random_forest"}
+    assert all(0.0 <= r["roc_auc"] <= 1.0 for r in ev)
+    best = training.pick_best(spark.createDataFrame(ev)).first()["name"]
+    path = training.save_model(models[best], str(tmp_path / "m"))
+    loaded = training.load_model(path)
+    a = scoring.score_incidents(models[best], prep.test, ranked=False).select("number", F.col("sla_breach_probability").alias("a"))
+    b = scoring.score_incidents(loaded, prep.test, ranked=False).select("number", F.col("sla_breach_probability").alias("b"))
+    j = a.join(b, "number")
+    assert j.count() == prep.test.count() and j.where(F.col("a") != F.col("b")).count() == 0
+    scored = scoring.score_incidents(models[best], incidents(spark, SF))
+    assert scored.where((F.col("sla_breach_probability") < 0) | (F.col("sla_breach_probability") > 1)).count() == 0
+
+
+def test_missing_label_raises(spark):
+    import pytest
+    df = incidents(spark, SF).drop("sla_breached")
+    with pytest.raises(ValueError, match="sla_breached not found"):
+        training.prepare(df)
