@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachlens.functions.text import format_fixed, format_g
-from breachlens.operators.ranks import exact_quantiles
+from breachlens.operators.ranks import multi_column_quantiles
 from breachlens.schema import ACTION, BAND, KEY, PROB
 
 # Fixed values that must equal the reference's texts: signals in evaluation
@@ -41,12 +41,8 @@ USER_PREFIX = "Incident risk summary (JSON):\n"
 
 def driver_stats(scored: DataFrame) -> DataFrame:
     """One row: ``<signal>_median`` and ``<signal>_q75`` for each signal present."""
-    parts = [exact_quantiles(scored, col, {f"{col}_median": 0.5, f"{col}_q75": 0.75})
-             for col, _, _ in SIGNALS if col in scored.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # 1 row × 1 row
-    return out
+    spec = {col: {f"{col}_median": 0.5, f"{col}_q75": 0.75} for col, _, _ in SIGNALS if col in scored.columns}
+    return multi_column_quantiles(scored, spec)
 
 
 def _signal_driver(col: str, label: str, note: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from breachlens.operators.ranks import exact_quantiles
+from breachlens.operators.ranks import multi_column_quantiles
 from breachlens.schema import LABEL, NON_FEATURE_COLS
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
@@ -32,11 +32,7 @@ def split_feature_types(df: DataFrame) -> tuple[list[str], list[str]]:
 
 def numeric_medians(train: DataFrame, cols: list[str]) -> DataFrame:
     """One row of exact medians (linear interpolation, NULLs ignored), fitted on ``train``."""
-    parts = [exact_quantiles(train, c, {c: 0.5}) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # 1 row × 1 row
-    return out
+    return multi_column_quantiles(train, {c: {c: 0.5} for c in cols})
 
 
 def _long_format(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = 4096          # upper bound on buckets
+ROWS_PER_BUCKET = 100_000       # target distinct values per bucket (one window task)
 _BUCKET = "_rank_bucket"
 
 
@@ -32,20 +33,34 @@ def _quantile_splits(values: DataFrame, col: str, n_buckets: int) -> list[float]
 
 
 def value_prefix_sums(df: DataFrame, value_col: str, sums: Mapping[str, Column],
-                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      n_buckets: int = DEFAULT_BUCKETS, materialise: bool = True) -> DataFrame:
     """Distinct non-null ``value_col`` values with per-value sums and exclusive prefix sums.
 
     Output columns: ``value_col``, each ``name`` in ``sums`` (sum over rows with
     that value) and ``name_before`` (sum over rows with a strictly smaller value).
-    ``value_col`` must be numeric.
+    ``value_col`` must be numeric. The per-value table is checkpointed (to the
+    shared checkpoint folder) so the boundary job and the ranking read it once
+    instead of recomputing the input lineage.
     """
-    names = list(sums)
     distinct = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
                   .groupBy(value_col)
                   .agg(*[F.sum(expr).cast("long").alias(n) for n, expr in sums.items()]))
-    splits = _quantile_splits(distinct, value_col, n_buckets)
-    bucketed = Bucketizer(splits=splits, inputCol="_rank_v", outputCol=_BUCKET).transform(
-        distinct.withColumn("_rank_v", F.col(value_col).cast("double"))).drop("_rank_v")
+    if materialise:
+        distinct = distinct.checkpoint()
+    return _prefix_sums_of_distinct(distinct, value_col, list(sums), n_buckets)
+
+
+def _prefix_sums_of_distinct(distinct: DataFrame, value_col: str, names: list[str], n_buckets: int) -> DataFrame:
+    # Bucket count follows the number of distinct values (a cheap count over the
+    # materialised per-value table): small inputs skip the boundary job.
+    n_distinct = distinct.count()
+    buckets = min(n_buckets, -(-n_distinct // ROWS_PER_BUCKET))
+    splits = _quantile_splits(distinct, value_col, buckets) if buckets > 1 else [float("-inf"), float("inf")]
+    if len(splits) > 2:
+        bucketed = Bucketizer(splits=splits, inputCol="_rank_v", outputCol=_BUCKET).transform(
+            distinct.withColumn("_rank_v", F.col(value_col).cast("double"))).drop("_rank_v")
+    else:
+        bucketed = distinct.withColumn(_BUCKET, F.lit(0.0))
 
     # ≤ n_buckets rows: a single-partition window here is bounded by construction.
     per_bucket = bucketed.groupBy(_BUCKET).agg(*[F.sum(n).alias(n) for n in names])
@@ -62,15 +77,7 @@ def value_prefix_sums(df: DataFrame, value_col: str, sums: Mapping[str, Column],
         *[(F.col(f"{n}_offset") + F.col(f"{n}_inside")).cast("long").alias(f"{n}_before") for n in names])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row; for each ``name → q`` the linear-interpolation quantile of ``col``.
-
-    Same definition as pandas ``Series.quantile`` / numpy ``linear``: position
-    (n−1)·q between the two neighbouring order statistics. NULL/NaN ignored;
-    NULL when the column has no values.
-    """
-    ranked = value_prefix_sums(df, col, {"_n": F.lit(1)}, n_buckets)
+def _pick_quantiles(ranked: DataFrame, col: str, probs: Mapping[str, float]) -> DataFrame:
     total = ranked.agg(F.sum("_n").alias("_total"))
     cand = ranked.crossJoin(F.broadcast(total))  # 1-row side
     picks = []
@@ -90,6 +97,40 @@ def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
         for n in probs])
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
+                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """One row; for each ``name → q`` the linear-interpolation quantile of ``col``.
+
+    Same definition as pandas ``Series.quantile`` / numpy ``linear``: position
+    (n−1)·q between the two neighbouring order statistics. NULL/NaN ignored;
+    NULL when the column has no values.
+    """
+    return multi_column_quantiles(df, {col: probs}, n_buckets)
+
+
+def multi_column_quantiles(df: DataFrame, spec: Mapping[str, Mapping[str, float]],
+                           n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """One row of exact quantiles for several columns, from ONE pass over ``df``.
+
+    All columns are unpivoted to (column, value) pairs and counted per pair in a
+    single shuffle (partial aggregation collapses repeated values); that
+    per-value table is checkpointed, then each column is ranked from it.
+    """
+    cols = list(spec)
+    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])
+    counted = (df.select(F.inline(pairs))
+                 .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+                 .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
+                 .checkpoint())
+    out = None
+    for c in cols:
+        per = counted.where(F.col("_col") == c).select(F.col("_v").alias(c), "_n")
+        ranked = _prefix_sums_of_distinct(per, c, ["_n"], n_buckets)
+        one = _pick_quantiles(ranked, c, spec[c])
+        out = one if out is None else out.crossJoin(one)  # 1 row × 1 row
+    return out
+
+
 def hash_rank_within(df: DataFrame, group_col: str, hash_hex: Column, rank_col: str = "rank",
                      bucket_hex_digits: int = 3) -> DataFrame:
     """1-based rank of each row within ``group_col`` ordered by a uniform hex hash.

@@ -13,9 +13,8 @@ log AS (
     printf('INC%07d', l.l_orderkey) AS number,
     CAST((l.l_shipdate::DATE - DATE '1970-01-01') AS BIGINT) * 17592186044416
       + CAST(l.l_linenumber AS BIGINT) * 1099511627776
-      + ('0x' || substr(md5(concat_ws('|', l.l_partkey, l.l_suppkey,
-            CAST(round(l.l_quantity * 100) AS BIGINT),
-            CAST(round(l.l_extendedprice * 100) AS BIGINT))), 1, 10))::BIGINT AS event_seq,
+      + (l.l_partkey * 1000003 + l.l_suppkey * 1009 + CAST(round(l.l_quantity * 100) AS BIGINT) * 31
+         + CAST(round(l.l_extendedprice * 100) AS BIGINT)) % 1099511627776 AS event_seq,
     CAST(trunc(l.l_quantity) AS INTEGER) AS sys_mod_count,
     CAST(round(l.l_discount * 100) AS INTEGER) AS reassignment_count,
     CASE WHEN l.l_returnflag = 'R' THEN l.l_linenumber % 3 ELSE 0 END AS reopen_count,

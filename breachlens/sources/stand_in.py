@@ -8,10 +8,10 @@ join + projection, so its cost grows with ``lineitem``:
 Event order inside a ticket is carried by ``event_seq``, a bigint computed per
 row (no window, so no ticket is ever gathered into one task):
 
-    days(l_shipdate)·2^44 + l_linenumber·2^40 + 40-bit md5 tie-break
+    days(l_shipdate)·2^44 + l_linenumber·2^40 + 40-bit integer tie-break
 
-The md5 tie-break is over integer renderings of (partkey, suppkey, quantity,
-price) so DuckDB computes the identical value for the oracle.
+The tie-break mixes (partkey, suppkey, quantity, price) with plain integer
+arithmetic, so DuckDB computes the identical value for the oracle.
 """
 
 from __future__ import annotations
@@ -21,12 +21,20 @@ from pyspark.sql import functions as F
 
 SHIP_SHIFT = 1 << 44
 LINE_SHIFT = 1 << 40
+TIE_MOD = 1 << 40
+KEY_DIGITS = 7
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ticket_number(orderkey: F.Column) -> F.Column:
+    """'INC' + order key zero-padded to 7 digits (never truncated for longer keys)."""
+    k = orderkey.cast("string")
+    return F.concat(F.lit("INC"), F.when(F.length(k) >= KEY_DIGITS, k).otherwise(F.lpad(k, KEY_DIGITS, "0")))
+
+
 def _hours(ts: str, n) -> F.Column:
     return F.timestamp_add("HOUR", n, F.col(ts))
 
@@ -49,10 +57,9 @@ def stand_in_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     qty = F.col("l_quantity")
     ln = F.col("l_linenumber")
-    tie = F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.col("l_partkey"), F.col("l_suppkey"),
-        F.round(qty * 100).cast("bigint"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint"))), 1, 10), 16, 10).cast("bigint")
+    tie = F.pmod(F.col("l_partkey") * 1000003 + F.col("l_suppkey") * 1009
+                 + F.round(qty * 100).cast("bigint") * 31 + F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+                 F.lit(TIE_MOD))
     event_seq = (F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * SHIP_SHIFT
                  + ln.cast("bigint") * LINE_SHIFT + tie)
     whole_qty = qty.cast("int")  # cast truncates toward zero
@@ -63,7 +70,7 @@ def stand_in_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .otherwise(F.lit(" TRUE ")))
 
     return ev.select(
-        F.format_string("INC%07d", F.col("l_orderkey")).alias("number"),
+        ticket_number(F.col("l_orderkey")).alias("number"),
         event_seq.alias("event_seq"),
         whole_qty.alias("sys_mod_count"),
         F.round(F.col("l_discount") * 100).cast("int").alias("reassignment_count"),
