@@ -23,6 +23,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Spark broadcasts a join side only when its measured size (file statistics,
+    # or AQE's runtime shuffle statistics) is below this bound; bigger sides stay
+    # sort-merge joins, so the bound holds at any data size.
+    "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

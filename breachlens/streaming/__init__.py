@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analysed workload is batch only: the event log is read whole, summarised
+and scored (no watermark, window, state or late-data handling exists in it), so
+this package registers no streaming operator. The summary is written so it can
+be maintained incrementally later: every aggregate in ``incident_summary`` is
+mergeable (count, max, min, min_by/max_by against a log-order key), which is
+what a ``foreachBatch`` upsert on the ticket key would need.
+"""
