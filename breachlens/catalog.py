@@ -17,7 +17,7 @@ from breachlens.functions.decision import recommended_action, risk_band, thresho
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
 from breachlens.plans import scoring, training
 from breachlens.schema import KEY, LABEL, PROB
-from breachlens.session import shared_dir
+from breachlens.session import materialise, shared_dir
 from breachlens.sources import event_log as src
 from breachlens.sources import sinks
 from breachlens.sources.stand_in import stand_in_event_log
@@ -85,7 +85,7 @@ def _fitted(spark, d, cfg=QUICK):
     if k not in _FITTED:
         prep = training.prepare(incidents(spark, d), cfg)
         models = training.train_candidates(prep, cfg)
-        evals = training.evaluate_candidates(models, prep.test).checkpoint()
+        evals = materialise(training.evaluate_candidates(models, prep.test))
         _FITTED[k] = (prep, models, evals)
     return _FITTED[k]
 

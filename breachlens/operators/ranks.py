@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from breachlens.session import materialise
+
 DEFAULT_BUCKETS = 4096          # upper bound on buckets
 ROWS_PER_BUCKET = 100_000       # target distinct values per bucket (one window task)
 _BUCKET = "_rank_bucket"
@@ -33,7 +35,7 @@ def _quantile_splits(values: DataFrame, col: str, n_buckets: int) -> list[float]
 
 
 def value_prefix_sums(df: DataFrame, value_col: str, sums: Mapping[str, Column],
-                      n_buckets: int = DEFAULT_BUCKETS, materialise: bool = True) -> DataFrame:
+                      n_buckets: int = DEFAULT_BUCKETS, checkpoint_values: bool = True) -> DataFrame:
     """Distinct non-null ``value_col`` values with per-value sums and exclusive prefix sums.
 
     Output columns: ``value_col``, each ``name`` in ``sums`` (sum over rows with
@@ -45,8 +47,8 @@ def value_prefix_sums(df: DataFrame, value_col: str, sums: Mapping[str, Column],
     distinct = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
                   .groupBy(value_col)
                   .agg(*[F.sum(expr).cast("long").alias(n) for n, expr in sums.items()]))
-    if materialise:
-        distinct = distinct.checkpoint()
+    if checkpoint_values:
+        distinct = materialise(distinct)
     return _prefix_sums_of_distinct(distinct, value_col, list(sums), n_buckets)
 
 
@@ -120,8 +122,8 @@ def multi_column_quantiles(df: DataFrame, spec: Mapping[str, Mapping[str, float]
     pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])
     counted = (df.select(F.inline(pairs))
                  .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-                 .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
-                 .checkpoint())
+                 .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    counted = materialise(counted)
     out = None
     for c in cols:
         per = counted.where(F.col("_col") == c).select(F.col("_v").alias(c), "_n")

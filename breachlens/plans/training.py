@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breachlens.session import materialise
+
 from breachlens.operators import features, metrics, split
 from breachlens.schema import LABEL, PROB
 
@@ -60,7 +62,7 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     if LABEL not in summary.columns:
         raise ValueError(MISSING_LABEL)
     parts = split.stratified_split(summary, LABEL, cfg.test_size, cfg.seed)
-    parts = parts.checkpoint()  # materialise once; later stages read the checkpoint
+    parts = materialise(parts)  # once; later stages read the checkpoint
     inputs = features.feature_projection(parts.drop("split"))
     num_cols, cat_cols = features.split_feature_types(inputs)
     train = parts.where(F.col("split") == "train")

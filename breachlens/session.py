@@ -7,7 +7,6 @@ our own when that setting is absent, which is the local test case.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -60,6 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+def materialise(df):
+    """Reliable checkpoint into the shared checkpoint folder (cuts lineage,
+    survives executor loss); never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -71,4 +77,4 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "shared_dir", "local_path", "DEFAULT_CONF", "os"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "materialise", "shared_dir", "local_path", "DEFAULT_CONF"]
