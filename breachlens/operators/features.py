@@ -72,7 +72,8 @@ def class_weights(train: DataFrame, target: str = LABEL) -> DataFrame:
                        (F.col("n").cast("double") / (F.col("k") * F.col("n_c")).cast("double")).alias("weight")))
 
 
-def impute(df: DataFrame, medians: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+def impute(df: DataFrame, medians: DataFrame, modes: DataFrame | None = None,
+           categorical: list[str] | None = None) -> DataFrame:
     """Fill NULL numerics with the fitted medians and NULL categoricals with the fitted modes."""
     med_cols = medians.columns
     out = df.crossJoin(F.broadcast(medians.select(*[F.col(c).alias(f"_med_{c}") for c in med_cols])))
@@ -80,7 +81,9 @@ def impute(df: DataFrame, medians: DataFrame, modes: DataFrame | None = None) ->
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")))
     out = out.drop(*[f"_med_{c}" for c in med_cols])
     if modes is not None:
-        wide = modes.groupBy().pivot("feature").agg(F.first("mode"))
+        # ≤ one row per input column; explicit pivot values avoid a distinct job
+        values = categorical if categorical is not None else [r["feature"] for r in modes.select("feature").collect()]
+        wide = modes.groupBy().pivot("feature", values).agg(F.first("mode"))
         wcols = wide.columns
         out = out.crossJoin(F.broadcast(wide.select(*[F.col(c).alias(f"_mode_{c}") for c in wcols])))
         for c in wcols:

@@ -34,3 +34,12 @@ def test_median_mode_weights(spark):
     assert w == {0: 1.0, 1: 1.0}
     num, cat = features.split_feature_types(df.drop("sla_breached"))
     assert num == ["x"] and cat == ["c"]
+
+
+def test_impute_applies_fitted_values(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, None), (3.0, "a"), (10.0, "b")], "x double, c string")
+    med = features.numeric_medians(df, ["x"])
+    modes = features.categorical_modes(df, ["c"])
+    out = features.impute(df, med, modes, ["c"]).collect()
+    assert sorted(r["x"] for r in out) == [1.0, 3.0, 3.0, 10.0]
+    assert sorted(r["c"] for r in out) == ["a", "a", "a", "b"]
