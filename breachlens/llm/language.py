@@ -32,6 +32,7 @@ STRETCH = 64
 WINDOW_CHARS = 192
 PER_LANG = 400
 MAX_LANGS = 64
+MIN_SCORE = 0.4        # pooled probability below which the language of a document counts as unknown
 BLOCK = 4096           # stretches that step together
 PAD = 256              # the symbol after the end of a text: it keeps the state
 PIECE_BYTES = 4 << 20
@@ -231,9 +232,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     return add_columns(docs.select(*dict.fromkeys([*keep, text]), letters), make, added, keep)
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents with a determined language whose pooled probability reaches ``min_score``, columns as they are."""
+    held = {c: f"own_{c}_{i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
+    found = identify(docs.withColumnsRenamed(held), model, text)
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
+
+
 def held_out(key: Column) -> Column:
     """The fold that training never sees: crc32 of the id as text has remainder 2 modulo 4."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-__all__ = ["Model", "fit", "train", "identify", "held_out", "UNDETERMINED"]
+__all__ = ["Model", "fit", "train", "identify", "accepted", "held_out", "UNDETERMINED"]
