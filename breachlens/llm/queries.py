@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import decontaminate, language
+from breachlens.llm import decontaminate, fingerprints, language, mixing, order_minhash, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "class_id", "class_size", "representative")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
@@ -19,6 +39,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urls.judged(pages, urls.train(urls.default_labelled(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                              keep=["doc_id"])
@@ -28,7 +54,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op4_shards": op4_shards,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES: dict[str, str] = {}
