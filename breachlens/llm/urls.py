@@ -35,17 +35,19 @@ LABELLED = tuple((u, 1) for u in (
     "http://ads-track.test/click?id=1", "https://track-ads.test/pixel", "http://adserver-track.test/banner/ads",
     "http://free-money.test/win-prize", "https://replica-watches.test/cheap", "http://payday-loans.test/free-cash",
     "http://viagra-shop.test/cheap-viagra", "http://warez-crack.test/keygen", "https://torrent-crack.test/free-download",
-    "http://www.casino-win.test/en/14", "https://m.adult-x.test/en/341", "https://blog.adult-x.test/de/3",
-    "http://m.casino-win.test/es/5", "http://www.spam-farm.test/en/728/", "https://blog.free-bets.test/fr/36.html",
-    "http://m.ads-track.test/en/584?page=2", "https://www.cheap-pills.test/de/8#top", "https://m.free-bets.test/en/2",
+    "http://www.casino-win.example.net/en/14", "https://m.adult-x.example.org/en/341", "https://adult-x.example.com/de/3",
+    "http://m.casino-win.example.com/es/5", "http://www.spam-farm.example.org/en/728/", "https://blog.free-bets.example.net/fr/6",
+    "http://m.ads-track.example.com/en/584?page=2", "https://www.cheap-pills.example.net/de/8#top", "https://m.free-bets.example.org/en/2",
 )) + tuple((u, 0) for u in (
     "https://www.example.test/en/12", "https://blog.mentor.test/fr/7", "http://news.harbour.test/de/2021/story.html",
     "https://library.test/books/index.html", "http://m.weather.test/today", "https://docs.compiler.test/guide/install",
     "https://garden.test/roses", "http://university.test/physics/course", "https://blog.traveller.test/es/andes",
     "http://museum.test/collection/item/44", "https://recipes.test/bread", "http://www.theatre.test/programme",
     "https://science.test/article/987", "http://history.test/en/romans", "https://maps.test/city/oslo",
-    "https://www.thether.test/en/345", "http://erning.test/en/678?page=2", "https://m.tionent.test/fr/90",
-    "http://blog.anders.test/de/55.html", "https://strand.test/es/123/", "http://thinth.test/en/9#top",
+    "https://www.thether.example.com/en/345", "http://erning.example.net/en/678?page=2", "https://m.tionent.example.org/fr/90",
+    "http://blog.anders.example.net/de/55.html", "https://strand.example.com/es/123/", "http://thinth.example.org/en/9#top",
+    "https://therin.example.net/en/770", "http://blog.mentor.example.net/de/18/", "http://m.harbour.example.net/en/5",
+    "https://blog.garden.example.org/en/36.html", "http://www.ouher.example.org/de/403", "https://andre.example.net/de/2",
     "https://parliament.test/minutes", "http://orchestra.test/concerts", "https://gazette.test/archive/1999",
 ))
 
