@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import decontaminate, fingerprints, language, mixing, order_minhash, sharding, urls
+from breachlens.llm import (decontaminate, fingerprints, language, mixing, order_minhash, personal, secrets, sharding,
+                            urls)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -53,13 +59,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_secrets": op3_secrets,
     "op4_shards": op4_shards,
     "op5_fingerprints": op5_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}

@@ -71,9 +71,11 @@ def fitting_rule(host: Column, path: Column, rules=RULES, what: int = 1) -> Colu
 
 
 def _grams(s: Column) -> list[Column]:
-    return [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)),
-                                                 lambda i, n=n: F.substring(s, i, F.lit(n)))).otherwise(F.array())
-            for n in NGRAMS]
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(s) - (n - 1))
+        return F.when(F.length(s) >= n, F.transform(starts, lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array())
+
+    return [runs(n) for n in NGRAMS]
 
 
 def _features(df: DataFrame, host: Column, path: Column) -> DataFrame:
