@@ -8,32 +8,46 @@ from __future__ import annotations
 
 import math
 
-LOW, HIGH = 0.02, 0.98
+# Before any row is seen, a vote of -1 speaks for a negative, and a positive seldom gets one; what +1 and 0 say is left
+# to the data. The weight of these prior tables is a share of the rows, so it is the same at every size.
+PRIOR = {True: {1: 0.6, 0: 0.35, -1: 0.05}, False: {1: 0.35, 0: 0.25, -1: 0.4}}
+PRIOR_SHARE = 0.02
 
 
-def em(patterns: list[tuple[tuple[int, ...], float]], start: float = 0.8, prior: float = 0.5,
-       rounds: int = 100) -> tuple[list[float], float, list[float]]:
+def em(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) -> tuple[list[float], float, list[float]]:
     """(accuracy of each labeller, share of positives, probability of positive for each pattern).
 
-    Labellers are independent given the label and equally accurate on both; the start above 1/2 says that labellers
-    are better than chance, which settles which class is which. No patterns: the start values.
+    Votes are independent given the label, with a table P(vote | label) of its own for each labeller, so one that says
+    the same of both labels weighs nothing. A start that takes any vote of -1 for a sign of a negative settles which
+    class is which. Without patterns: no accuracies, a share of 1/2.
     """
-    k = len(patterns[0][0]) if patterns else 0
-    accuracy, posterior = [start] * k, []
+    total = sum(n for _, n in patterns)
+    if not total:
+        return [], 0.5, []
+    k = len(patterns[0][0])
+    posterior = [0.95 if min(v) >= 0 else 0.3 / sum(x < 0 for x in v) for v, _ in patterns]
+    share, tables = 0.5, []
     for _ in range(rounds):
+        share = min(0.98, max(0.02, sum(p * n for p, (_, n) in zip(posterior, patterns)) / total))
+        tables = []
+        for j in range(k):
+            both = {}
+            for label in (True, False):
+                count = {v: PRIOR_SHARE * total * PRIOR[label][v] for v in (1, 0, -1)}
+                for p, (votes, n) in zip(posterior, patterns):
+                    count[votes[j]] += n * (p if label else 1 - p)
+                both[label] = {v: c / sum(count.values()) for v, c in count.items()}
+            tables.append(both)
         posterior = []
         for votes, _n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
+            odds = math.log(share / (1 - share)) + sum(math.log(t[True][v] / t[False][v]) for v, t in zip(votes, tables))
             posterior.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
-        total = sum(n for _, n in patterns)
-        if not total:
-            break
-        prior = min(HIGH, max(LOW, sum(p * n for p, (_, n) in zip(posterior, patterns)) / total))
-        for j in range(k):
-            cast = sum(n for votes, n in patterns if votes[j])
-            right = sum(n * (p if votes[j] > 0 else 1 - p) for p, (votes, n) in zip(posterior, patterns) if votes[j])
-            accuracy[j] = min(HIGH, max(LOW, (right + 2 * start) / (cast + 2)))   # two rows of the start value
-    return accuracy, prior, posterior
+    accuracy = []
+    for t in tables:
+        right = share * t[True][1] + (1 - share) * t[False][-1]
+        cast = right + share * t[True][-1] + (1 - share) * t[False][1]
+        accuracy.append(right / cast)
+    return accuracy, share, posterior
 
 
 def logistic(rows: list[tuple[list[float], float, float]], rounds: int = 300, rate: float = 1.0,
