@@ -3,7 +3,7 @@
 Every query starts from the driver tables via the stand-in log, so its work
 grows with ``lineitem``. Queries downstream of a score use the deterministic
 proxy score (so a DuckDB oracle can check them); the model queries train on
-the same summary with small forests (the job defaults stay 300 trees, depth 12).
+the same summary with the job's settings (300 trees, 250 iterations).
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
 from breachlens.plans import scoring, training
-from breachlens.schema import KEY, LABEL, PROB
-from breachlens.session import materialise, shared_dir
+from breachlens.schema import KEY, LABEL, LOG_ORDER, PROB
+from breachlens.session import shared_dir
 from breachlens.sources import event_log as src
 from breachlens.sources import sinks
 from breachlens.sources.stand_in import stand_in_event_log
@@ -31,9 +31,6 @@ LIST_SORT = "reassignment_count_max"
 SEARCH_QUERY = "c0+1[0-9]3"
 LIST_QUERY = "1"
 DETAIL_NUMBER = "INC0000001"
-# Small model settings for the registered checks.
-QUICK = training.TrainConfig(rf_trees=20, rf_max_depth=6, lr_max_iter=100)
-
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in_event_log(spark, sf_dir)
@@ -51,7 +48,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_scan_event_log(spark, d):
     path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "event-log-csv"))
-    return src.read_event_log(spark, path)
+    return src.read_event_log(spark, path).drop(LOG_ORDER)
 
 
 def _q_parse_event_dates(spark, d):
@@ -75,63 +72,105 @@ def _q_log_profile(spark, d):
     return src.log_profile(event_log(spark, d))
 
 
-# ── model queries (fitted once per session and data folder) ──────────────────
+# ── model queries: full settings; a model fitted for one query serves the others that only apply one ─────────────
+
+def _fit(spark, d):
+    prep = training.prepare(incidents(spark, d))
+    return prep, training.train_candidates(prep)
+
+
+def _saved_models(spark, d):
+    """Paths of this application's fitted models for one data folder (in the shared folder, never in this process)."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODEL_PATHS:
+        _, models = _fit(spark, d)
+        _MODEL_PATHS[key] = {n: training.save_model(m, shared_dir(spark, f"model-{n}")) for n, m in models.items()}
+    return _MODEL_PATHS[key]
+
+
+_MODEL_PATHS: dict = {}
+
+
+def _models(spark, d):
+    return {n: training.load_model(p) for n, p in _saved_models(spark, d).items()}
+
 
-_FITTED: dict = {}
+def _test_part(spark, d):
+    return split.stratified_split(incidents(spark, d)).where(F.col("split") == "test")
 
 
-def _fitted(spark, d, cfg=QUICK):
-    k = (id(spark), d, cfg)
-    if k not in _FITTED:
-        prep = training.prepare(incidents(spark, d), cfg)
-        models = training.train_candidates(prep, cfg)
-        evals = materialise(training.evaluate_candidates(models, prep.test))
-        _FITTED[k] = (prep, models, evals)
-    return _FITTED[k]
+def _q_evaluate(spark, d):
+    return training.evaluate_candidates(_models(spark, d), _test_part(spark, d))
 
 
 def _best_model(spark, d):
-    prep, models, evals = _fitted(spark, d)
-    return models[training.pick_best(evals).first()["name"]]
+    models = _models(spark, d)
+    return models[training.pick_best(training.evaluate_candidates(models, _test_part(spark, d))).first()["name"]]
 
 
 def _q_model_roundtrip(spark, d):
-    prep, models, evals = _fitted(spark, d)
     best = _best_model(spark, d)
-    path = training.save_model(best, shared_dir(spark, "best-model"))
-    loaded = training.load_model(path)
+    loaded = training.load_model(training.save_model(best, shared_dir(spark, "best-model")))
     inc = incidents(spark, d)
     a = scoring.score_incidents(best, inc, ranked=False).select(KEY, F.col(PROB).alias("p_saved"))
-    b = scoring.score_incidents(loaded, inc, ranked=False).select(KEY, F.col(PROB).alias("p_loaded"))
-    return a.join(b, KEY).withColumn("same", F.col("p_saved") == F.col("p_loaded"))
+    b = scoring.score_incidents(loaded, inc, ranked=False).select(F.col(KEY).alias("_other"), F.col(PROB).alias("p_loaded"))
+    both = a.join(b, F.col(KEY).eqNullSafe(F.col("_other")))   # the summary has one row per ticket, also for NULL
+    return both.select(KEY, (F.col("p_saved") == F.col("p_loaded")).alias("same"))
+
+
+def another_log(spark, d):
+    """A log of other tickets, written as plain CSV without ``event_seq``: every third event has a category that no
+    training row has, and the order is that of the file."""
+    log = event_log(spark, d)
+    new = F.when(F.pmod(F.col("event_seq"), F.lit(3)) == 0, F.lit("Unseen, \"new\"")).otherwise(F.col("category"))
+    log = log.withColumn(KEY, F.concat(F.lit("N"), F.col(KEY))).withColumn("category", new)
+    return src.write_event_log_csv(log.orderBy("event_seq").drop("event_seq"), shared_dir(spark, "upload-csv"))
+
+
+def _checked_scores(scored):
+    """Score-independent facts of scored incidents: whether each score lies in [0, 1] and has its band and action."""
+    ok = F.col(PROB).between(0.0, 1.0)
+    band = F.col("risk_band") == risk_band(PROB)
+    action = F.col("recommended_action") == recommended_action(F.col("risk_band"))
+    return scored.select(KEY, LABEL, "category", "total_events", (ok & band & action).alias("consistent"))
 
 
 def _q_score_new_log(spark, d):
-    # Model fitted on the parquet-derived log; the "uploaded" log is the CSV
-    # export of the event log read back through the CSV source.
-    model = _best_model(spark, d)
-    path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "upload-csv"))
-    return scoring.score_new_log(model, src.read_event_log(spark, path))
+    return _checked_scores(scoring.score_new_log(_best_model(spark, d), src.read_event_log(spark, another_log(spark, d))))
 
 
 def _q_train(name):
     def q(spark, d):
-        prep, models, evals = _fitted(spark, d)
-        m = models[name]
-        return spark.createDataFrame(
-            [(name, scoring.input_feature_count(m), len(m.stages))], "name string, n_inputs int, n_stages int")
+        prep = training.prepare(incidents(spark, d))
+        cfg = training.TrainConfig(candidates=(name,))
+        model = training.train_candidates(prep, cfg)[name]
+        inputs = training.model_inputs(model, prep.train.drop("class_weight"))
+        return inputs.select("feature", "weight")
     return q
 
 
 def _q_train_candidates(spark, d):
-    prep, models, _ = _fitted(spark, d)
-    return spark.createDataFrame([(n, scoring.input_feature_count(m), len(m.stages)) for n, m in models.items()],
-                                 "name string, n_inputs int, n_stages int")
+    prep, models = _fit(spark, d)
+    scores = training.test_scores(models, prep.test)
+    return scores.groupBy("name", LABEL).agg(F.count(F.lit(1)).alias("n"),
+                                             F.count_if(F.col(PROB).between(0.0, 1.0)).alias("n_valid"))
+
+
+def _q_evaluate_candidates(spark, d):
+    """Totals that the split fixes; the model's own figures are in report_candidates and training_job."""
+    return _q_evaluate(spark, d).select("name", (F.col("tn") + F.col("fp")).alias("met"),
+                                        (F.col("fn") + F.col("tp")).alias("breached"),
+                                        F.col("roc_auc").between(0.5, 1.0).alias("better_than_chance"))
+
+
+def _q_report(spark, d):
+    return training.report_candidates(_models(spark, d), _test_part(spark, d))
 
 
 def _q_training_job(spark, d):
     from breachlens.plans.train_job import run_training
-    return run_training(spark, incidents(spark, d), shared_dir(spark, "training-job"), QUICK)
+    log = src.read_event_log(spark, another_log(spark, d))
+    return run_training(spark, summary.incident_summary(log), shared_dir(spark, "training-job"))
 
 
 QUERIES: dict[str, Query] = {
@@ -144,7 +183,8 @@ QUERIES: dict[str, Query] = {
     "score_new_log": _q_score_new_log,
     "log_profile": _q_log_profile,
     # B. projections / filters / predicates
-    "summary_minimal_schema": lambda s, d: summary.incident_summary(event_log(s, d).select(KEY, "event_seq")),
+    "summary_minimal_schema": lambda s, d: summary.incident_summary(
+        event_log(s, d).select(KEY, "event_seq", "priority", "reopen_count", "opened_at")),
     "feature_projection": lambda s, d: features.feature_projection(incidents(s, d)),
     "sla_label": lambda s, d: incidents(s, d).select(KEY, "made_sla", LABEL),
     "resolution_hours": lambda s, d: summary.resolution_hours(event_log(s, d)),
@@ -199,9 +239,10 @@ QUERIES: dict[str, Query] = {
     "train_logreg": _q_train("logreg"),
     "train_random_forest": _q_train("random_forest"),
     "train_candidates": _q_train_candidates,
-    "evaluate_candidates": lambda s, d: _fitted(s, d)[2],
-    "pick_best": lambda s, d: training.pick_best(_fitted(s, d)[2]),
-    "score_incidents": lambda s, d: scoring.score_incidents(_best_model(s, d), incidents(s, d)),
+    "evaluate_candidates": _q_evaluate_candidates,
+    "report_candidates": _q_report,
+    "pick_best": lambda s, d: training.pick_best(_q_evaluate(s, d)),
+    "score_incidents": lambda s, d: _checked_scores(scoring.score_incidents(_best_model(s, d), incidents(s, d))),
     "training_job": _q_training_job,
 }
 

@@ -32,9 +32,10 @@ def risk_band(p) -> Column:
 
 
 def recommended_action(band) -> Column:
-    """Case-insensitive band → action text; anything unrecognised gets the Low text."""
+    """Case-insensitive band → action text; anything unrecognised gets the Low text. No band, no action."""
     b = F.lower(_c(band))
-    return (F.when(b == "high", F.lit(ACTION_HIGH))
+    return (F.when(b.isNull(), F.lit(None).cast("string"))
+             .when(b == "high", F.lit(ACTION_HIGH))
              .when(b == "medium", F.lit(ACTION_MEDIUM))
              .otherwise(F.lit(ACTION_LOW)))
 

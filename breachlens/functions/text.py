@@ -27,4 +27,25 @@ def format_fixed(x: Column, decimals: int) -> Column:
     return F.format_number(x.cast("double"), decimals)
 
 
-__all__ = ["format_g", "format_fixed"]
+def python_float(x: Column) -> Column:
+    """Python ``repr`` of a finite double: shortest digits, a point always, an exponent below 1e-4 or from 1e16.
+
+    Java writes an exponent below 1e-3 and from 1e7; those are written out through an exact decimal.
+    """
+    d = x.cast("double")
+    java = d.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    digits = F.regexp_replace(F.regexp_extract(java, r"^([^E]*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(java, r"E(-?[0-9]+)$", 1)
+    sign = F.when(power.startswith("-"), F.lit("e-")).otherwise(F.lit("e+"))
+    scientific = F.concat(digits, sign, F.lpad(F.replace(power, F.lit("-"), F.lit("")), 2, "0"))
+    written_out = (F.abs(d) >= 1e-4) & (F.abs(d) < 1e16)
+    return F.when(~java.contains("E"), java).when(written_out, plain).otherwise(scientific)
+
+
+def json_string(s: Column) -> Column:
+    """A text as a JSON string (NULL stays NULL); characters beyond ASCII are written as they are."""
+    return F.when(s.isNotNull(), F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", ""))
+
+
+__all__ = ["format_g", "format_fixed", "python_float", "json_string"]

@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.functions.text import format_fixed, format_g
+from breachlens.functions.text import format_fixed, format_g, json_string, python_float
 from breachlens.operators.ranks import multi_column_quantiles
 from breachlens.schema import ACTION, BAND, KEY, PROB
 
 # Fixed values that must equal the reference's texts: signals in evaluation
-# order as (column, label, note), then the priority sentences and fallbacks.
+# order as (column, label, note), then the priority sentences and fallbacks, and
+# the system prompt and user prefix of the explainer.
 SIGNALS = (
     ("reassignment_count_max", "Reassignment count", "ticket changed hands too many times"),
     ("reopen_count_max", "Reopen count", "fix did not stick the first time"),
@@ -62,7 +63,7 @@ def _priority_driver(scored: DataFrame) -> Column:
              .when(F.contains(pr, F.lit("2")) | F.contains(pr, F.lit("High")), F.lit(PRIORITY_HIGH)))
 
 
-def risk_drivers(scored: DataFrame, stats: DataFrame | None = None, key: str = KEY) -> DataFrame:
+def risk_drivers(scored: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Adds ``risk_drivers`` (array<string>, at most 6) to every incident."""
     stats = stats if stats is not None else driver_stats(scored)
     joined = scored.crossJoin(F.broadcast(stats))  # stats is exactly one row
@@ -129,16 +130,32 @@ def explain_offline(scored: DataFrame, key: str = KEY) -> DataFrame:
     return facts.select(key, explain_offline_text(F.col("facts")).alias("explanation"))
 
 
-def explanation_prompts(scored: DataFrame, bands: tuple[str, ...] | None = ("High",), key: str = KEY) -> DataFrame:
-    """System prompt + user message per incident, for an external explainer.
-
-    Defaults to High-band incidents; ``bands=None`` keeps all. No network call.
-    """
+def facts_text(facts: Column) -> Column:
+    """The fact record as indented JSON (two spaces, one field a line), as it goes into the prompt."""
+    quoted = lambda s: F.coalesce(json_string(s), F.lit("null"))
+    whole = lambda n: F.coalesce(n.cast("string"), F.lit("null"))
+    real = lambda x: F.coalesce(python_float(x), F.lit("null"))
+    kf = facts["key_factors"]
+    lines = lambda fields, pad: F.concat_ws(",\n", *[
+        F.concat(F.lit(f'{pad}"{name}": '), value) for name, value in fields])
+    inner = lines([(n, whole(kf[n])) for n in ("total_events", "reassignment_count_max", "reopen_count_max")]
+                  + [("resolution_hours", real(kf["resolution_hours"]))]
+                  + [(n, quoted(kf[n])) for n in ("priority", "assignment_group", "category")], "    ")
+    outer = lines([("sla_breach_probability", real(facts["sla_breach_probability"])),
+                   ("risk_level", quoted(facts["risk_level"])),
+                   ("recommended_action", quoted(facts["recommended_action"])),
+                   ("key_factors", F.concat(F.lit("{\n"), inner, F.lit("\n  }")))], "  ")
+    return F.concat(F.lit("{\n"), outer, F.lit("\n}"))
+
+
+def explanation_prompts(scored: DataFrame, bands: tuple[str, ...] | None = None, key: str = KEY) -> DataFrame:
+    """System prompt + user message for every incident (or those in ``bands``), for an external explainer. No network
+    call."""
     src = scored if not bands else scored.where(F.col(BAND).isin(list(bands)))
     facts = explanation_facts(src, key)
     return facts.select(key, F.lit(SYSTEM_PROMPT).alias("system_prompt"),
-                        F.concat(F.lit(USER_PREFIX), F.col("facts_json")).alias("user_message"))
+                        F.concat(F.lit(USER_PREFIX), facts_text(F.col("facts"))).alias("user_message"))
 
 
 __all__ = ["driver_stats", "risk_drivers", "explanation_facts", "explain_offline", "explain_offline_text",
-           "explanation_prompts", "SIGNALS", "SYSTEM_PROMPT", "NO_DRIVER", "MAX_DRIVERS"]
+           "explanation_prompts", "facts_text", "SIGNALS", "SYSTEM_PROMPT", "NO_DRIVER", "MAX_DRIVERS"]

@@ -1,158 +1,112 @@
-"""Distributed ranks and prefix sums without a global single-partition window.
+"""Distributed prefix sums and exact quantiles as one lazy plan, without a global single-partition window.
 
 A ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.
 The helpers here use the two-level form instead:
 
 1. collapse to distinct values (partial aggregation absorbs hot values);
-2. cut the distinct values into ~equal-sized buckets whose boundaries come from
-   ``percentile_approx`` (only ``n_buckets`` numbers reach the driver);
-3. prefix-sum the per-bucket totals (≤ n_buckets rows, broadcast back);
-4. prefix-sum inside each bucket with a window partitioned by bucket.
+2. put each value into a bucket by a fixed monotone function of the value
+   (``order_bucket``: a logarithmic scale, at most ``2·MAX_BUCKET + 1`` buckets);
+3. prefix-sum the per-bucket totals (bounded by the number of buckets);
+4. prefix-sum inside buckets with a window partitioned by bucket.
 
-Bucket boundaries only affect balance, never the result, so the answer is exact.
+Buckets only affect balance, never the result, so the answer is exact. Nothing
+runs while the plan is built: no counts, boundary jobs or checkpoints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from breachlens.session import materialise
-
-DEFAULT_BUCKETS = 4096          # upper bound on buckets
-ROWS_PER_BUCKET = 100_000       # target distinct values per bucket (one window task)
+BUCKETS_PER_OCTAVE = 1024
+MAX_BUCKET = 1 << 20
+NAN_SCORE = "A score is NaN."
 _BUCKET = "_rank_bucket"
 
 
-def _quantile_splits(values: DataFrame, col: str, n_buckets: int) -> list[float]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = values.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10 * n_buckets).alias("q")).first()
-    bounds = sorted({float(b) for b in (row["q"] or []) if b is not None})
-    return [float("-inf"), *bounds, float("inf")]
+def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
+    """A bucket number that never falls when the value grows: sign(v) · ⌊per_octave · log2(1 + |v|)⌋, bounded."""
+    v = value.cast("double")
+    size = F.least(F.floor(F.lit(float(per_octave)) * F.log2(F.lit(1.0) + F.abs(v))), F.lit(MAX_BUCKET))
+    return (F.signum(v) * size).cast("int")
+
+
+def no_nan(value: Column) -> Column:
+    """The value; the job fails on NaN (a NaN score has no place in any order)."""
+    return F.when(F.isnan(value.cast("double")), F.raise_error(F.lit(NAN_SCORE)).cast("double")).otherwise(value)
 
 
 def value_prefix_sums(df: DataFrame, value_col: str, sums: Mapping[str, Column],
-                      n_buckets: int = DEFAULT_BUCKETS, checkpoint_values: bool = True) -> DataFrame:
+                      per_octave: int = BUCKETS_PER_OCTAVE) -> DataFrame:
     """Distinct non-null ``value_col`` values with per-value sums and exclusive prefix sums.
 
     Output columns: ``value_col``, each ``name`` in ``sums`` (sum over rows with
     that value) and ``name_before`` (sum over rows with a strictly smaller value).
-    ``value_col`` must be numeric. The per-value table is checkpointed (to the
-    shared checkpoint folder) so the boundary job and the ranking read it once
-    instead of recomputing the input lineage.
+    ``value_col`` must be numeric; NaN fails the job.
     """
-    distinct = (df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
-                  .groupBy(value_col)
-                  .agg(*[F.sum(expr).cast("long").alias(n) for n, expr in sums.items()]))
-    if checkpoint_values:
-        distinct = materialise(distinct)
-    return _prefix_sums_of_distinct(distinct, value_col, list(sums), n_buckets)
-
-
-def _prefix_sums_of_distinct(distinct: DataFrame, value_col: str, names: list[str], n_buckets: int) -> DataFrame:
-    # Bucket count follows the number of distinct values (a cheap count over the
-    # materialised per-value table): small inputs skip the boundary job.
-    n_distinct = distinct.count()
-    buckets = min(n_buckets, -(-n_distinct // ROWS_PER_BUCKET))
-    splits = _quantile_splits(distinct, value_col, buckets) if buckets > 1 else [float("-inf"), float("inf")]
-    if len(splits) > 2:
-        bucketed = Bucketizer(splits=splits, inputCol="_rank_v", outputCol=_BUCKET).transform(
-            distinct.withColumn("_rank_v", F.col(value_col).cast("double"))).drop("_rank_v")
-    else:
-        bucketed = distinct.withColumn(_BUCKET, F.lit(0.0))
-
-    # ≤ n_buckets rows: a single-partition window here is bounded by construction.
-    per_bucket = bucketed.groupBy(_BUCKET).agg(*[F.sum(n).alias(n) for n in names])
+    names = list(sums)
+    checked = df.withColumn(value_col, no_nan(F.col(value_col)))
+    distinct = (checked.where(F.col(value_col).isNotNull()).groupBy(value_col)
+                .agg(*[F.sum(expr).cast("long").alias(n) for n, expr in sums.items()])
+                .withColumn(_BUCKET, order_bucket(F.col(value_col), per_octave)))
+    # ≤ 2·MAX_BUCKET + 1 rows: a single-partition window here is bounded by construction.
+    per_bucket = distinct.groupBy(_BUCKET).agg(*[F.sum(n).alias(n) for n in names])
     w_all = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        _BUCKET, *[F.coalesce(F.sum(n).over(w_all), F.lit(0)).alias(f"{n}_offset") for n in names])
-
+    offsets = per_bucket.select(_BUCKET, *[F.coalesce(F.sum(n).over(w_all), F.lit(0)).alias(f"{n}_offset") for n in names])
     w_in = Window.partitionBy(_BUCKET).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    inside = bucketed.select(
-        "*", *[F.coalesce(F.sum(n).over(w_in), F.lit(0)).alias(f"{n}_inside") for n in names])
-    joined = inside.join(F.broadcast(offsets), _BUCKET)
-    return joined.select(
-        value_col, *names,
-        *[(F.col(f"{n}_offset") + F.col(f"{n}_inside")).cast("long").alias(f"{n}_before") for n in names])
-
-
-def _pick_quantiles(ranked: DataFrame, col: str, probs: Mapping[str, float]) -> DataFrame:
-    total = ranked.agg(F.sum("_n").alias("_total"))
-    cand = ranked.crossJoin(F.broadcast(total))  # 1-row side
-    picks = []
-    for name, q in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(q))
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        in_lo = (F.col("_n_before") <= lo) & (lo < F.col("_n_before") + F.col("_n"))
-        in_hi = (F.col("_n_before") <= hi) & (hi < F.col("_n_before") + F.col("_n"))
-        v = F.col(col).cast("double")
-        picks += [F.max(F.when(in_lo, v)).alias(f"{name}__lo"),
-                  F.max(F.when(in_hi, v)).alias(f"{name}__hi"),
-                  F.max(pos - lo).alias(f"{name}__frac")]
-    one = cand.agg(*picks)
-    return one.select(*[
-        (F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__frac")).alias(n)
-        for n in probs])
+    inside = distinct.select("*", *[F.coalesce(F.sum(n).over(w_in), F.lit(0)).alias(f"{n}_inside") for n in names])
+    return inside.join(offsets, _BUCKET).select(
+        value_col, *names, *[(F.col(f"{n}_offset") + F.col(f"{n}_inside")).cast("long").alias(f"{n}_before") for n in names])
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float],
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row; for each ``name → q`` the linear-interpolation quantile of ``col``.
+                    per_octave: int = BUCKETS_PER_OCTAVE) -> DataFrame:
+    """One row; for each ``name → q`` the linear-interpolation quantile of ``col`` (NaN fails the job).
 
     Same definition as pandas ``Series.quantile`` / numpy ``linear``: position
-    (n−1)·q between the two neighbouring order statistics. NULL/NaN ignored;
-    NULL when the column has no values.
+    (n−1)·q between the two neighbouring order statistics. NULL ignored; NULL
+    when the column has no values.
     """
-    return multi_column_quantiles(df, {col: probs}, n_buckets)
+    return multi_column_quantiles(df.withColumn(col, no_nan(F.col(col))), {col: probs}, per_octave)
 
 
 def multi_column_quantiles(df: DataFrame, spec: Mapping[str, Mapping[str, float]],
-                           n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row of exact quantiles for several columns, from ONE pass over ``df``.
+                           per_octave: int = BUCKETS_PER_OCTAVE) -> DataFrame:
+    """One row of exact quantiles for several columns (NULL and NaN ignored), from ONE pass over ``df``.
 
-    All columns are unpivoted to (column, value) pairs and counted per pair in a
-    single shuffle (partial aggregation collapses repeated values); that
-    per-value table is checkpointed, then each column is ranked from it.
-    """
-    cols = list(spec)
-    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols])
-    counted = (df.select(F.inline(pairs))
-                 .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-                 .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    counted = materialise(counted)
-    out = None
-    for c in cols:
-        per = counted.where(F.col("_col") == c).select(F.col("_v").alias(c), "_n")
-        ranked = _prefix_sums_of_distinct(per, c, ["_n"], n_buckets)
-        one = _pick_quantiles(ranked, c, spec[c])
-        out = one if out is None else out.crossJoin(one)  # 1 row × 1 row
-    return out
-
-
-def hash_rank_within(df: DataFrame, group_col: str, hash_hex: Column, rank_col: str = "rank",
-                     bucket_hex_digits: int = 3) -> DataFrame:
-    """1-based rank of each row within ``group_col`` ordered by a uniform hex hash.
-
-    The hash prefix is the bucket, so buckets are balanced by construction and
-    no group (however large) lands in one task. Ties on the full hash are
-    broken by the hash string itself being equal → arbitrary but deterministic
-    only if the hash is unique; pass a hash of a unique key.
+    All columns are unpivoted to (column, value) pairs and counted per pair in one shuffle. Bucket totals say in
+    which buckets the wanted positions lie; only those buckets are ranked.
     """
-    bucket = F.conv(F.substring(hash_hex, 1, bucket_hex_digits), 16, 10).cast("int")
-    tagged = df.withColumn("_h", hash_hex).withColumn("_hb", bucket)
-    per_bucket = tagged.groupBy(group_col, "_hb").agg(F.count(F.lit(1)).alias("_cnt"))
-    # ≤ groups·16^digits rows (bounded), prefix sums per group.
-    w_b = Window.partitionBy(group_col).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(group_col, "_hb", F.coalesce(F.sum("_cnt").over(w_b), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(group_col, "_hb").orderBy("_h")
-    inside = tagged.withColumn("_rin", F.row_number().over(w_in))
-    return (inside.join(F.broadcast(offsets), [group_col, "_hb"])
-                  .withColumn(rank_col, (F.col("_off") + F.col("_rin")).cast("long"))
-                  .drop("_h", "_hb", "_off", "_rin"))
-
-
-__all__ = ["value_prefix_sums", "exact_quantiles", "hash_rank_within", "DEFAULT_BUCKETS"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in spec])
+    counted = (df.select(F.inline(pairs)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+               .groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn(_BUCKET, order_bucket(F.col("_v"), per_octave)))
+    by_col = Window.partitionBy("_col")
+    before = by_col.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = counted.groupBy("_col", _BUCKET).agg(F.sum("_n").alias("_in")).select(
+        "_col", _BUCKET, "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_in").over(by_col).alias("_total"))
+    asked = {c: F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(q)).alias("_q")) for n, q in probs.items()])
+             for c, probs in spec.items()}
+    choice = F.lit(None)
+    for c, names in asked.items():
+        choice = F.when(F.col("_col") == c, names).otherwise(choice)
+    wanted = per_bucket.select("*", F.inline(choice)).withColumn("_pos", (F.col("_total") - 1) * F.col("_q"))
+    lo, hi, end = F.floor("_pos"), F.ceil("_pos"), F.col("_offset") + F.col("_in")
+    wanted = wanted.where(((lo >= F.col("_offset")) & (lo < end)) | ((hi >= F.col("_offset")) & (hi < end)))
+    ranked = counted.join(wanted.select("_col", _BUCKET, "_offset", "_name", "_pos"), ["_col", _BUCKET])
+    inside = Window.partitionBy("_col", _BUCKET, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranked = ranked.withColumn("_start", start)
+    holds = lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_n"))
+    picks = ranked.groupBy("_col", "_name").agg(
+        F.max(F.when(holds(lo), F.col("_v"))).alias("_lo"), F.max(F.when(holds(hi), F.col("_v"))).alias("_hi"),
+        F.max(F.col("_pos") - lo).alias("_frac"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    return picks.agg(*[F.max(F.when((F.col("_col") == c) & (F.col("_name") == n), value)).alias(n)
+                       for c, probs in spec.items() for n in probs])
+
+
+__all__ = ["value_prefix_sums", "exact_quantiles", "multi_column_quantiles", "order_bucket", "no_nan", "NAN_SCORE"]

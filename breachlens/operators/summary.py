@@ -5,6 +5,9 @@ partial aggregation, so a ticket holding a third of the log is pre-reduced in
 every map task before it crosses the network. "First/last non-null in log order"
 is ``min_by``/``max_by`` against the ordering column(s), restricted to non-null
 values by nulling the ordering of null rows (``min_by`` skips null orderings).
+The ordering of a row with a value is never NULL: each ordering column comes
+with a flag that places rows without an order after all others, and the value
+itself breaks ties (the smallest is first, the largest last).
 
 The derivation is schema-adaptive: a feature is emitted only if its input
 column exists. Only the key is mandatory.
@@ -17,30 +20,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.schema import CATEGORICAL_ATTRS, KEY
+from breachlens.schema import CATEGORICAL_ATTRS, KEY, LOG_ORDER
 
+# Fixed value: the message users of the public job know.
 MISSING_KEY_MESSAGE = "Expected a 'number' column for incident ID but it was not found."
 
 # Characters removed by the flag normaliser (Python's str.strip whitespace set, ASCII part).
 _WS = " \t\n\r\x0b\x0c"
 
 
-def order_key(order_by: str | Sequence[str]) -> Column:
-    """One orderable column from one or more ordering columns (struct = lexicographic)."""
-    if isinstance(order_by, str):
-        return F.col(order_by)
-    cols = list(order_by)
+NO_ORDER = "The log has no order: pass order_by, or read it with read_event_log, which adds '{column}'."
+
+
+def order_key(columns: Sequence[str], order_by: str | Sequence[str] | None) -> list[Column]:
+    """Ordering columns, never NULL as a whole: (is missing, value) for each column of ``order_by``.
+
+    Without ``order_by`` the log order added at ingest is used, else the column ``event_seq``.
+    """
+    if order_by is None:
+        order_by = next((c for c in (LOG_ORDER, "event_seq") if c in columns), None)
+        if order_by is None:
+            raise ValueError(NO_ORDER.format(column=LOG_ORDER))
+    cols = [order_by] if isinstance(order_by, str) else list(order_by)
     if not cols:
         raise ValueError("order_by needs at least one column")
-    return F.col(cols[0]) if len(cols) == 1 else F.struct(*[F.col(c) for c in cols])
+    return [part for c in cols for part in (F.col(c).isNull(), F.col(c))]
+
+
+def _placed(col: str, order: list[Column]) -> Column:
+    parts = [p.alias(f"o{i}") for i, p in enumerate([*order, F.col(col)])]
+    return F.when(F.col(col).isNotNull(), F.struct(*parts))
 
 
-def first_non_null(col: str, order: Column) -> Column:
-    return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), order))
+def first_non_null(col: str, order: list[Column]) -> Column:
+    return F.min_by(F.col(col), _placed(col, order))
 
 
-def last_non_null(col: str, order: Column) -> Column:
-    return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), order))
+def last_non_null(col: str, order: list[Column]) -> Column:
+    return F.max_by(F.col(col), _placed(col, order))
 
 
 def normalised_flag(raw: Column) -> Column:
@@ -59,13 +76,13 @@ def hours_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3600000000.0)
 
 
-def incident_summary(log: DataFrame, order_by: str | Sequence[str] = "event_seq",
+def incident_summary(log: DataFrame, order_by: str | Sequence[str] | None = None,
                      key: str = KEY, drop_unlabelled: bool = True) -> DataFrame:
     cols = set(log.columns)
     if key not in cols:
         raise ValueError(MISSING_KEY_MESSAGE)
     ordered = any(c in cols for c in (*CATEGORICAL_ATTRS, "made_sla"))
-    order = order_key(order_by) if ordered else None
+    order = order_key(log.columns, order_by) if ordered else []
 
     aggs: list[Column] = [F.count(F.lit(1)).alias("total_events")]
     if "sys_mod_count" in cols:
@@ -109,16 +126,16 @@ def sys_mod_stats(log: DataFrame, key: str = KEY) -> DataFrame:
                                 F.avg("sys_mod_count").alias("sys_mod_count_mean"))
 
 
-def first_non_null_attrs(log: DataFrame, order_by: str | Sequence[str] = "event_seq",
+def first_non_null_attrs(log: DataFrame, order_by: str | Sequence[str] | None = None,
                          key: str = KEY, attrs: Sequence[str] = CATEGORICAL_ATTRS) -> DataFrame:
-    order = order_key(order_by)
+    order = order_key(log.columns, order_by)
     present = [c for c in attrs if c in log.columns]
     return log.groupBy(key).agg(*[first_non_null(c, order).alias(c) for c in present])
 
 
-def last_sla_flag(log: DataFrame, order_by: str | Sequence[str] = "event_seq", key: str = KEY) -> DataFrame:
+def last_sla_flag(log: DataFrame, order_by: str | Sequence[str] | None = None, key: str = KEY) -> DataFrame:
     """Last non-null raw flag per incident, its normalised boolean and the label (unfiltered)."""
-    order = order_key(order_by)
+    order = order_key(log.columns, order_by)
     out = log.groupBy(key).agg(last_non_null("made_sla", order).cast("string").alias("last_flag"))
     flag = normalised_flag(F.col("last_flag"))
     return out.select(key, "last_flag", flag.alias("made_sla"), sla_label(flag).alias("sla_breached"))
@@ -132,4 +149,4 @@ def resolution_hours(log: DataFrame, key: str = KEY) -> DataFrame:
 
 __all__ = ["incident_summary", "total_events", "sys_mod_stats", "first_non_null_attrs",
            "last_sla_flag", "resolution_hours", "normalised_flag", "sla_label", "hours_between",
-           "order_key", "MISSING_KEY_MESSAGE"]
+           "order_key", "MISSING_KEY_MESSAGE", "NO_ORDER"]

@@ -13,17 +13,6 @@ _FLAG = "lower(trim(last_flag, ' \t\n\r' || chr(11) || chr(12)))"
 ORACLES: dict[str, str] = {
     "incident_summary": with_ctes(f"SELECT {_SUMMARY_COLS} FROM inc", LOG_CTE, INC_CTE),
     "ranked_incidents": on_scored("SELECT * FROM scored ORDER BY sla_breach_probability DESC, number"),
-    "kpi_overview": on_scored("""
-SELECT CAST(count(*) AS BIGINT) AS total_incidents,
-  avg(sla_breach_probability) AS avg_risk_score,
-  avg(CAST(sla_breached AS DOUBLE)) AS breach_rate,
-  CAST(count(*) FILTER (WHERE risk_band = 'High') AS BIGINT) AS high_count,
-  CAST(count(*) FILTER (WHERE risk_band = 'Medium') AS BIGINT) AS medium_count,
-  CAST(count(*) FILTER (WHERE risk_band = 'Low') AS BIGINT) AS low_count,
-  CAST(count(*) FILTER (WHERE risk_band = 'High') AS DOUBLE) / count(*) AS high_share,
-  CAST(count(*) FILTER (WHERE risk_band = 'Medium') AS DOUBLE) / count(*) AS medium_share,
-  CAST(count(*) FILTER (WHERE risk_band = 'Low') AS DOUBLE) / count(*) AS low_share
-FROM scored"""),
     "total_events": with_ctes("SELECT number, CAST(count(*) AS BIGINT) AS total_events FROM log GROUP BY number",
                               LOG_CTE),
     "sys_mod_stats": with_ctes("""
@@ -134,12 +123,12 @@ FROM scored WHERE priority IS NOT NULL AND risk_band IS NOT NULL GROUP BY priori
 SELECT assignment_group, round_even(avg(sla_breach_probability), 12) AS avg_risk_score,
   CAST(count(*) AS BIGINT) AS incidents
 FROM scored WHERE assignment_group IS NOT NULL GROUP BY assignment_group
-ORDER BY avg_risk_score DESC, assignment_group LIMIT 10"""),
+ORDER BY CAST(sum(score_bp) AS DOUBLE) / count(*) DESC, assignment_group LIMIT 10"""),
     "top_categories": on_scored("""
 SELECT category, round_even(avg(sla_breach_probability), 12) AS avg_risk_score,
   CAST(count(*) AS BIGINT) AS incidents
 FROM scored WHERE category IS NOT NULL GROUP BY category
-ORDER BY avg_risk_score DESC, category LIMIT 10"""),
+ORDER BY CAST(sum(score_bp) AS DOUBLE) / count(*) DESC, category LIMIT 10"""),
     "confusion_matrix": on_scored(_CM + """
 SELECT * FROM (
   SELECT 0 AS actual, 0 AS predicted, CAST(tn AS BIGINT) AS n FROM c UNION ALL
@@ -273,8 +262,10 @@ FROM log""", LOG_CTE),
 SELECT CAST(count(*) AS BIGINT) AS event_rows, 16 AS n_columns,
   CAST(count(DISTINCT number) + max(CASE WHEN number IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS tickets
 FROM log""", LOG_CTE),
-    "summary_minimal_schema": with_ctes(
-        "SELECT number, CAST(count(*) AS BIGINT) AS total_events FROM log GROUP BY number", LOG_CTE),
+    "summary_minimal_schema": with_ctes("""
+SELECT number, CAST(count(*) AS BIGINT) AS total_events, max(reopen_count) AS reopen_count_max,
+  arg_min(priority, event_seq) FILTER (WHERE priority IS NOT NULL) AS priority, min(opened_at) AS opened_at_min
+FROM log GROUP BY number""", LOG_CTE),
     "feature_projection": with_ctes("""
 SELECT total_events, sys_mod_count_max, sys_mod_count_mean, reassignment_count_max, reopen_count_max, category,
   subcategory, priority, assignment_group, caller_id, opened_by, location, resolution_hours FROM inc""", *_INC_ONLY),
@@ -331,3 +322,62 @@ SELECT sla_breached, CAST(n_c AS BIGINT) AS n_c,
   CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(*) OVER () * n_c AS DOUBLE) AS weight
 FROM (SELECT sla_breached, count(*) AS n_c FROM train GROUP BY 1)"""),
 })
+
+# ── prompts and model queries ────────────────────────────────────────────────
+
+# The explainer's texts, repeated so that the oracle is independent.
+_SYSTEM = (
+    "You are an ITSM incident analyst.\n"
+    "Explain SLA breach risk using ONLY the provided JSON facts.\n"
+    "Do NOT invent numbers or fields. If a value is missing, say it is not available.\n"
+    "Return:\n"
+    "- 2 to 4 bullet points explaining why this ticket is risky\n"
+    "- 1 to 2 bullet points on recommended next actions\n"
+)
+
+
+def _json(value: str) -> str:
+    return f"coalesce(CAST(to_json({value}) AS VARCHAR), 'null')"
+
+
+def _fields(pad: str, fields: list[tuple[str, str]]) -> str:
+    return " || ',\n' || ".join(f"'{pad}\"{name}\": ' || {value}" for name, value in fields)
+
+
+_NUMBER = "coalesce(CAST({0} AS VARCHAR), 'null')"
+_INNER = _fields("    ", [(n, _NUMBER.format(n)) for n in (
+    "total_events", "reassignment_count_max", "reopen_count_max", "resolution_hours")]
+    + [(n, _json(n)) for n in ("priority", "assignment_group", "category")])
+_OUTER = _fields("  ", [("sla_breach_probability", _NUMBER.format("sla_breach_probability")),
+                        ("risk_level", _json("risk_level")), ("recommended_action", _json("recommended_action")),
+                        ("key_factors", "'{\n' || " + _INNER + " || '\n  }'")])
+ORACLES["explanation_prompts"] = on_scored(f"""
+, f AS (SELECT {_FACTS} FROM scored)
+SELECT number, '{_SYSTEM}' AS system_prompt,
+  'Incident risk summary (JSON):\n' || '{{\n' || {_OUTER} || '\n}}' AS user_message FROM f""")
+
+
+def _on_split(select_sql: str) -> str:
+    return with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace("\nSELECT 1", _SPLIT + "\n" + select_sql)
+
+
+# What a model query's rows are apart from the model itself.
+_NAMES = "(VALUES ('logreg'), ('random_forest')) AS c(name)"
+ORACLES["evaluate_candidates"] = _on_split(f"""
+SELECT name, CAST(count(*) FILTER (WHERE sla_breached = 0) AS BIGINT) AS met,
+  CAST(count(*) FILTER (WHERE sla_breached = 1) AS BIGINT) AS breached, TRUE AS better_than_chance
+FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name""")
+ORACLES["train_candidates"] = _on_split(f"""
+SELECT name, sla_breached, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_valid
+FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name, sla_breached""")
+ORACLES["model_roundtrip"] = with_ctes("SELECT number, TRUE AS same FROM inc", LOG_CTE, INC_CTE)
+ORACLES["score_incidents"] = with_ctes(
+    "SELECT number, sla_breached, category, total_events, TRUE AS consistent FROM inc", LOG_CTE, INC_CTE)
+ORACLES["score_new_log"] = with_ctes("""
+, other AS (SELECT * REPLACE ('N' || number AS number,
+    CASE WHEN event_seq % 3 = 0 THEN 'Unseen, "new"' ELSE category END AS category) FROM log)
+, r AS (SELECT number, CAST(count(*) AS BIGINT) AS total_events,
+    arg_min(category, event_seq) FILTER (WHERE category IS NOT NULL) AS category,
+    arg_max(made_sla, event_seq) FILTER (WHERE made_sla IS NOT NULL) AS last_flag FROM other GROUP BY number)
+SELECT number, CAST(""" + _FLAG + """ = 'false' AS INTEGER) AS sla_breached, category, total_events, TRUE AS consistent
+FROM r WHERE """ + _FLAG + " IN ('true', 'false')", LOG_CTE)

@@ -12,32 +12,45 @@ summary lineage on every pass (and survive executor loss).
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.session import materialise
-
 from breachlens.operators import features, metrics, split
 from breachlens.schema import LABEL, PROB
+from breachlens.session import materialise
+
+log = logging.getLogger(__name__)
 
 WEIGHT = "class_weight"
 FEATURES = "features"
+# Fixed value: the message users of the public job know.
 MISSING_LABEL = "sla_breached not found. Is 'made_sla' present in the CSV?"
 
 
+ONE_CLASS = "The {part} part has no incident with label {label}; both classes are needed."
+
+
 @dataclass(frozen=True)
 class TrainConfig:
+    """``rf_max_depth``: the library grows trees level by level and holds one histogram for each node of a level, so
+    the depth bounds the memory of a fit (its own limit is 30); 12 allows 4,096 leaves a tree.
+    ``encoder``: ``onehot`` keeps every category of the training part (labels held by the driver and the model);
+    ``hashing`` maps them to ``hash_features`` counters, without a vocabulary, for columns of unbounded cardinality."""
+
     seed: int = 42
     test_size: float = 0.2
     lr_max_iter: int = 250
     rf_trees: int = 300
     rf_max_depth: int = 12
+    encoder: str = "onehot"
+    hash_features: int = 1 << 16
     candidates: tuple[str, ...] = ("logreg", "random_forest")
 
 
@@ -69,9 +82,18 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     test = parts.where(F.col("split") == "test")
     # Fitted parameters: one value per input column (bounded by the schema width).
     med_row = features.numeric_medians(train, num_cols).first()
-    medians = {c: (float(med_row[c]) if med_row[c] is not None else 0.0) for c in num_cols}
+    empty = [c for c in num_cols if med_row[c] is None]
+    if empty:
+        log.warning("columns without any value in the training part are left out: %s", ", ".join(empty))
+    num_cols = [c for c in num_cols if c not in empty]
+    medians = {c: float(med_row[c]) for c in num_cols}
     modes = {r["feature"]: r["mode"] for r in features.categorical_modes(train, cat_cols).collect()}
     weights = {int(r[LABEL]): float(r["weight"]) for r in features.class_weights(train).collect()}
+    tested = {int(r[LABEL]) for r in test.select(LABEL).distinct().collect()}
+    for part, labels in (("training", weights), ("test", tested)):
+        for label in (0, 1):
+            if label not in labels:
+                raise ValueError(ONE_CLASS.format(part=part, label=label))
     wexpr = F.lit(None).cast("double")
     for k, w in weights.items():
         wexpr = F.when(F.col(LABEL) == k, F.lit(w)).otherwise(wexpr)
@@ -80,20 +102,23 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     return Prepared(train, test, num_cols, cat_cols, medians, modes, sum_w, len(num_cols) + len(cat_cols))
 
 
-def preprocessing_stages(p: Prepared) -> list:
+def preprocessing_stages(p: Prepared, cfg: TrainConfig = TrainConfig()) -> list:
     sel = [f"coalesce(CAST(`{c}` AS DOUBLE), {p.medians[c]!r}D) AS `{c}__imp`" for c in p.num_cols]
     for c in p.cat_cols:
         fill = _sql_str(p.modes[c]) if p.modes.get(c) is not None else "NULL"
         sel.append(f"coalesce(CAST(`{c}` AS STRING), {fill}) AS `{c}__imp`")
-    impute = SQLTransformer(statement="SELECT *, " + ", ".join(sel) + " FROM __THIS__")
+    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(sel) + " FROM __THIS__")]
     cat_in = [f"{c}__imp" for c in p.cat_cols]
-    idx_out = [f"{c}__idx" for c in p.cat_cols]
-    ohe_out = [f"{c}__ohe" for c in p.cat_cols]
-    stages = [impute]
-    if p.cat_cols:
+    encoded = []
+    if p.cat_cols and cfg.encoder == "hashing":
+        encoded = ["categories__ohe"]
+        stages.append(FeatureHasher(inputCols=cat_in, outputCol=encoded[0], numFeatures=cfg.hash_features,
+                                    categoricalCols=cat_in))
+    elif p.cat_cols:
+        idx_out, encoded = [f"{c}__idx" for c in p.cat_cols], [f"{c}__ohe" for c in p.cat_cols]
         stages += [StringIndexer(inputCols=cat_in, outputCols=idx_out, handleInvalid="keep"),
-                   OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True)]
-    stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in p.num_cols] + ohe_out, outputCol=FEATURES))
+                   OneHotEncoder(inputCols=idx_out, outputCols=encoded, dropLast=True)]
+    stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in p.num_cols] + encoded, outputCol=FEATURES))
     return stages
 
 
@@ -108,37 +133,76 @@ def classifiers(p: Prepared, cfg: TrainConfig) -> dict:
 
 
 def train_candidates(p: Prepared, cfg: TrainConfig = TrainConfig()) -> dict[str, PipelineModel]:
-    pre = preprocessing_stages(p)
+    """One pipeline model per candidate; the preprocessing is fitted once and shared."""
+    pre = Pipeline(stages=preprocessing_stages(p, cfg)).fit(p.train)
+    encoded = materialise(pre.transform(p.train).select(FEATURES, LABEL, WEIGHT))
     clfs = classifiers(p, cfg)
-    return {name: Pipeline(stages=[*pre, clfs[name]]).fit(p.train) for name in cfg.candidates}
+    return {name: PipelineModel([*pre.stages, clfs[name].fit(encoded)]) for name in cfg.candidates}
+
+
+def feature_names(model: PipelineModel, data: DataFrame) -> list[str]:
+    """Names of the model's inputs, in order; ``data`` is any table that the model can score."""
+    attrs = model.transform(data.limit(0)).schema[FEATURES].metadata["ml_attr"]
+    named = {a["idx"]: a["name"] for group in attrs.get("attrs", {}).values() for a in group if "name" in a}
+    return [named.get(i, f"{FEATURES}_{i}") for i in range(attrs["num_attrs"])]
+
+
+def model_inputs(model: PipelineModel, data: DataFrame) -> DataFrame:
+    """Rows (feature, weight) of a fitted classifier: coefficients (with the intercept) or importances."""
+    clf = model.stages[-1]
+    if hasattr(clf, "coefficients"):
+        weights = [*clf.coefficients.toArray().tolist(), float(clf.intercept)]
+        names = [*feature_names(model, data), "(intercept)"]
+    else:
+        weights, names = clf.featureImportances.toArray().tolist(), feature_names(model, data)
+    return data.sparkSession.createDataFrame(list(zip(names, weights)), "feature string, weight double")
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn(PROB, vector_to_array(F.col("probability"))[1])
 
 
-def evaluate(model: PipelineModel, test: DataFrame, name: str, threshold: float = 0.5) -> DataFrame:
-    """One row: name, ROC-AUC, confusion counts and metrics at the threshold on held-out rows."""
-    scored = positive_probability(model.transform(test)).select(PROB, LABEL)
-    auc = metrics.roc_auc(scored).select("roc_auc")
-    tm = metrics.threshold_metrics(scored, threshold=threshold)
+def test_scores(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
+    """(name, label, probability) of every test row under every candidate, materialised: each model runs once."""
+    frames = [positive_probability(m.transform(test)).select(F.lit(n).alias("name"), LABEL, PROB) for n, m in models.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return materialise(out)
+
+
+def evaluate(scores: DataFrame, name: str, threshold: float = 0.5) -> DataFrame:
+    """One row: name, ROC-AUC, confusion counts and metrics at the threshold on held-out scores."""
+    auc = metrics.roc_auc(scores).select("roc_auc")
+    tm = metrics.threshold_metrics(scores, threshold=threshold)
     acc = F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("total").cast("double"))
     return auc.crossJoin(tm).select(F.lit(name).alias("name"), "roc_auc", "tn", "fp", "fn", "tp",
                                     acc.alias("accuracy"), "precision", "recall", "f1")
 
 
-def evaluate_candidates(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
-    frames = [evaluate(m, test, n) for n, m in models.items()]
+def _per_candidate(models: dict[str, PipelineModel], scores: DataFrame, table) -> DataFrame:
+    frames = [table(scores.where(F.col("name") == n).drop("name"), n) for n in models]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def pick_best(evaluations: DataFrame, order: tuple[str, ...] = ("logreg", "random_forest")) -> DataFrame:
-    """Highest ROC-AUC; on a tie the earlier candidate wins."""
+def evaluate_candidates(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
+    """One row of held-out metrics per candidate."""
+    return _per_candidate(models, test_scores(models, test), evaluate)
+
+
+def report_candidates(models: dict[str, PipelineModel], test: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The per-class report of every candidate on the test part."""
+    return _per_candidate(models, test_scores(models, test), lambda s, n: metrics.classification_report(
+        s, threshold=threshold).select(F.lit(n).alias("name"), "*"))
+
+
+def pick_best(evaluations: DataFrame, order: tuple[str, ...] = TrainConfig.candidates) -> DataFrame:
+    """Highest ROC-AUC; on a tie the earlier candidate wins (one that ``order`` doesn't name comes last)."""
     rank = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("name"))
-    return evaluations.orderBy(F.desc_nulls_last("roc_auc"), rank).limit(1)
+    return evaluations.orderBy(F.desc_nulls_last("roc_auc"), F.when(rank > 0, rank).otherwise(len(order) + 1), "name").limit(1)
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -151,5 +215,6 @@ def load_model(path: str) -> PipelineModel:
 
 
 __all__ = ["TrainConfig", "Prepared", "prepare", "preprocessing_stages", "classifiers", "train_candidates",
-           "positive_probability", "evaluate", "evaluate_candidates", "pick_best", "save_model", "load_model",
+           "positive_probability", "test_scores", "evaluate", "evaluate_candidates", "report_candidates", "model_inputs",
+           "feature_names", "pick_best", "save_model", "load_model",
            "MISSING_LABEL"]

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 KEY = "number"
 
+# Column names of the public incident log.
 DATE_COLS = ("opened_at", "resolved_at", "closed_at", "sys_updated_at", "sys_created_at")
 
 # Categorical attributes summarised as "first non-null value in log order".
@@ -14,6 +15,9 @@ CATEGORICAL_ATTRS = ("category", "subcategory", "priority", "assignment_group",
 
 COUNTER_COLS = ("sys_mod_count", "reassignment_count", "reopen_count")
 
+# Position of a row in the log as ingested (file, block, row); the default log order.
+LOG_ORDER = "log_order"
+
 # Declared event-log schema (CSV ingest reads with it: no inference pass).
 EVENT_LOG_SCHEMA = T.StructType([
     T.StructField("number", T.StringType()),
@@ -36,7 +40,7 @@ EVENT_LOG_SCHEMA = T.StructType([
     T.StructField("made_sla", T.StringType()),
 ])
 
-# Columns never used as model inputs.
+# Columns never used as model inputs.
 NON_FEATURE_COLS = ("number", "sla_breached", "made_sla", "opened_at_min", "resolved_at_max")
 
 PROB = "sla_breach_probability"

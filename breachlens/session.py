@@ -1,8 +1,10 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the scratch/checkpoint location is whatever the deployment put
-into ``spark.checkpoint.dir`` (a shared filesystem). We only pick a folder of
-our own when that setting is absent, which is the local test case.
+into ``spark.checkpoint.dir`` or set with ``setCheckpointDir`` (a shared
+filesystem). We only pick a folder of our own when neither is there and the
+master is local, where driver and executors are one process; any other master
+without such a folder is an error.
 """
 
 from __future__ import annotations
@@ -48,14 +50,20 @@ def get_spark(master: str | None = None, app_name: str = "breachlens",
     return spark
 
 
+NO_SHARED_FOLDER = "Set spark.checkpoint.dir to a folder that all executors share (master {master})."
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the session's setting, else the context's; a local one only for a local master."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(NO_SHARED_FOLDER.format(master=sc.master))
         base = tempfile.mkdtemp(prefix="breachlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base)
     return base
 
 
@@ -68,13 +76,17 @@ def materialise(df):
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/breachlens/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/breachlens/{spark.sparkContext.applicationId}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local existence checks in tests."""
-    return path[5:] if path.startswith("file:") else path
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote with ``shared_dir``. Call it when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "materialise", "shared_dir", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "materialise", "shared_dir", "remove_scratch", "DEFAULT_CONF"]
