@@ -9,11 +9,11 @@ Documents that share a sketch share a bucket. Equal word sequences are one class
 different texts only.
 
 No bucket is expanded into all pairs. First each bucket's two leaders are aligned with every other member, and the
-links found are joined to components. Only buckets that still hold several components go on: where at most
-``MOST_STRAYS`` members lie outside the largest component, each of these is aligned with every member of other
-components; otherwise one more leader in the order of class numbers is aligned with all members of other components,
-round by round, until no such bucket is left. So every pair in a bucket is either aligned or already connected through
-others, and a round has at most ``MOST_STRAYS`` pairs per member.
+links found are joined to components. A bucket that still holds several components goes on: some members outside its
+largest component lead next (all if at most ``MOST_STRAYS`` are left, else a hashed draw of ``LEADERS`` times 2, 4, 8, …)
+and are aligned with every member of other components. A member that has led is settled; most others are connected by
+the links found and never need to lead. The rounds end when every member outside the largest component of its bucket is
+settled, so each pair in a bucket is either aligned or already connected through others.
 
 Alignment: symbols occur once in a sequence, so the common subsequence is the longest increasing run of matched
 places. Matches farther from the diagonal than an alignment of 0.8 can reach are left out first (the band).
@@ -42,7 +42,8 @@ SHINGLE = 5
 ELL = 3
 SKETCHES = 12
 SIMILARITY = 0.8
-MOST_STRAYS = 256
+MOST_STRAYS = 64
+LEADERS = 8
 PIECE_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
@@ -164,7 +165,7 @@ def _sequences(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def _alike(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of classes, those whose alignment reaches the similarity."""
+    """Of the pairs (a, b) of classes, those whose alignment reaches the similarity. Only sequences in pairs are shuffled."""
     def run(batches):
         for batch in batches:
             a, b = (batch.column(batch.schema.get_field_index(x)) for x in ("seq_a", "seq_b"))
@@ -173,6 +174,8 @@ def _alike(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(x)) for x in "ab"], names=["a", "b"])
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sequences = sequences.join(needed, "c", "left_semi")
     both = (pairs.join(sequences.select(F.col("c").alias("a"), F.col("seq").alias("seq_a")), "a")
             .join(sequences.select(F.col("c").alias("b"), F.col("seq").alias("seq_b")), "b"))
     return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
@@ -202,34 +205,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     ``representative``."""
     tables = Tables(docs.sparkSession, "order-minhash")
     rows = tables.put(_sketched(docs, id_col, text))
-    bands = tables.put(rows.where("n > 0").select("c", F.explode("sketches").alias("h")).distinct())
+    bands = tables.put(rows.where("n > 0").select("c", "n", F.explode("sketches").alias("h")).distinct())
     shared = bands.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
     members = tables.put(bands.join(shared.where("m > 1"), "h"))
     sequences = tables.put(_sequences(docs, rows, members.select("c").distinct(), id_col, text))
     leaders = members.select("c", F.explode(F.array("low", "high")).alias("leader")).where("c <> leader")
-    links = tables.put(_alike(leaders.select(*_ordered("c", "leader")).distinct(), sequences, similarity))
+    first = tables.put(leaders.select(*_ordered("c", "leader")).distinct())
+    links = tables.put(_alike(first, sequences, similarity))
     roots = components(links, tables)
-    # h, c, root and the last leader of every bucket that still holds several components
-    open_ = members.select("h", "c", F.col("low").alias("last"))
+    open_, turn = members.select("h", "c", "n", F.lit(False).alias("done")), 0
     while True:
-        own = open_.join(roots, "c", "left").select("h", "c", "last", F.coalesce("root", "c").alias("root"))
+        turn += 1
+        own = open_.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-        mixed = (sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("m"),
-                                        F.max(F.struct("size", "root")).alias("main")).where("roots > 1")
-                 .select("h", F.col("main.root").alias("main"), (F.col("m") - F.col("main.size")).alias("strays")))
-        own = tables.put(own.join(mixed, "h"))
+        main = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root")).alias("main"))
+        own = own.join(main.where("roots > 1").select("h", F.col("main.root").alias("main")), "h")
+        stray = own.where("root <> main and not done")
+        strays = stray.groupBy("h").agg(F.count(F.lit(1)).alias("strays"))
+        own = tables.put(own.join(strays, "h"))       # buckets with strays that haven't led
         if own.isEmpty():
             break
-        few, many = own.where(F.col("strays") <= MOST_STRAYS), own.where(F.col("strays") > MOST_STRAYS)
-        stray = few.where("root <> main").select("h", F.col("c").alias("leader"), F.col("root").alias("leader_root"))
-        pairs = few.join(stray, "h").where("root <> leader_root").select("c", "leader")
-        following = many.where("c > last").groupBy("h").agg(F.min("c").alias("leader"))
-        led = tables.put(many.join(following, "h"))
-        lead_root = led.where("c = leader").select("h", F.col("root").alias("leader_root"))
-        pairs = pairs.union(led.join(lead_root, "h").where("root <> leader_root").select("c", "leader"))
-        links = tables.put(links.union(_alike(pairs.select(*_ordered("c", "leader")).distinct(), sequences, similarity)))
+        drawn = F.pmod(F.xxhash64("c", F.lit(turn)), F.col("strays")) < LEADERS << turn
+        leads = F.expr("root <> main and not done") & ((F.col("strays") <= MOST_STRAYS) | drawn)
+        leader = own.where(leads).select("h", F.col("c").alias("leader"), F.col("n").alias("m"), F.col("root").alias("leader_root"))
+        long_enough = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+        pairs = own.join(leader, "h").where((F.col("root") != F.col("leader_root")) & long_enough)
+        pairs = tables.put(pairs.select(*_ordered("c", "leader")).distinct())
+        links = tables.put(links.union(_alike(pairs, sequences, similarity)))
         roots = components(links, tables)
-        open_ = led.select("h", "c", F.col("leader").alias("last"))
+        open_ = own.select("h", "c", "n", (F.col("done") | leads).alias("done"))
     own = rows.groupBy("c").agg(F.min(F.struct("id", *KEY)).alias("least"), F.count(F.lit(1)).alias("rows"))
     own = tables.put(own.join(roots, "c", "left").select("c", "least", "rows", F.coalesce("root", "c").alias("root")))
     groups = own.groupBy("root").agg(F.min("least").alias("rep"), F.sum("rows").alias("class_size"))
