@@ -46,7 +46,7 @@ def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
     key, open_ = s.copy(), s > 0           # open_: no separator among the first k symbols
     for j in range(1, k):
         ahead = np.zeros(n, np.int64)
-        ahead[:n - j] = s[j:]
+        ahead[:max(n - j, 0)] = s[j:]
         open_, key = open_ & (ahead > 0), (key << bits) | np.where(open_, ahead, 0)
     sa = np.argsort(key)
     ordered = key[sa]

@@ -83,7 +83,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], text: str) -> Da
     place = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
     ids = docs.select(F.col(id_col).alias("id"), place.alias("place"))
     cuts = ids.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    splits = [float("-inf"), *sorted({c for c in cuts or [] if c != float("-inf")}), float("inf")]
+    splits = [float("-inf"), *sorted({c for c in cuts or [] if c != float("-inf")} or {0.0}), float("inf")]
     into = Bucketizer(splits=splits, inputCol="place", outputCol="range")
     # one row per range, at most MOST_RANGES: its greatest id
     tops = (into.transform(ids).groupBy("range").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))

@@ -70,7 +70,7 @@ def schedule(spark, need: list[tuple[int, int]], block: int) -> DataFrame:
             ends.append(at / words)
             drawn_sources.append(s)
     point = F.expr(f"((slot div {1 << 20}) * {_HIGH!r}D + (slot % {1 << 20}) * {GOLDEN!r}D + {GOLDEN / 2!r}D) % 1D")
-    drawn = Bucketizer(splits=ends, inputCol="point", outputCol="place").transform(
+    drawn = Bucketizer(splits=[*ends, 2.0], inputCol="point", outputCol="place").transform(   # no point reaches 1
         spark.range(total).withColumnRenamed("id", "slot").withColumn("point", point))
     numbers = F.array(*[F.lit(s) for s in drawn_sources])
     drawn = drawn.select("slot", numbers[F.col("place").cast("int")].alias("source_no"),

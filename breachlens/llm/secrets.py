@@ -2,9 +2,9 @@
 
 Two first-order Markov models over the characters of ``ALPHABET``, one of random strings, one of ordinary identifiers,
 are trained from labelled samples: counts of neighbouring character pairs by label, summed on Spark (at most two times
-the square of the alphabet reach the driver). A token of ``TOKEN`` is a secret if its log-likelihood ratio is at least
+the square of the alphabet reach the driver). A token of ``TOKEN`` with a letter and a digit is a secret if its log-likelihood ratio is at least
 ``MIN_TOTAL`` in all and ``MIN_MEAN`` per pair. ``corpus_samples`` takes the labelled samples from the corpus: values
-that a pattern of kind assign or access found, and the words of a bounded sample of documents.
+that a pattern of kind assign or access found, and the words (too short for a token) of a bounded sample of documents.
 
 Defined cases: null text is empty; texts without a match have no spans; without any labelled secret the random model is
 uniform; characters outside the alphabet end a token; repeated rows give repeated results; extra columns are ignored.
@@ -27,7 +27,7 @@ HEX = r"[0-9a-f]{16,}"
 MIN_VALUE = 12
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-WORD = r"[A-Za-z0-9+/_=-]{5,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{5,19}(?![A-Za-z0-9+/_=-])"   # shorter than a token
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-."
 SAMPLE_DOCUMENTS = 4000      # bound on documents whose words are labelled samples
 MIN_TOTAL, MIN_MEAN = 15.0, 0.7
@@ -62,7 +62,8 @@ def corpus_samples(scan: DataFrame) -> DataFrame:
     """Labelled samples (value, secret) of a scan: values of assignments and access keys, words of sampled documents
     that hold neither a long hex run nor a key."""
     secret = scan.select(F.explode("secrets").alias("value"), F.lit(True).alias("secret"))
-    word = scan.select(F.explode("words").alias("value"), F.lit(False).alias("secret"))
+    word = scan.select(F.explode(F.filter("words", lambda w: ~F.array_contains(F.col("secrets"), w))).alias("value"),
+                       F.lit(False).alias("secret"))
     return secret.union(word.where(~F.col("value").rlike(f"{HEX}|{ACCESS}")))
 
 
@@ -77,15 +78,19 @@ def train(samples: DataFrame, value: str = "value", secret: str = "secret") -> l
         a, b = (ALPHABET.index(c) for c in r["pair"])
         counts[bool(r["secret"])][a * size + b] += r["n"]
 
-    def logs(own: list[float], smooth: float) -> list[float]:
+    def logs(own: list[float], weight: float, base: list[float]) -> list[float]:
+        """Log of P(second | first): the counts, and ``weight`` more pairs spread by the base distribution."""
         out = []
         for a in range(size):
             row = own[a * size:(a + 1) * size]
-            out += [math.log((n + smooth) / (sum(row) + smooth * size)) for n in row]
+            out += [math.log((n + weight * q) / (sum(row) + weight)) for n, q in zip(row, base)]
         return out
 
-    # the prior of the random model is that of a uniform string, and weighs more, as its samples may be of one kind
-    return [r - o for r, o in zip(logs(counts[True], 4.0), logs(counts[False], 1.0))]
+    seen = [1.0 + sum(counts[False][b::size]) for b in range(size)]
+    ordinary = logs(counts[False], size, [n / sum(seen) for n in seen])   # rare pairs fall back to single characters
+    # the base of the random model is a uniform string, and weighs more, as its samples may be of one kind
+    random = logs(counts[True], 4.0 * size, [1 / size] * size)
+    return [r - o for r, o in zip(random, ordinary)]
 
 
 def log_ratio(token: Column, ratios: list[float]) -> Column:
@@ -106,7 +111,8 @@ def secrets(docs: DataFrame, samples: DataFrame | None = None, id_col: str = "do
     in_base = lambda m: F.concat(m["before"], m["value"]).rlike(f"{ASSIGN}$") | m["value"].rlike(f"{HEX}|{ACCESS}")
     random = lambda m: let(log_ratio(m["value"], ratios), lambda s: (
         s >= MIN_TOTAL) & (s >= MIN_MEAN * (F.length(m["value"]) - 1)))
-    added = labelled(F.filter("tokens", lambda m: random(m) & ~in_base(m)), 3, KINDS[3])
+    both = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
+    added = labelled(F.filter("tokens", lambda m: both(m) & random(m) & ~in_base(m)), 3, KINDS[3])
     return scan.select("id", "n_assign", "n_access", "n_hex", joined(F.col("spans")).alias("base"),
                        joined(F.concat("spans", added)).alias("spans"))
 

@@ -33,7 +33,7 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> list[float]:
     drawn = rows.select("key", F.floor(chance + draw).cast("int").alias("n")).where("n > 0").collect()
     keys = sorted(float(r["key"]) for r in drawn for _ in range(r["n"]))
     cuts = {keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else set()
-    return [float("-inf"), *sorted(cuts), float("inf")]
+    return [float("-inf"), *sorted(cuts or {0.0}), float("inf")]
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS,
