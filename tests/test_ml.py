@@ -30,3 +30,79 @@ def test_missing_label_raises(spark):
     df = incidents(spark, SF).drop("sla_breached")
     with pytest.raises(ValueError, match="sla_breached not found"):
         training.prepare(df)
+
+
+SUMMARY = "number string, total_events long, empty double, category string, sla_breached int"
+
+
+def small(spark, n=120, labels=2):
+    rows = [(f"I{i}", i % 7 + 5 * (i % 2), None, f"c{i % 4}", i % labels) for i in range(n)]
+    return spark.createDataFrame(rows, SUMMARY)
+
+
+def test_columns_without_values_are_left_out(spark):
+    prep = training.prepare(small(spark))
+    assert prep.num_cols == ["total_events"] and prep.n_inputs == 2
+
+
+def test_one_class_is_refused_before_training(spark):
+    import pytest
+    with pytest.raises(ValueError, match="no incident with label 1"):
+        training.prepare(small(spark, labels=1))
+
+
+def test_encoders_and_unseen_categories(spark):
+    prep = training.prepare(small(spark))
+    unseen = prep.test.limit(1).withColumn("category", F.lit("never seen"))
+    for encoder, width in (("onehot", 5), ("hashing", 33)):
+        cfg = training.TrainConfig(rf_trees=3, rf_max_depth=3, lr_max_iter=20, encoder=encoder, hash_features=32)
+        models = training.train_candidates(prep, cfg)
+        assert set(models) == {"logreg", "random_forest"}
+        row = models["logreg"].transform(unseen).first()["features"]
+        assert row.size == width
+        if encoder == "onehot":
+            assert list(row.toArray())[1:] == [0.0] * 4
+            known = models["logreg"].transform(prep.test).collect()
+            assert all(sum(r["features"].toArray()[1:]) == 1.0 for r in known)
+            weights = training.model_inputs(models["logreg"], prep.test).collect()
+            assert len(weights) == width + 1 and weights[0]["feature"] == "total_events__imp"
+        assert all(r["roc_auc"] > 0.9 for r in training.evaluate_candidates(models, prep.test).collect())
+    report = training.report_candidates(models, prep.test).collect()
+    assert {r["class"] for r in report if r["name"] == "logreg"} == {"0", "1", "accuracy", "macro avg", "weighted avg"}
+
+
+def test_ties_go_to_the_earlier_candidate(spark):
+    ev = spark.createDataFrame([("new", 0.9), ("random_forest", 0.9), ("logreg", 0.9), ("x", None)], "name string, roc_auc double")
+    assert training.pick_best(ev).first()["name"] == "logreg"
+    assert training.pick_best(ev, ("random_forest", "new")).first()["name"] == "random_forest"
+
+
+def test_a_log_that_lacks_columns_is_refused(spark):
+    import pytest
+    prep = training.prepare(small(spark))
+    model = training.train_candidates(prep, training.TrainConfig(candidates=("logreg",)))["logreg"]
+    log = spark.createDataFrame([("I1", 1, "c1", "true")], "number string, event_seq long, category string, made_sla string")
+    assert scoring.score_new_log(model, log).count() == 1
+    with pytest.raises(ValueError, match="made_sla"):
+        scoring.score_new_log(model, log.drop("made_sla"))
+    with pytest.raises(ValueError, match="category"):
+        scoring.score_new_log(model, log.drop("category"))
+
+
+def test_job_runs_on_a_plain_csv(spark, tmp_path, capsys):
+    import random
+
+    from breachlens.plans import train_job
+    rng = random.Random(1)
+    lines = ["number,category,made_sla,reopen_count,sys_mod_count"]
+    for i in range(300):
+        late = rng.random() < 0.4
+        for k in range(rng.randrange(1, 4)):
+            lines.append(f"INC{i},\"cat \"\"{rng.randrange(3)}\"\"\",{'NA' if k == 0 and i % 9 == 0 else str(not late).lower()},"
+                         f"{int(late) + rng.randrange(2)},{k}")
+    (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
+    train_job.main(["--log", str(tmp_path / "log.csv"), "--out", str(tmp_path / "out"), "--trees", "5", "--max-depth", "4",
+                    "--order-by", "sys_mod_count", "reopen_count"])
+    assert "incidents with an SLA flag" in capsys.readouterr().out
+    model = training.load_model(str(tmp_path / "out" / "best_model"))
+    assert scoring.input_feature_count(model) == 5

@@ -5,12 +5,11 @@ import pytest
 from oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SKIP_SLOW = {"impute_numeric", "driver_stats"}
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
-    return sorted(set(oracle_sql()) - SKIP_SLOW)
+    from breachlens.oracle_sql import ORACLES
+    return sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")

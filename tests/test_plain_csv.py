@@ -1,0 +1,104 @@
+"""Plain incident CSV files: file order, quotes, missing-value texts, tolerant types, dates."""
+
+import datetime as dt
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from breachlens.operators import summary
+from breachlens.schema import LOG_ORDER
+from breachlens.sources import event_log as src
+
+FILES = {
+    "a.csv": '''number,category,made_sla,reopen_count,opened_at,resolved_at
+INC2,"say ""hi"", ok",true,1.0,3/12/2016 13:05,4/12/2016 13:05
+INC1,NA,false,NA,2/12/2016 1:00,?
+INC1,first,NA,7,2016-12-02 01:00,5/12/2016 1:00
+INC3,?,null,abc,1/1/2016 0:00,
+''',
+    "b.csv": '''number,category,made_sla,reopen_count,opened_at,resolved_at
+INC1,second,true,2,1/12/2016 1:00,6/12/2016 1:00
+INC3,later, FALSE ,2.5,1/1/2016 0:00,2/1/2016 0:00
+INC2,x,unknown,3,,
+''',
+}
+
+
+@pytest.fixture
+def folder(tmp_path):
+    for name, text in FILES.items():
+        (tmp_path / name).write_text(text)
+    return str(tmp_path)
+
+
+def test_rows_as_a_data_frame_reader_has_them(spark, folder):
+    got = [r.asDict() for r in src.read_event_log(spark, folder).orderBy(LOG_ORDER).collect()]
+    want = pd.concat([pd.read_csv(f"{folder}/{n}", dtype={"made_sla": str}) for n in FILES])
+    assert [r["number"] for r in got] == want["number"].tolist()
+    assert [r["category"] for r in got] == [None if pd.isna(x) else x for x in want["category"]]
+    assert [r["made_sla"] for r in got] == [None if pd.isna(x) else x for x in want["made_sla"]]
+    assert [r["reopen_count"] for r in got] == [1, None, 7, None, 2, None, 3]
+    assert got[0]["opened_at"] == dt.datetime(2016, 12, 3, 13, 5) and got[2]["opened_at"] is None
+
+
+def test_ingest_report(spark, folder):
+    got = {r["column"]: (r["present"], r["rejected"]) for r in src.ingest_report(spark, folder).collect()}
+    assert got == {"reopen_count": (6, 2), "opened_at": (6, 1), "resolved_at": (5, 1)}
+    iso = {r["column"]: r["rejected"] for r in src.ingest_report(
+        spark, folder, date_formats=(src.DAY_FIRST, "yyyy-MM-dd HH:mm")).collect()}
+    assert iso["opened_at"] == 0
+    log = src.read_event_log(spark, folder, date_formats=(src.DAY_FIRST, "yyyy-MM-dd HH:mm"))
+    assert log.where(F.col("opened_at") == F.lit(dt.datetime(2016, 12, 2, 1, 0))).count() == 2
+
+
+def test_summary_in_file_order(spark, folder):
+    got = {r["number"]: r for r in summary.incident_summary(src.read_event_log(spark, folder)).collect()}
+    assert sorted(got) == ["INC1", "INC3"]      # INC2 ends with an unknown flag
+    assert (got["INC1"]["category"], got["INC1"]["sla_breached"], got["INC1"]["reopen_count_max"]) == ("first", 0, 7)
+    assert (got["INC3"]["category"], got["INC3"]["sla_breached"]) == ("?", 1)
+
+
+def test_file_order_over_many_splits(spark, tmp_path):
+    rows = [f"INC{i % 50},{i},{'true' if i % 3 else 'false'}" for i in range(6000)]
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text("number,category,made_sla\n" + "\n".join(rows[k * 2000:(k + 1) * 2000]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        log = src.read_event_log(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 6
+        assert [int(r["category"]) for r in log.orderBy(LOG_ORDER).select("category").collect()] == list(range(6000))
+        got = {r["number"]: (r["category"], r["sla_breached"]) for r in summary.incident_summary(log).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"INC{k}": (str(k), int((5950 + k) % 3 == 0)) for k in range(50)}
+
+
+def test_parquet_has_an_order_and_no_nan(spark, tmp_path):
+    df = spark.createDataFrame([("I", float("nan"), "x"), ("I", 3.0, "y")], "number string, reopen_count double, category string")
+    df.coalesce(1).write.parquet(str(tmp_path / "log"))
+    got = summary.incident_summary(src.read_event_log(spark, str(tmp_path / "log"), fmt="parquet")).first()
+    assert (got["reopen_count_max"], got["category"], got["total_events"]) == (3.0, "x", 2)
+
+
+LOG = "number string, event_seq long, part long, category string, made_sla string"
+
+
+def test_no_row_is_lost_to_a_missing_or_tied_order(spark):
+    rows = [("A", None, 1, "late", "true"), ("A", 5, 1, "x", "false"), ("B", None, None, "only", "false"),
+            ("C", 1, 1, "q", "true"), ("C", 1, 1, "p", "false"), ("D", 1, 2, "b", None), ("D", 1, 1, "a", "TRUE")]
+    for parts in (1, 3, 7):
+        log = spark.createDataFrame(rows, LOG).repartition(parts)
+        got = {r["number"]: (r["category"], r["sla_breached"]) for r in
+               summary.incident_summary(log, order_by=["event_seq", "part"]).collect()}
+        # rows without an order come last; equal orders go by value
+        assert got == {"A": ("x", 0), "B": ("only", 1), "C": ("p", 0), "D": ("a", 0)}
+        first = summary.first_non_null_attrs(log).collect()
+        assert {r["number"]: r["category"] for r in first} == {"A": "x", "B": "only", "C": "p", "D": "a"}
+
+
+def test_a_log_without_order_is_refused(spark):
+    with pytest.raises(ValueError, match="no order"):
+        summary.incident_summary(spark.createDataFrame([("A", "x")], "number string, category string"))
+    assert summary.incident_summary(spark.createDataFrame([("A", 1)], "number string, reopen_count int")).count() == 1
