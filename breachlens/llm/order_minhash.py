@@ -8,12 +8,13 @@ Candidates: for each of ``SKETCHES`` hash functions the ``ELL`` symbols of least
 Documents that share a sketch share a bucket. Equal word sequences are one class from the start, so buckets hold
 different texts only.
 
-No bucket is expanded into all pairs. First each bucket's two leaders are aligned with every other member, and the
-links found are joined to components. A bucket that still holds several components goes on: some members outside its
-largest component lead next (all if at most ``MOST_STRAYS`` are left, else a hashed draw of ``LEADERS`` times 2, 4, 8, …)
-and are aligned with every member of other components. A member that has led is settled; most others are connected by
-the links found and never need to lead. The rounds end when every member outside the largest component of its bucket is
-settled, so each pair in a bucket is either aligned or already connected through others.
+No bucket is expanded into all pairs. First each member is aligned with a few leaders: the least and greatest class
+number of its bucket, and the least of its neighbours that also share the next one or two sketches, so the number of
+pairs is linear. The links found are joined to components. In a bucket that then still holds several components, the
+members outside the largest one are strays. All strays are a query set against all members of such buckets: blocks of
+at most ``BLOCK_BYTES`` of stray sequences go to the tasks, which look up each member's symbols in a block at once and
+align only pairs with enough symbols in common. So each pair in a bucket is either aligned, or both are in the largest
+component of their bucket already, and of strays only links become rows, at most one for each two components in a task.
 
 Alignment: symbols occur once in a sequence, so the common subsequence is the longest increasing run of matched
 places. Matches farther from the diagonal than an alignment of 0.8 can reach are left out first (the band).
@@ -42,8 +43,7 @@ SHINGLE = 5
 ELL = 3
 SKETCHES = 12
 SIMILARITY = 0.8
-MOST_STRAYS = 64
-LEADERS = 8
+BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
@@ -181,6 +181,61 @@ def _alike(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
     return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
 
 
+class Block:
+    """Sequences of strays with an index of their symbols."""
+
+    def __init__(self, rows: list[tuple[int, int, list[int]]]):
+        self.c, self.root = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.sequences = [np.asarray(r[2], np.int64) for r in rows]
+        self.length = np.array([len(x) for x in self.sequences])
+        symbols = np.concatenate(self.sequences)
+        order = np.argsort(symbols, kind="stable")
+        self.symbols, self.owner = symbols[order], np.repeat(np.arange(len(rows)), self.length)[order]
+
+    def links(self, root: int, sequence: np.ndarray, similarity: float, linked: dict[int, np.ndarray]) -> list[int]:
+        """Class numbers of the strays that are like a sequence, for components that aren't ``linked`` to its own."""
+        n = len(sequence)
+        done = linked.setdefault(root, self.root == root)
+        if done.all():
+            return []
+        lo, hi = (np.searchsorted(self.symbols, sequence, side=x) for x in ("left", "right"))
+        found = hi > lo
+        count = (hi - lo)[found]
+        at = np.repeat(lo[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        common = np.bincount(self.owner[at], minlength=len(self.c))
+        need = np.ceil(similarity * (n + self.length) / (1 + similarity) - 1e-9)
+        out = []
+        for k in np.flatnonzero(common >= need):
+            if not done[k] and common_length(sequence, self.sequences[k], similarity):
+                out.append(int(self.c[k]))
+                done |= self.root == self.root[k]
+        return out
+
+
+def _stray_links(members: DataFrame, similarity: float, tables: Tables) -> DataFrame:
+    """Links (a, b) between members (c, root, stray, seq) and strays, a block of strays at a time. A task gives at most
+    one link for each two components."""
+    def run(batches):
+        block, linked, names = sent.value, {}, ("c", "root", "seq")
+        for batch in batches:
+            c, root, seq = (batch.column(batch.schema.get_field_index(x)) for x in names)
+            values, at = np.asarray(seq.flatten()), np.concatenate([[0], np.cumsum(seq.value_lengths())])
+            links = [(k, x) for i, (k, r) in enumerate(zip(c.to_pylist(), root.to_pylist()))
+                     for x in block.links(r, values[at[i]:at[i + 1]], similarity, linked)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()),
+                                              pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+    strays, out = members.where("stray"), None
+    blocks = -(-strays.agg(F.sum(F.size("seq") * 8)).first()[0] // BLOCK_BYTES)
+    for k in range(blocks):
+        rows = strays.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == k).select("c", "root", "seq").collect()
+        if rows:
+            sent = members.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in rows]))
+            found = tables.put(members.select("c", "root", "seq").mapInArrow(run, "a long, b long"))
+            out = found if out is None else out.union(found)
+    return out
+
+
 def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -205,35 +260,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     ``representative``."""
     tables = Tables(docs.sparkSession, "order-minhash")
     rows = tables.put(_sketched(docs, id_col, text))
-    bands = tables.put(rows.where("n > 0").select("c", "n", F.explode("sketches").alias("h")).distinct())
+    following = lambda k: F.concat(F.slice("sketches", k + 1, SKETCHES - k), F.slice("sketches", 1, k))
+    bands = tables.put(rows.where("n > 0").select("c", F.inline(F.arrays_zip(
+        F.col("sketches").alias("h"), following(1).alias("h1"), following(2).alias("h2")))).toDF("c", "h", "h1", "h2").distinct())
     shared = bands.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
     members = tables.put(bands.join(shared.where("m > 1"), "h"))
     sequences = tables.put(_sequences(docs, rows, members.select("c").distinct(), id_col, text))
-    leaders = members.select("c", F.explode(F.array("low", "high")).alias("leader")).where("c <> leader")
-    first = tables.put(leaders.select(*_ordered("c", "leader")).distinct())
-    links = tables.put(_alike(first, sequences, similarity))
+    # in buckets of three, the two leaders and the third are all the pairs there are
+    near = members.where("m > 3").groupBy("h", "h1").agg(F.min("c").alias("leader"))
+    nearer = members.where("m > 3").groupBy("h", "h1", "h2").agg(F.min("c").alias("leader"))
+    leaders = (members.select("c", F.explode(F.array("low", "high")).alias("leader"))
+               .union(members.join(near, ["h", "h1"]).select("c", "leader"))
+               .union(members.join(nearer, ["h", "h1", "h2"]).select("c", "leader")))
+    pairs = tables.put(leaders.where("c <> leader").select(*_ordered("c", "leader")).distinct())
+    links = tables.put(_alike(pairs, sequences, similarity))
     roots = components(links, tables)
-    open_, turn = members.select("h", "c", "n", F.lit(False).alias("done")), 0
-    while True:
-        turn += 1
-        own = open_.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root")).alias("main"))
-        own = own.join(main.where("roots > 1").select("h", F.col("main.root").alias("main")), "h")
-        stray = own.where("root <> main and not done")
-        strays = stray.groupBy("h").agg(F.count(F.lit(1)).alias("strays"))
-        own = tables.put(own.join(strays, "h"))       # buckets with strays that haven't led
-        if own.isEmpty():
-            break
-        drawn = F.pmod(F.xxhash64("c", F.lit(turn)), F.col("strays")) < LEADERS << turn
-        leads = F.expr("root <> main and not done") & ((F.col("strays") <= MOST_STRAYS) | drawn)
-        leader = own.where(leads).select("h", F.col("c").alias("leader"), F.col("n").alias("m"), F.col("root").alias("leader_root"))
-        long_enough = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-        pairs = own.join(leader, "h").where((F.col("root") != F.col("leader_root")) & long_enough)
-        pairs = tables.put(pairs.select(*_ordered("c", "leader")).distinct())
-        links = tables.put(links.union(_alike(pairs, sequences, similarity)))
+    own = members.where("m > 3").select("h", "c").join(roots, "c", "left").select("h", "c", F.coalesce("root", "c").alias("root"))
+    sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
+    mixed = tables.put(own.join(main.where("roots > 1"), "h").groupBy("c", "root").agg(F.max(F.expr("root <> main")).alias("stray")))
+    if not mixed.isEmpty():
+        found = _stray_links(tables.put(sequences.join(mixed, "c")), similarity, tables)
+        links = tables.put(links.union(found).distinct())
         roots = components(links, tables)
-        open_ = own.select("h", "c", "n", (F.col("done") | leads).alias("done"))
     own = rows.groupBy("c").agg(F.min(F.struct("id", *KEY)).alias("least"), F.count(F.lit(1)).alias("rows"))
     own = tables.put(own.join(roots, "c", "left").select("c", "least", "rows", F.coalesce("root", "c").alias("root")))
     groups = own.groupBy("root").agg(F.min("least").alias("rep"), F.sum("rows").alias("class_size"))

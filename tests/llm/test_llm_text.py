@@ -109,13 +109,13 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r["id"] for r in got if r["representative"]) == sorted(groups)
 
 
-def test_rounds_of_leaders_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(order_minhash, "MOST_STRAYS", 0)
-    monkeypatch.setattr(order_minhash, "LEADERS", 1)
+def test_strays_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK_BYTES", 20000)
     rng, w, docs = random.Random(3), [f"u{i}" for i in range(80)], []
-    for i in range(40):   # a chain: every copy changes the one before, so the ends are far apart
+    for i in range(120):   # a chain: every copy changes the one before, so most pairs are far apart
         docs.append((i, " ".join(w)))
-        w[rng.randrange(80)] = f"y{i}"
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            w[rng.randrange(80)] = f"y{i}"
     got = order_minhash.classes(spark.createDataFrame(docs, DOCS)).collect()
     groups = {}
     for r in got:
