@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIECE = 4 << 20          # bytes that are tokenised at a time
+PIECE = 1 << 20          # bytes that are tokenised at a time
+BATCH_BYTES = 8 << 20    # most bytes of an Arrow batch (or one longer row)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x5851F42D4C957F2D   # odd, so it has an inverse modulo 2^64
@@ -127,6 +128,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
             yield batch.slice(int(a), int(b - a))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's limit on bytes of an Arrow batch to ``BATCH_BYTES``: the default of 64 MB, held several times
+    by the executor and its Python worker, is much for small executors. A lower setting stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    size = conf.get(key).lower().removesuffix("b")
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def add_columns(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]],
                 added: dict[str, T.DataType], keep: list[str]) -> DataFrame:
     """``df`` through ``mapInArrow``: its columns ``keep``, and those that ``make`` gives with each batch."""
@@ -138,4 +149,4 @@ def add_columns(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
             columns = [batch.column(f.name) for f in kept] + [new[n] for n in added]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType(kept + [T.StructField(n, t) for n, t in added.items()]))
+    return bounded_batches(df).mapInArrow(run, T.StructType(kept + [T.StructField(n, t) for n, t in added.items()]))

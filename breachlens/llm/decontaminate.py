@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from breachlens.llm.arrow_text import add_columns, pieces, utf8, words
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 SAMPLE_RATE = 16
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

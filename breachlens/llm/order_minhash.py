@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from breachlens.llm.arrow_text import add_columns, mix, pieces, powers, shingles, utf8, words
+from breachlens.llm.arrow_text import add_columns, bounded_batches, mix, pieces, powers, shingles, utf8, words
 from breachlens.llm.rows import KEY, Tables, row_key, with_documents
 
 SHINGLE = 5
 ELL = 3
 SKETCHES = 12
 SIMILARITY = 0.8
-BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+PIECE_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
 
@@ -178,7 +178,7 @@ def _alike(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFra
     sequences = sequences.join(needed, "c", "left_semi")
     both = (pairs.join(sequences.select(F.col("c").alias("a"), F.col("seq").alias("seq_a")), "a")
             .join(sequences.select(F.col("c").alias("b"), F.col("seq").alias("seq_b")), "b"))
-    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
+    return bounded_batches(both.select("a", "b", "seq_a", "seq_b")).mapInArrow(run, "a long, b long")
 
 
 class Block:
@@ -231,7 +231,8 @@ def _stray_links(members: DataFrame, similarity: float, tables: Tables) -> DataF
         rows = strays.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == k).select("c", "root", "seq").collect()
         if rows:
             sent = members.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in rows]))
-            found = tables.put(members.select("c", "root", "seq").mapInArrow(run, "a long, b long"))
+            found = tables.put(bounded_batches(members.select("c", "root", "seq")).mapInArrow(run, "a long, b long"))
+            sent.destroy()     # its links are written
             out = found if out is None else out.union(found)
     return out
 

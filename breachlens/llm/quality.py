@@ -25,7 +25,6 @@ from breachlens.llm.weak_labels import em
 FEATURES = 1 << 14
 SAMPLE_DOCUMENTS = 8000
 THRESHOLD = 0.4
-RESULTS = ("quality_score", "quality_posterior", "keep")
 # Frequent words of the languages served.
 STOPWORDS = ("the and of to in is that for it with as was on be by la le de et les des un une est que pour dans en el los "
              "las por con una para der die das und ist nicht ein eine mit zu den von").split()
