@@ -32,7 +32,7 @@ STRETCH = 64
 WINDOW_CHARS = 192
 PER_LANG = 400
 MAX_LANGS = 64
-MIN_SCORE = 0.4        # pooled probability below which the language of a document counts as unknown
+MIN_SCORE = 0.3        # pooled probability below which the language of a document counts as unknown
 BLOCK = 4096           # stretches that step together
 PAD = 256              # the symbol after the end of a text: it keeps the state
 PIECE_BYTES = 2 << 20
