@@ -256,6 +256,17 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         roots = new.select("c", "root")
 
 
+def joined_components(roots: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """c, root after further links: only the components that they join are connected, not all links again."""
+    linked = links.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    own = tables.put(roots.union(linked.join(roots, "c", "left_anti").select("c", F.col("c").alias("root"))))
+    lifted = (links.join(own.select(F.col("c").alias("a"), F.col("root").alias("root_a")), "a")
+              .join(own.select(F.col("c").alias("b"), F.col("root").alias("root_b")), "b")
+              .where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    joined = components(tables.put(lifted), tables).select(F.col("c").alias("root"), F.col("root").alias("joined"))
+    return tables.put(own.join(joined, "root", "left").select("c", F.coalesce("joined", "root").alias("root")))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``id``, its row key, ``class_id`` (least id of its class), ``class_size`` (rows) and
     ``representative``."""
@@ -282,8 +293,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     mixed = tables.put(own.join(main.where("roots > 1"), "h").groupBy("c", "root").agg(F.max(F.expr("root <> main")).alias("stray")))
     if not mixed.isEmpty():
         found = _stray_links(tables.put(sequences.join(mixed, "c")), similarity, tables)
-        links = tables.put(links.union(found).distinct())
-        roots = components(links, tables)
+        roots = joined_components(roots, found, tables)
     own = rows.groupBy("c").agg(F.min(F.struct("id", *KEY)).alias("least"), F.count(F.lit(1)).alias("rows"))
     own = tables.put(own.join(roots, "c", "left").select("c", "least", "rows", F.coalesce("root", "c").alias("root")))
     groups = own.groupBy("root").agg(F.min("least").alias("rep"), F.sum("rows").alias("class_size"))
@@ -299,4 +309,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     return with_documents(docs, kept)
 
 
-__all__ = ["classes", "deduplicated", "components", "common_length", "order_sketches", "SIMILARITY"]
+__all__ = ["classes", "deduplicated", "components", "joined_components", "common_length", "order_sketches", "SIMILARITY"]
