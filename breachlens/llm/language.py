@@ -10,9 +10,13 @@ Training runs on the driver over a bounded sample: about ``per_lang`` documents
 ``WINDOW_CHARS`` characters at a hashed place in each. Backpropagation through time and Adam, fixed seeds, so the same
 rows give the same model. Only text and label are used.
 
+A document is accepted if its score reaches the bound of its predicted language, which lies ``MIN_SCORE`` of the way
+from chance (one over the number of languages) to the ``LOW`` quantile of the scores of texts that training did not see
+and the model got right: the first ``SHORT`` bytes of labelled windows, as short texts score lowest. A language with fewer than ``LEAST_HELD`` of those has no bound.
+
 Defined cases: null text or text without a letter gives ``und`` with score 0; without any labelled text every
-prediction is ``und``; rows with null labels are not trained on; repeated rows get equal predictions; extra columns
-pass through, columns named like the results are replaced. More than ``MAX_LANGS`` labels are an error.
+prediction is ``und``, and every document with a letter is accepted; rows with null labels are not trained on; repeated
+rows get equal predictions; extra columns pass through, columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ STRETCH = 64
 WINDOW_CHARS = 192
 PER_LANG = 400
 MAX_LANGS = 64
-MIN_SCORE = 0.3        # pooled probability below which the language of a document counts as unknown
+MIN_SCORE = 0.3        # how far from chance to a language's low scores a document must come
+LOW = 0.01
+SHORT = 8
+LEAST_HELD = 10
+LEAST_SPLIT = 50       # languages with fewer labelled rows hold none out
 BLOCK = 4096           # stretches that step together
 PAD = 256              # the symbol after the end of a text: it keeps the state
 PIECE_BYTES = 2 << 20
@@ -47,6 +55,7 @@ class Model:
     recurrent: np.ndarray   # 2 × 3·STATES × STATES
     output: np.ndarray      # languages × 2·STATES
     bias: np.ndarray        # languages
+    low: np.ndarray | None = None   # languages: the low quantile of held-out scores, nan where unknown
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,6 +128,29 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def bounds(m: Model, min_score: float) -> np.ndarray:
+    """The least accepted score of every language; 0 where nothing is known."""
+    if m.low is None:
+        return np.zeros(len(m.langs))
+    chance = 1 / max(1, len(m.langs))
+    return np.nan_to_num(chance + min_score * (m.low - chance) - 1e-6, nan=0.0)
+
+
+def low_scores(m: Model, texts: list[bytes], langs: list[str]) -> np.ndarray:
+    """The ``LOW`` quantile of the scores of the texts of each language that the model gets right."""
+    low = np.full(len(m.langs), np.nan)
+    if not texts:
+        return low
+    p = pooled(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    found, score = p.argmax(1), p.max(1)
+    label = np.array([m.langs.index(x) for x in langs])
+    for k in range(len(m.langs)):
+        right = score[(found == k) & (label == k)]
+        if len(right) >= LEAST_HELD:
+            low[k] = np.quantile(right, LOW)
+    return low
+
+
 def gradients(m: Model, x: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross entropy over the positions of labelled stretches, and its gradients by backpropagation through time."""
     trace: list = []
@@ -184,7 +216,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7, steps: int = 160, b
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
           per_lang: int = PER_LANG, **options) -> Model:
-    """Fit on about ``per_lang`` hashed rows of each language (the bound on labelled rows)."""
+    """Fit on about ``per_lang`` hashed rows of each language, scored on a quarter as many others (the bounds on rows)."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER))
     counts = {r["lang"]: r["n"] for r in
@@ -195,18 +227,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return fit([], [])
     share = F.lit(0)
     for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1 << 30, (per_lang << 30) // n))).otherwise(share)
+        own = 1 << 30 if n < LEAST_SPLIT else min((4 << 30) // 5, (per_lang << 30) // n)
+        share = F.when(F.col("lang") == name, F.lit(own)).otherwise(share)
     span = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1
     place = F.pmod(F.xxhash64("key", F.lit(2)), span).cast("int") + 1
-    sample = (rows.where(F.pmod(F.xxhash64("key", "text", F.lit(1)), F.lit(1 << 30)) < share)
-              .select("lang", F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"))
-              .limit(4 * per_lang * len(counts)).collect())
-    got = sorted((r["lang"], r["text"].encode()) for r in sample)
-    return fit([t for _, t in got], [x for x, _ in got], **options)
+    draw = F.pmod(F.xxhash64("key", "text", F.lit(1)), F.lit(1 << 30))
+    sample = (rows.select("lang", "text", "key", draw.alias("draw"), share.cast("long").alias("share"))
+              .where(F.col("draw") < F.col("share") * 5 / 4)
+              .select("lang", F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"),
+                      (F.col("draw") >= F.col("share")).alias("held"))
+              .limit(5 * per_lang * len(counts)).collect())
+    got = sorted((r["lang"], r["text"].encode(), r["held"]) for r in sample)
+    m = fit([t for _, t, h in got if not h], [x for x, _, h in got if not h], **options)
+    known = [(x, t[:SHORT]) for x, t, h in got if h and x in m.langs]
+    m.low = low_scores(m, [t for _, t in known], [x for x, _ in known])
+    return m
+
 
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None,
+             min_score: float | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all) with ``lang_pred`` and ``score``, the pooled probability of that language.
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) with ``lang_pred`` and ``score``, the pooled probability of that language."""
+    With ``min_score`` only of the accepted documents."""
     added = {"lang_pred": T.StringType(), "score": T.DoubleType()}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     flag = "_has_letter"
@@ -225,18 +267,21 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 score = np.where(letters, p.max(1), 0.0)
             else:
                 best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-            yield batch, {"lang_pred": pa.array(names[best], pa.string()),
-                          "score": pa.array(np.clip(score, 0, 1), pa.float64())}
+            new = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.clip(score, 0, 1), pa.float64())}
+            if min_score is not None:
+                least = np.append(bounds(m, min_score), 0)
+                chosen = pa.array(letters & (score >= least[best]))
+                batch, new = batch.filter(chosen), {k: v.filter(chosen) for k, v in new.items()}
+            yield batch, new
 
     letters = F.coalesce(F.col(text).rlike(HAS_LETTER), F.lit(False)).alias(flag)
     return add_columns(docs.select(*dict.fromkeys([*keep, text]), letters), make, added, keep)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a determined language whose pooled probability reaches ``min_score``, columns as they are."""
+    """The documents with a letter whose score reaches the bound of their predicted language, columns as they are."""
     held = {c: f"own_{c}_{i}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
-    found = identify(docs.withColumnsRenamed(held), model, text)
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    kept = identify(docs.withColumnsRenamed(held), model, text, min_score=min_score).drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
 
 

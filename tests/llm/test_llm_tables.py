@@ -226,6 +226,36 @@ def test_language_odd_tables(spark):
     assert {r["lang_pred"] for r in language.identify(docs, one).collect()} == {"en"}
 
 
+def test_language_accepts_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None, None), (2, "12 !", None, None), (3, None, None, None),
+                                  (4, "été", None, None)], DOCS)
+    assert sorted(r["doc_id"] for r in language.accepted(docs, language.train(docs)).collect()) == [1, 4]
+
+
+def synthetic_languages(n, rows, seed=5):
+    """(lang, text): every language draws its words from its own 30."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzéàñüжщюдом"
+    out = []
+    for k in range(n):
+        own = rng.sample(letters, 8)
+        words = ["".join(rng.choices(own, k=rng.randrange(2, 8))) for _ in range(30)]
+        out += [(f"l{k:03d}", " ".join(rng.choices(words, k=rng.randrange(5, 40)))) for _ in range(rows)]
+    return out
+
+
+def test_language_bound_follows_the_number_of_languages(spark):
+    made = synthetic_languages(40, 60)
+    docs = spark.createDataFrame([(i, t, x, None) for i, (x, t) in enumerate(made)], DOCS)
+    model = language.train(docs)
+    least = language.bounds(model, language.MIN_SCORE)
+    assert (least[~np.isnan(model.low)] > 1 / 40).all() and (least < 0.9).all()
+    assert language.accepted(docs, model).count() >= 0.99 * len(made)
+    strong = language.Model(model.langs, model.inputs, model.recurrent, model.output, model.bias, np.full(40, 0.9))
+    flat = language.Model(model.langs, model.inputs, model.recurrent, 0 * model.output, 0 * model.bias, strong.low)
+    assert language.accepted(docs, flat).isEmpty() and language.bounds(flat, 0.3)[0] == pytest.approx(0.2875, abs=1e-3)
+
+
 def test_pooled_is_the_mean_over_positions():
     m = language.fit([b"abc", b"xyz"], ["a", "x"], steps=5)
     texts = [b"abcabc" * 40, b"", b"xyz"]
