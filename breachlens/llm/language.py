@@ -8,11 +8,15 @@ evaluates fast.
 
 Training runs on the driver over a bounded sample: about ``per_lang`` documents of each language, a window of
 ``WINDOW_CHARS`` characters at a hashed place in each. Backpropagation through time and Adam, fixed seeds, so the same
-rows give the same model. Only text and label are used.
+rows give the same model. Only text and label are used. The output layer grows with the labels; beyond 250 of them the
+sample per language shrinks to ``MOST_SAMPLE`` rows in all, but every label keeps one, and steps are added so that each
+language is seen as often as with 320. Work per byte grows with the number of languages, memory does not. The driver
+holds the sample; more than ``MAX_LANGS`` labels (twice the number of living languages) are an error.
 
 A document is accepted if its score reaches the bound of its predicted language, which lies ``MIN_SCORE`` of the way
 from chance (one over the number of languages) to the ``LOW`` quantile of the scores of texts that training did not see
-and the model got right: the first ``SHORT`` bytes of labelled windows, as short texts score lowest. A language with fewer than ``LEAST_HELD`` of those has no bound.
+and the model got right: the first ``SHORT`` bytes of labelled windows, as short texts score lowest. A
+language with fewer than ``LEAST_HELD`` of those has no bound.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; without any labelled text every
 prediction is ``und``, and every document with a letter is accepted; rows with null labels are not trained on; repeated
@@ -35,7 +39,9 @@ STATES = 8
 STRETCH = 64
 WINDOW_CHARS = 192
 PER_LANG = 400
-MAX_LANGS = 64
+MAX_LANGS = 1 << 14
+MOST_SAMPLE = 100_000  # rows trained on
+CELLS = 1 << 24        # probabilities that are held at a time
 MIN_SCORE = 0.3        # how far from chance to a language's low scores a document must come
 LOW = 0.01
 SHORT = 8
@@ -122,12 +128,27 @@ def pooled(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(offsets) - 1, len(m.langs)))
     for lo in range(0, len(start), BLOCK):
         s, n, own = start[lo:lo + BLOCK], length[lo:lo + BLOCK], text[lo:lo + BLOCK]
-        p = position_probabilities(m, states(m, symbols(data, s, n)))
-        p *= (np.arange(STRETCH)[:, None] < n[None, :])[:, None, :]
-        np.add.at(sums, own, p.sum(0).T)
+        h = states(m, symbols(data, s, n))
+        most = max(1, CELLS // (STRETCH * max(1, len(m.langs))))
+        for a in range(0, len(s), most):
+            b = a + most
+            p = position_probabilities(m, h[:, :, a:b])
+            p *= (np.arange(STRETCH)[:, None] < n[None, a:b])[:, None, :]
+            np.add.at(sums, own[a:b], p.sum(0).T)
     return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def best(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language (number) and score of every text."""
+    n, most = len(offsets) - 1, max(1, CELLS // max(1, len(m.langs)))
+    found, score = np.zeros(n, int), np.zeros(n)
+    for a in range(0, n, most):
+        own = offsets[a:min(n, a + most) + 1]
+        p = pooled(m, data[own[0]:own[-1]], own - own[0])
+        found[a:a + most], score[a:a + most] = p.argmax(1), p.max(1)
+    return found, score
+
+
 def bounds(m: Model, min_score: float) -> np.ndarray:
     """The least accepted score of every language; 0 where nothing is known."""
     if m.low is None:
@@ -141,13 +162,15 @@ def low_scores(m: Model, texts: list[bytes], langs: list[str]) -> np.ndarray:
     low = np.full(len(m.langs), np.nan)
     if not texts:
         return low
-    p = pooled(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    found, score = p.argmax(1), p.max(1)
-    label = np.array([m.langs.index(x) for x in langs])
-    for k in range(len(m.langs)):
-        right = score[(found == k) & (label == k)]
-        if len(right) >= LEAST_HELD:
-            low[k] = np.quantile(right, LOW)
+    found, score = best(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    number = {x: k for k, x in enumerate(m.langs)}
+    right: dict[int, list[float]] = {}
+    for x, k, own in zip(langs, found, score):
+        if number[x] == k:
+            right.setdefault(k, []).append(own)
+    for k, own in right.items():
+        if len(own) >= LEAST_HELD:
+            low[k] = np.quantile(own, LOW)
     return low
 
 
@@ -161,7 +184,7 @@ def gradients(m: Model, x: np.ndarray, label: np.ndarray) -> tuple[float, list[n
     loss = -float((np.log(np.maximum(p[:, label, np.arange(len(label))], 1e-9)) * real[:, 0]).sum()) / total
     p[:, label, np.arange(len(label))] -= 1
     p *= real / np.float32(total)
-    d_output = np.einsum("tkn,tjn->kj", p, h)
+    d_output = np.matmul(p, h.transpose(0, 2, 1)).sum(0)
     d_state = np.matmul(m.output.T, p)
     d_inputs, d_recurrent = np.zeros_like(m.inputs), np.zeros_like(m.recurrent)
     carry = [np.zeros((STATES, x.shape[1]), np.float32)] * 2
@@ -197,13 +220,17 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7, steps: int = 160, b
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     start, length, text = stretches(data, offsets)
-    label = np.array([names.index(x) for x in langs])[text]
-    groups = [np.flatnonzero(label == k) for k in range(len(names))]
+    number = {x: k for k, x in enumerate(names)}
+    label = np.array([number[x] for x in langs])[text]
+    groups = np.split(np.argsort(label, kind="stable"), np.cumsum(np.bincount(label, minlength=len(names)))[:-1])
     groups = [g for g in groups if len(g)]
+    batch = max(8, min(batch, CELLS // (STRETCH * len(names))))
+    steps = max(steps, 64 * len(names) // batch)
     weights = [m.inputs, m.recurrent, m.output, m.bias]
     first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
     for i in range(1, steps + 1):
-        pick = np.array([g[rng.integers(len(g))] for g in (groups[j % len(groups)] for j in range(batch))])
+        pick = np.array([g[rng.integers(len(g))] for g in (
+            groups[((i - 1) * batch + j) % len(groups)] for j in range(batch))])
         _, grads = gradients(m, symbols(data, start[pick], length[pick]), label[pick])
         lr = rate * min(1, 2 * (1 - i / (steps + 1)))
         for w, g, a, b in zip(weights, grads, first, second):
@@ -225,22 +252,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         raise ValueError(f"more than {MAX_LANGS} languages in column {lang}")
     if not counts:
         return fit([], [])
-    share = F.lit(0)
-    for name, n in counts.items():
-        own = 1 << 30 if n < LEAST_SPLIT else min((4 << 30) // 5, (per_lang << 30) // n)
-        share = F.when(F.col("lang") == name, F.lit(own)).otherwise(share)
+    per_lang = max(1, min(per_lang, MOST_SAMPLE // len(counts)))
+    most = {name: (4 << 30) // 5 if n >= LEAST_SPLIT else 1 << 30 for name, n in counts.items()}
+    shares = labelled.sparkSession.createDataFrame(
+        [(name, min(most[name], max(1, (per_lang << 30) // n))) for name, n in counts.items()], "lang string, share long")
     span = F.greatest(F.length("text") - WINDOW_CHARS, F.lit(0)) + 1
     place = F.pmod(F.xxhash64("key", F.lit(2)), span).cast("int") + 1
     draw = F.pmod(F.xxhash64("key", "text", F.lit(1)), F.lit(1 << 30))
-    sample = (rows.select("lang", "text", "key", draw.alias("draw"), share.cast("long").alias("share"))
+    sample = (rows.join(F.broadcast(shares), "lang").select("lang", "text", "key", draw.alias("draw"), "share")
               .where(F.col("draw") < F.col("share") * 5 / 4)
               .select("lang", F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"),
                       (F.col("draw") >= F.col("share")).alias("held"))
               .limit(5 * per_lang * len(counts)).collect())
-    got = sorted((r["lang"], r["text"].encode(), r["held"]) for r in sample)
+    got = [(r["lang"], r["text"].encode(), r["held"]) for r in sample]
+    missing = [(x,) for x in counts.keys() - {x for x, _, held in got if not held}]   # no row drawn: the first one by hash
+    if missing:
+        own = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(missing, "lang string")), "lang")
+        first = own.groupBy("lang").agg(F.min(F.struct(
+            draw.alias("draw"), F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"))).alias("row"))
+        got += [(r["lang"], r["row"]["text"].encode(), False) for r in first.collect()]
+    got.sort()
     m = fit([t for _, t, h in got if not h], [x for x, _, h in got if not h], **options)
-    known = [(x, t[:SHORT]) for x, t, h in got if h and x in m.langs]
-    m.low = low_scores(m, [t for _, t in known], [x for x, _ in known])
+    m.low = low_scores(m, [t[:SHORT] for _, t, h in got if h], [x for x, _, h in got if h])
     return m
 
 
@@ -262,15 +295,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         for batch in pieces(batches, text, PIECE_BYTES):
             letters = batch.column(flag).to_numpy(zero_copy_only=False).astype(bool)
             if m.langs:
-                p = pooled(m, *utf8(batch.column(text)))
-                best = np.where(letters, p.argmax(1), len(m.langs))
-                score = np.where(letters, p.max(1), 0.0)
+                found, score = best(m, *utf8(batch.column(text)))
+                found, score = np.where(letters, found, len(m.langs)), np.where(letters, score, 0.0)
             else:
-                best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-            new = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.clip(score, 0, 1), pa.float64())}
+                found, score = np.zeros(len(letters), int), np.zeros(len(letters))
+            new = {"lang_pred": pa.array(names[found], pa.string()), "score": pa.array(np.clip(score, 0, 1), pa.float64())}
             if min_score is not None:
                 least = np.append(bounds(m, min_score), 0)
-                chosen = pa.array(letters & (score >= least[best]))
+                chosen = pa.array(letters & (score >= least[found]))
                 batch, new = batch.filter(chosen), {k: v.filter(chosen) for k, v in new.items()}
             yield batch, new
 

@@ -11,8 +11,9 @@ Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share t
 stops at ``MOST_TIMES`` times its source's size, and the excess is shared anew by weight.
 
 A source of any size is spread by hash over ``buckets`` ranges, so no task holds a source; running totals within a
-range use a window, those over ranges a window over at most ``buckets`` rows a source. What the driver holds is a row
-per source (more than ``MAX_SOURCES`` are an error).
+range use a window, those over ranges a window over at most ``buckets`` rows a source. Sources are numbered and shared
+out on Spark, so there may be any number of them: the driver holds only sums, one set per round of sharing the excess.
+Up to ``BROADCAST_SOURCES`` sources are broadcast to their documents, more are joined by a shuffle.
 
 Defined cases: null or blank text has size 0 and takes 0; a source without words has target 0; repeated rows are
 separate documents; an empty table gives an empty mix; the order depends on ids and texts only, so reruns agree; extra
@@ -21,8 +22,7 @@ columns are ignored, except in ``mixed``, which returns them.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.llm.rows import KEY, Tables, row_key, with_documents
@@ -30,62 +30,93 @@ from breachlens.llm.rows import KEY, Tables, row_key, with_documents
 BLOCK = 1024
 BUCKETS = 1024
 MOST_TIMES = 3
-MAX_SOURCES = 100_000
+BROADCAST_SOURCES = 100_000
+MOST_CELLS = 1 << 16                               # stretches of points that are mapped to sources together
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 16                                   # slots that are ranked together
 GOLDEN = 0.6180339887498949
 _HIGH = (2 ** 20 * 6180339887498948482045868 % 10 ** 25) / 1e25   # frac(2^20 · GOLDEN)
 
 
-def targets(sizes: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) by code point, null last."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [1 + i % 3 for i in range(len(order))]
-    left, open_ = float(sum(n for _, n in order)), list(range(len(order)))
-    target = [0.0] * len(order)
-    while open_:
-        share = left / sum(weight[i] for i in open_)
-        full = [i for i in open_ if share * weight[i] > MOST_TIMES * order[i][1]]
-        if not full:
-            for i in open_:
-                target[i] = share * weight[i]
+def running(df: DataFrame, value: Column, name: str, by: str = "source_no") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of lower ``by`` (dense, unique numbers) as column ``name``."""
+    cut = df.withColumn("_value", value).withColumn("_chunk", F.expr(f"{by} div {CHUNK}"))
+    sums = cut.groupBy("_chunk").agg(F.sum("_value").alias("_sum"))
+    lower = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)      # one row per CHUNK numbers
+    offsets = sums.select("_chunk", F.coalesce(F.sum("_sum").over(lower), F.lit(0)).alias("_offset"))
+    inside = F.sum("_value").over(Window.partitionBy("_chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return (cut.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, "_chunk")
+            .withColumn(name, F.col("_offset") + F.col("_inside")).select(*df.columns, name))
+
+
+def numbered(totals: DataFrame, tables: Tables) -> DataFrame:
+    """source_no, source, source_size: the sources (source, n) numbered by code point, null last."""
+    by = [F.col("source").isNull(), F.col("source")]
+    laid = totals.repartitionByRange(*by).sortWithinPartitions(*by)
+    laid = tables.put(laid.withColumn("at", F.monotonically_increasing_id()))
+    inside, part = F.expr(f"at & {(1 << 33) - 1}"), F.expr("at >> 33")
+    counts = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    lower = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)        # one row per partition
+    offsets = counts.select("part", F.coalesce(F.sum("rows").over(lower), F.lit(0)).alias("offset"))
+    return laid.withColumn("part", part).join(F.broadcast(offsets), "part").select(
+        (F.col("offset") + inside).alias("source_no"), "source", F.col("n").alias("source_size"))
+
+
+def targets(sources: DataFrame) -> DataFrame:
+    """``sources`` (source_no, source_size) with ``target`` and ``need``, the target in whole words."""
+    weight, most = 1 + F.col("source_no") % 3, MOST_TIMES * F.col("source_size")
+    full_at = lambda share: F.lit(share) * weight > most
+    share, n_full = -1.0, -1
+    while True:    # in each round the sources that the share fills leave their excess to the others
+        full = full_at(share)
+        r = sources.agg(F.count_if(full).alias("full"), F.sum("source_size").alias("words"),
+                        F.sum(F.when(full, most)).alias("taken"), F.sum(F.when(~full, weight)).alias("weight")).first()
+        if r["full"] <= n_full or not r["weight"]:
             break
-        for i in full:
-            target[i] = float(MOST_TIMES * order[i][1])
-            left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return [(s, n, t) for (s, n), t in zip(order, target)]
+        n_full, share = r["full"], ((r["words"] or 0) - (r["taken"] or 0)) / r["weight"]
+    target = F.when(full_at(share), most.cast("double")).otherwise(F.lit(share) * weight)
+    own = sources.withColumn("target", target)
+    return own.withColumn("need", F.least(most, (F.col("target") + 0.5).cast("long")))
 
 
-def schedule(spark, need: list[tuple[int, int]], block: int) -> DataFrame:
+def schedule(spark, need: DataFrame | list[tuple[int, int]], block: int) -> DataFrame:
     """slot, source_no, rank: the mix's slots for sources that need so many words each (all more than 0)."""
-    slots = {s: -(-n // block) for s, n in need}
-    total, words = sum(slots.values()), sum(n for _, n in need)
-    if not need:
-        return spark.createDataFrame([], "slot long, source_no int, rank long")
-    ends, drawn_sources, at = [0.0], [], 0
-    for s, n in need:
-        at += n
-        if at / words > ends[-1]:       # a share too small for a double only gets closing slots
-            ends.append(at / words)
-            drawn_sources.append(s)
-    point = F.expr(f"((slot div {1 << 20}) * {_HIGH!r}D + (slot % {1 << 20}) * {GOLDEN!r}D + {GOLDEN / 2!r}D) % 1D")
-    drawn = Bucketizer(splits=[*ends, 2.0], inputCol="point", outputCol="place").transform(   # no point reaches 1
-        spark.range(total).withColumnRenamed("id", "slot").withColumn("point", point))
-    numbers = F.array(*[F.lit(s) for s in drawn_sources])
-    drawn = drawn.select("slot", numbers[F.col("place").cast("int")].alias("source_no"),
-                         F.expr(f"slot div {CHUNK}").alias("chunk"))
+    if not isinstance(need, DataFrame):
+        need = spark.createDataFrame(need, "source_no long, need long")
+    wanted = need.select(F.col("source_no").cast("long"), "need", F.expr(f"(need + {block - 1}) div {block}").alias("slots"))
+    sums = wanted.agg(F.sum("slots"), F.sum("need"), F.count(F.lit(1))).first()
+    total, words, n_sources = (x or 0 for x in sums)
+    cells = min(MOST_CELLS, 1 + (total + n_sources) // 4096)
+    cell = lambda p: F.floor(p * cells).cast("long")
+    # each slot's point gets the last source whose share starts at or before it; a share too small for a double gets none
+    place = F.expr(f"((slot div {1 << 20}) * {_HIGH!r}D + (slot % {1 << 20}) * {GOLDEN!r}D + {GOLDEN / 2!r}D) % 1D")
+    points = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", place)
+    points = points.select(cell(F.col("point")).alias("cell"), "point", F.lit(None).cast("long").alias("starts"), "slot")
+    starts = running(wanted, F.col("need"), "before").select((F.col("before") / max(1, words)).alias("point"), "source_no")
+    starts = starts.where("point < 1").select(cell(F.col("point")).alias("cell"), "point", F.col("source_no").alias("starts"))
+    lower = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)        # one row per cell
+    carried = spark.range(cells).withColumnRenamed("id", "cell").join(
+        starts.groupBy("cell").agg(F.max("starts").alias("last")), "cell", "left").select(
+        "cell", F.lit(-1.0).alias("point"), F.max("last").over(lower).alias("starts"))
+    none = F.lit(None).cast("long").alias("slot")
+    laid = points.union(starts.select("*", none)).union(carried.select("*", none))
+    upto = Window.partitionBy("cell").orderBy("point", F.col("slot").isNotNull(), "starts")
+    found = F.last("starts", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    drawn = laid.withColumn("source_no", found).where("slot IS NOT NULL").select(
+        "slot", "source_no", F.expr(f"slot div {CHUNK}").alias("chunk"))
     counts = drawn.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot")) - 1
-    ranked = (drawn.withColumn("inside", inside).join(offsets, ["source_no", "chunk"])
-              .select("slot", "source_no", (F.col("offset") + F.col("inside")).alias("rank")))
-    wanted = spark.createDataFrame(list(slots.items()), "source_no int, slots long")
-    got = {r["source_no"]: r["n"] for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
-    short = [(s, r) for s, n in slots.items() for r in range(got.get(s, 0), n)]
-    closing = spark.createDataFrame([(total + i, s, r) for i, (s, r) in enumerate(short)], ranked.schema)
-    return ranked.join(F.broadcast(wanted), "source_no").where("rank < slots").select(ranked.columns).union(closing)
+    ranked = (drawn.withColumn("inside", inside)
+              .join(offsets.join(wanted.select("source_no", "slots"), "source_no"), ["source_no", "chunk"])
+              .withColumn("rank", F.col("offset") + F.col("inside")).where("rank < slots").select("slot", "source_no", "rank"))
+    got = wanted.join(counts.groupBy("source_no").agg(F.sum("n").alias("n")), "source_no", "left").select(
+        "source_no", "slots", F.least("slots", F.coalesce("n", F.lit(0))).alias("got"))
+    short = running(got, F.col("slots") - F.col("got"), "before").where("got < slots")
+    closing = short.select("source_no", "before", "got", F.expr("explode(sequence(got, slots - 1))").alias("rank")).select(
+        (F.lit(total) + F.col("before") + F.col("rank") - F.col("got")).alias("slot"), "source_no", "rank")
+    return ranked.union(closing)
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK,
@@ -98,14 +129,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     sized = docs.select(docs[id_col].alias("id"), docs[source].alias("source"), size.alias("size"),
                         F.xxhash64(docs[id_col], docs[text]).alias("h"), *row_key(docs))
     sized = tables.put(sized.withColumn("r", F.monotonically_increasing_id()))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = [(i, s, n, t, min(MOST_TIMES * n, int(t + 0.5)))
-            for i, (s, n, t) in enumerate(targets([(r["source"], r["n"]) for r in totals]))]
-    sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, need long")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("n"))
+    sources = tables.put(targets(tables.put(numbered(totals, tables))))
+    few = sources.count() <= BROADCAST_SOURCES
     bucket = F.pmod(F.col("h"), F.lit(buckets)).cast("int")
-    rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).select(
+    rows = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).select(
         "r", "id", *KEY, "h", "size", "source_no", "source_size", "target", "need", bucket.alias("bucket"))
     before = Window.partitionBy("source_no", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
@@ -122,7 +150,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     pieces = taken.select("*", blocks.alias("rank")).select(
         "source_no", "rank", "r", "pass_no", F.greatest("start", F.col("rank") * block).alias("low"),
         F.least("end", (F.col("rank") + 1) * block).alias("high"), "start")
-    slots = schedule(spark, [(i, q) for i, _, _, _, q in plan if q], block)
+    slots = schedule(spark, sources.where("need > 0").select("source_no", "need"), block)
     mix = pieces.join(slots, ["source_no", "rank"]).select(
         "slot", "r", "pass_no", (F.col("low") - F.col("start")).alias("first"), (F.col("high") - F.col("low")).alias("words"))
     return rows.select("r", "id", *KEY, "size", "source_size", "target"), mix

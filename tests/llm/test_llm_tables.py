@@ -74,6 +74,41 @@ def test_schedule_spreads_sources(spark):
     assert mixing.schedule(spark, [(4, 5)], 10).count() == 1
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10, raising=False)
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rng = random.Random(4)
+    rows = [(i, "w " * (1 + i % 7), "en", f"site{rng.randrange(300)}.org") for i in range(1500)]
+    rows += [(5000 + i, "w " * 90, "en", "hot") for i in range(200)] + [(9000, "a b c", "en", None), (9001, "", "en", "blank")]
+    sizes = collections.Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want, source = expected_targets(sizes), {r[0]: r[3] for r in rows}
+    taken = collections.Counter()
+    for r in mixing.taken_words(spark.createDataFrame(rows, DOCS), block=16, buckets=8).collect():
+        s = source[r["id"]]
+        taken[s] += r["taken"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s], abs=1e-6)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+
+
+def test_schedule_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rng = random.Random(9)
+    need = [(i, rng.choice([1, 5, 40, 3000])) for i in range(400)]
+    slots = sorted(mixing.schedule(spark, need, 10).collect(), key=lambda s: s.slot)
+    total, words = sum(-(-n // 10) for _, n in need), sum(n for _, n in need)
+    ends, rank, expected = np.cumsum([n for _, n in need]) / words, collections.Counter(), []
+    for k in range(total):
+        s = int(np.searchsorted(ends, (k * mixing.GOLDEN + mixing.GOLDEN / 2) % 1, side="right"))
+        if rank[s] < -(-need[s][1] // 10):
+            expected.append((k, s, rank[s]))
+            rank[s] += 1
+    expected += [(total + i, s, r) for i, (s, r) in enumerate((s, r) for s, n in need for r in range(rank[s], -(-n // 10)))]
+    assert [tuple(s) for s in slots] == expected
+
+
 def test_mixed_documents(spark):
     rows = corpus(120)
     docs = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", row_a int")
@@ -256,6 +291,26 @@ def test_language_bound_follows_the_number_of_languages(spark):
     assert language.accepted(docs, flat).isEmpty() and language.bounds(flat, 0.3)[0] == pytest.approx(0.2875, abs=1e-3)
 
 
+def test_language_takes_many_labels(spark):
+    made = synthetic_languages(150, 30)
+    rows = [(i, t, x, None) for i, (x, t) in enumerate(made)] + [(90000 + i, f"dirty label {i}", f"once {i}", None) for i in range(50)]
+    docs = spark.createDataFrame(rows + [(99999, "copies of one row", "copies", None)] * 2000, DOCS)
+    model = language.train(docs, per_lang=20)
+    assert len(model.langs) == 201
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert sum(got[i] == x for i, (x, _) in enumerate(made)) >= 0.5 * len(made)     # by chance: 1 in 200
+
+
+def test_best_in_parts(monkeypatch):
+    m = language.fit([b"abc", b"xyz"], ["a", "x"], steps=5)
+    texts = [b"abcabc" * 90, b"", b"xyz", b"zzy" * 100]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    p = language.pooled(m, data, offsets)
+    monkeypatch.setattr(language, "CELLS", 4)
+    found, score = language.best(m, data, offsets)
+    assert (found == p.argmax(1)).all() and score == pytest.approx(p.max(1), abs=1e-6)
+
+
 def test_pooled_is_the_mean_over_positions():
     m = language.fit([b"abc", b"xyz"], ["a", "x"], steps=5)
     texts = [b"abcabc" * 40, b"", b"xyz"]
