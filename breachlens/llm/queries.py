@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breachlens.llm import (conversations, decontaminate, fingerprints, language, mixing, order_minhash, personal, quality,
-                            secrets, sharding, urls)
+                            secrets, sharding, urls, warc)
+from breachlens.session import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,13 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audited(rows, conversations.damaged(rows))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = warc.write_archives(warc.from_pages(pages), shared_dir(spark, "warc-archives"))
+    read = warc.read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
+    return warc.resolved(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
@@ -86,11 +94,21 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_personal_data": op10_personal_data,
     "op11_conversations": op11_conversations,
+    "op12_warc": op12_warc,
 }
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
 ORACLES: dict[str, str] = {
+    "op12_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top,
+        row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN top END AS refers_to
+FROM o""",
     "op9_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
