@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breachlens.llm import (conversations, decontaminate, fingerprints, language, mixing, order_minhash, personal, quality,
-                            secrets, sharding, urls, warc)
+                            secrets, sharding, urls, vector_codes, warc)
 from breachlens.session import shared_dir
 
 
@@ -82,6 +82,11 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.codes(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
@@ -95,6 +100,7 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_conversations": op11_conversations,
     "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
 _WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
