@@ -79,11 +79,15 @@ def targets(sources: DataFrame) -> DataFrame:
     return own.withColumn("need", F.least(most, (F.col("target") + 0.5).cast("long")))
 
 
-def schedule(spark, need: DataFrame | list[tuple[int, int]], block: int) -> DataFrame:
-    """slot, source_no, rank: the mix's slots for sources that need so many words each (all more than 0)."""
+def schedule(spark, need: DataFrame | list[tuple[int, int]], block: int, tables: Tables | None = None) -> DataFrame:
+    """slot, source_no, rank: the mix's slots for sources that need so many words each (all more than 0).
+
+    Each step is written, so that no plan has more than a few shuffles: the driver's memory grows with its plans."""
+    tables = tables or Tables(spark, "schedule")
     if not isinstance(need, DataFrame):
         need = spark.createDataFrame(need, "source_no long, need long")
-    wanted = need.select(F.col("source_no").cast("long"), "need", F.expr(f"(need + {block - 1}) div {block}").alias("slots"))
+    wanted = tables.put(need.select(F.col("source_no").cast("long"), "need",
+                                    F.expr(f"(need + {block - 1}) div {block}").alias("slots")))
     sums = wanted.agg(F.sum("slots"), F.sum("need"), F.count(F.lit(1))).first()
     total, words, n_sources = (x or 0 for x in sums)
     cells = min(MOST_CELLS, 1 + (total + n_sources) // 4096)
@@ -93,7 +97,7 @@ def schedule(spark, need: DataFrame | list[tuple[int, int]], block: int) -> Data
     points = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", place)
     points = points.select(cell(F.col("point")).alias("cell"), "point", F.lit(None).cast("long").alias("starts"), "slot")
     starts = running(wanted, F.col("need"), "before").select((F.col("before") / max(1, words)).alias("point"), "source_no")
-    starts = starts.where("point < 1").select(cell(F.col("point")).alias("cell"), "point", F.col("source_no").alias("starts"))
+    starts = tables.put(starts.where("point < 1").select(cell(F.col("point")).alias("cell"), "point", F.col("source_no").alias("starts")))
     lower = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)        # one row per cell
     carried = spark.range(cells).withColumnRenamed("id", "cell").join(
         starts.groupBy("cell").agg(F.max("starts").alias("last")), "cell", "left").select(
@@ -102,21 +106,21 @@ def schedule(spark, need: DataFrame | list[tuple[int, int]], block: int) -> Data
     laid = points.union(starts.select("*", none)).union(carried.select("*", none))
     upto = Window.partitionBy("cell").orderBy("point", F.col("slot").isNotNull(), "starts")
     found = F.last("starts", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    drawn = laid.withColumn("source_no", found).where("slot IS NOT NULL").select(
-        "slot", "source_no", F.expr(f"slot div {CHUNK}").alias("chunk"))
-    counts = drawn.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    drawn = tables.put(laid.withColumn("source_no", found).where("slot IS NOT NULL").select(
+        "slot", "source_no", F.expr(f"slot div {CHUNK}").alias("chunk")))
     earlier = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    counts = drawn.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    counts = tables.put(counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
+        wanted.select("source_no", "slots"), "source_no"))
     inside = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot")) - 1
-    ranked = (drawn.withColumn("inside", inside)
-              .join(offsets.join(wanted.select("source_no", "slots"), "source_no"), ["source_no", "chunk"])
-              .withColumn("rank", F.col("offset") + F.col("inside")).where("rank < slots").select("slot", "source_no", "rank"))
-    got = wanted.join(counts.groupBy("source_no").agg(F.sum("n").alias("n")), "source_no", "left").select(
-        "source_no", "slots", F.least("slots", F.coalesce("n", F.lit(0))).alias("got"))
+    ranked = tables.put(drawn.withColumn("inside", inside).join(counts, ["source_no", "chunk"])
+                        .withColumn("rank", F.col("offset") + F.col("inside")).where("rank < slots").select("slot", "source_no", "rank"))
+    got = tables.put(wanted.join(counts.groupBy("source_no").agg(F.sum("n").alias("n")), "source_no", "left").select(
+        "source_no", "slots", F.least("slots", F.coalesce("n", F.lit(0))).alias("got")))
     short = running(got, F.col("slots") - F.col("got"), "before").where("got < slots")
     closing = short.select("source_no", "before", "got", F.expr("explode(sequence(got, slots - 1))").alias("rank")).select(
         (F.lit(total) + F.col("before") + F.col("rank") - F.col("got")).alias("slot"), "source_no", "rank")
-    return ranked.union(closing)
+    return ranked.union(tables.put(closing))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK,
@@ -133,12 +137,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     sources = tables.put(targets(tables.put(numbered(totals, tables))))
     few = sources.count() <= BROADCAST_SOURCES
     bucket = F.pmod(F.col("h"), F.lit(buckets)).cast("int")
-    rows = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "r", "id", *KEY, "h", "size", "source_no", "source_size", "target", "need", bucket.alias("bucket"))
+    rows = tables.put(sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).select(
+        "r", "id", *KEY, "h", "size", "source_no", "source_size", "target", "need", bucket.alias("bucket")))
     before = Window.partitionBy("source_no", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    offsets = tables.put(sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")))
     laid = (rows.where("size > 0").withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
             .join(offsets, ["source_no", "bucket"]).withColumn("place", F.col("offset") + F.col("inside")))
     passes = laid.select("r", "source_no", "need", "size", "place", "source_size",
@@ -147,12 +151,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     taken = passes.select("r", "source_no", "pass_no", start.alias("start"),
                           F.least(start + F.col("size"), F.col("need")).alias("end")).where("start < end")
     blocks = F.expr(f"explode(sequence(start div {block}, (end - 1) div {block}))")
-    pieces = taken.select("*", blocks.alias("rank")).select(
+    pieces = tables.put(taken.select("*", blocks.alias("rank")).select(
         "source_no", "rank", "r", "pass_no", F.greatest("start", F.col("rank") * block).alias("low"),
-        F.least("end", (F.col("rank") + 1) * block).alias("high"), "start")
-    slots = schedule(spark, sources.where("need > 0").select("source_no", "need"), block)
-    mix = pieces.join(slots, ["source_no", "rank"]).select(
-        "slot", "r", "pass_no", (F.col("low") - F.col("start")).alias("first"), (F.col("high") - F.col("low")).alias("words"))
+        F.least("end", (F.col("rank") + 1) * block).alias("high"), "start"))
+    slots = schedule(spark, sources.where("need > 0").select("source_no", "need"), block, tables)
+    mix = tables.put(pieces.join(slots, ["source_no", "rank"]).select(
+        "slot", "r", "pass_no", (F.col("low") - F.col("start")).alias("first"), (F.col("high") - F.col("low")).alias("words")))
     return rows.select("r", "id", *KEY, "size", "source_size", "target"), mix
 
 
@@ -166,7 +170,7 @@ def taken_words(docs: DataFrame, **columns) -> DataFrame:
 
 def mixed(docs: DataFrame, **columns) -> DataFrame:
     """The documents as often as the mix takes them: words taken over size, rounded; those without words stay once."""
-    rows = taken_words(docs, **columns)
+    rows = Tables(docs.sparkSession, "mixed").put(taken_words(docs, **columns))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     return with_documents(docs, rows.where(times > 0).select(*KEY, F.explode(F.array_repeat(F.lit(0), times)).alias("_")))
 
