@@ -16,9 +16,9 @@ class Tables:
     def __init__(self, spark, name: str):
         self.spark, self.base, self.n = spark, shared_dir(spark, name), 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         self.n += 1
-        df.write.parquet(path := f"{self.base}/{self.n}")
+        df.write.parquet(path := f"{self.base}/{self.n}", compression=compression)
         return self.spark.read.parquet(path)
 
 

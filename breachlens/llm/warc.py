@@ -7,10 +7,12 @@ page id is the ``response``, the others are ``revisit`` records that name it; sh
 responses by digest, which gives every record the bytes and digest of its full payload. What is read and resolved can be
 written again, so archives of several crawls become one deduplicated set.
 
-Archives are uncompressed WARC/1.1: Spark's text writer puts one record a line, with the record separator CR LF CR LF as
-the line separator. Records are dealt by number to files of about ``ARCHIVE_BYTES``; reading holds one file in a
-task. Payloads are shuffled once, on their way to their archive; decisions are made on headers. Digests that many
-records share are counted by partial aggregates and joined with a salt.
+Archives are WARC/1.1, one gzip member a record. Spark's text writer puts a member a line; the last byte of a member is
+the highest of its length, zero below 16 MB, and that zero byte is the line separator, so the files are plain sequences
+of members (a longer record is followed by an empty member, whose last byte is zero). Records are dealt by number
+to files of about ``ARCHIVE_BYTES`` of payload; reading holds one compressed file and one record in a task. Payloads are
+shuffled once, on their way to their archive; decisions are made on headers. Digests that many records share are
+counted by partial aggregates and joined with a salt.
 
 Defined cases: null html is empty; null urls and page ids have no header field and come back as null, a null page id is
 the smallest; records of equal page id and payload are told apart by their row number, so one of them is the response;
@@ -22,6 +24,8 @@ gives archives without records; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
+import zlib
 from datetime import UTC, datetime
 from urllib.parse import unquote_plus
 
@@ -35,6 +39,8 @@ from breachlens.llm.rows import Tables
 LEAST = 1000                    # bytes of the shortest payload that is written once
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 4 << 20            # of payloads in a batch that is read
+STEP = 1 << 14                  # compressed bytes that are taken at a time
+LEVEL = 3                       # of compression
 SALTS = 16
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,20 +111,32 @@ def _record(job: str, date: str) -> Column:
         _field("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block)
 
 
+def _members(batches):
+    """Every record with its separator as a gzip member, without the zero byte at its end."""
+    empty = gzip.compress(b"", mtime=0)
+    for batch in batches:
+        out = []
+        for value in batch.column(0):
+            member = gzip.compress(value.as_buffer().to_pybytes() + b"\r\n\r\n", LEVEL, mtime=0)
+            out.append((member if member[-1] == 0 else member + empty)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+
+
 def write_archives(records: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES,
                    date: str | None = None) -> str:
     """Write records (page_id, url, payload, payload_bytes, payload_digest) as deduplicated archives into a folder."""
     tables = Tables(records.sparkSession, "warc")
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     numbered = tables.put(records.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
-                                         F.monotonically_increasing_id().alias("r")))
+                                         F.monotonically_increasing_id().alias("r")), compression="zstd")
     headers = numbered.select("r", "page_id", "payload_bytes", "payload_digest", F.col("payload").isNotNull().alias("held"))
     types = tables.put(decided(headers, least))
     size = numbered.agg(F.sum("payload_bytes")).first()[0] or 0
     files = 1 + size // archive_bytes
     typed = numbered.repartition(files, "r").join(types.repartition(files, "r"), "r")
-    made = typed.select("r", _record(tables.base, date).alias("value")).repartition(files, "r").select("value")
-    made.write.option("lineSep", END + END).text(path)
+    made = typed.select(_record(tables.base, date).cast("binary").alias("value"))
+    members = bounded_batches(made).mapInArrow(_members, "member binary")
+    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
     return path
 
 
@@ -128,21 +146,28 @@ _FIELDS = ("record_type", "record_id", "page_id", "url", "refers_to_id", "digest
 _READ = "archive string, " + ", ".join(f"{c} string" for c in _FIELDS[:-1]) + ", payload binary"
 
 
-def records_in(whole: bytes):
+def records_in(archive: bytes):
     """The records of an archive, one after another: header fields and the bytes of the block."""
-    at = 0
-    while at < len(whole):
-        head = whole.find(b"\r\n\r\n", at)
-        lines = whole[at:head].split(b"\r\n") if head >= 0 else [b""]
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower().decode(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        start = head + 4
-        end = start + int(fields["content-length"])
-        if whole[end:end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has another length than its header says")
-        yield fields, whole[start:end]
-        at = end + 4
+    at, view = 0, memoryview(archive)
+    while at < len(archive):
+        member, end, parts = zlib.decompressobj(wbits=31), at, []
+        while not member.eof:       # in steps, as what follows a member is copied
+            if end >= len(archive):
+                raise ValueError(f"the archive ends within the record at byte {at}")
+            parts.append(member.decompress(view[end:end + STEP]))
+            end = min(len(archive), end + STEP)
+        record, following = b"".join(parts), end - len(member.unused_data)
+        if record:
+            head = record.find(b"\r\n\r\n")
+            lines = record[:head].split(b"\r\n") if head >= 0 else [b""]
+            if not lines[0].startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at byte {at}")
+            fields = {k.strip().lower().decode(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
+            end = head + 4 + int(fields["content-length"])
+            if record[end:] != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {at} has another length than its header says")
+            yield fields, record[head + 4:end]
+        at = following
 
 
 def _read_record(fields: dict, block: bytes) -> tuple:

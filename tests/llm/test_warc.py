@@ -1,5 +1,6 @@
 """Archives: exact round trips, revisits against a plain version, archives of archives, odd tables."""
 
+import gzip
 import hashlib
 import random
 
@@ -66,6 +67,7 @@ def test_files_are_warc(spark, tmp_path):
     assert len(files) > 3
     ids, refers = set(), set()
     for f in files:
+        assert gzip.decompress(f.read_bytes()).count(b"WARC-Record-ID: ") == sum(1 for _ in warc.records_in(f.read_bytes()))
         for fields, block in warc.records_in(f.read_bytes()):
             assert fields["warc-date"] == b"2024-05-06T07:08:09Z" and int(fields["content-length"]) == len(block)
             assert fields["warc-record-id"] not in ids
@@ -95,6 +97,12 @@ def test_archives_of_two_crawls_become_one(spark, tmp_path):
         again.where("record_type = 'response' AND payload_bytes >= 1000").count()
 
 
+def test_record_of_more_than_16_mb(spark, tmp_path):
+    rows = [(1, "u", "abc\0" * (5 << 20)), (2, "v", "short"), (3, "w", "abc\0" * (5 << 20))]
+    write(spark, rows, tmp_path / "w")
+    assert got(warc.resolved(warc.read_archives(spark, str(tmp_path / "w"), "long"))) == expected(rows)
+
+
 def test_odd_tables(spark, tmp_path):
     write(spark, [], tmp_path / "none")
     assert got(warc.resolved(warc.read_archives(spark, str(tmp_path / "none"), "long"))) == []
@@ -102,7 +110,7 @@ def test_odd_tables(spark, tmp_path):
     write(spark, rows, tmp_path / "w", SCHEMA + ", payload string, r int")
     assert got(warc.resolved(warc.read_archives(spark, str(tmp_path / "w"), "long"))) == expected(rows)
     (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "part-0").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
+    (tmp_path / "bad" / "part-0").write_bytes(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
     with pytest.raises(Exception, match="another length"):
         warc.read_archives(spark, str(tmp_path / "bad")).collect()
 
