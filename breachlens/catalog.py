@@ -51,6 +51,22 @@ def _q_scan_event_log(spark, d):
     return src.read_event_log(spark, path).drop(LOG_ORDER)
 
 
+def _q_scan_iso_log(spark, d):
+    """A log with ISO dates, read without saying so."""
+    path = src.write_event_log_csv(event_log(spark, d), shared_dir(spark, "iso-log-csv"), date_format=src.ISO)
+    return src.read_event_log(spark, path).drop(LOG_ORDER)
+
+
+def _q_scan_quoted_log(spark, d):
+    """A folder in which some files have line breaks and quotes inside fields."""
+    log, path = event_log(spark, d), shared_dir(spark, "quoted-log-csv")
+    plain = F.pmod(F.col("event_seq"), F.lit(2)) == 0
+    broken = F.concat(F.lit('a "quoted"\nsecond, line: '), F.col("category"))
+    src.write_event_log_csv(log.where(plain), path)
+    src.write_event_log_csv(log.where(~plain).withColumn("category", broken), path, mode="append")
+    return src.read_event_log(spark, path).drop(LOG_ORDER)
+
+
 def _q_parse_event_dates(spark, d):
     log = event_log(spark, d)
     cols = ("opened_at", "resolved_at", "sys_updated_at")
@@ -176,6 +192,8 @@ def _q_training_job(spark, d):
 QUERIES: dict[str, Query] = {
     # A. sources / sinks
     "scan_event_log": _q_scan_event_log,
+    "scan_iso_log": _q_scan_iso_log,
+    "scan_quoted_log": _q_scan_quoted_log,
     "parse_event_dates": _q_parse_event_dates,
     "normalise_made_sla": _q_normalise_made_sla,
     "export_scored": _q_export_scored,

@@ -250,6 +250,10 @@ _INC_ONLY = (LOG_CTE, INC_CTE)
 
 ORACLES.update({
     "scan_event_log": with_ctes(f"SELECT {_LOG_COLS} FROM log", LOG_CTE),
+    "scan_iso_log": with_ctes(f"SELECT {_LOG_COLS} FROM log", LOG_CTE),
+    "scan_quoted_log": with_ctes(f"""
+SELECT {_LOG_COLS} FROM (SELECT * REPLACE (CASE WHEN event_seq % 2 = 0 THEN category
+  ELSE 'a "quoted"' || chr(10) || 'second, line: ' || category END AS category) FROM log)""", LOG_CTE),
     "parse_event_dates": with_ctes("SELECT number, event_seq, opened_at, resolved_at, sys_updated_at FROM log",
                                    LOG_CTE),
     "normalise_made_sla": with_ctes(f"""
