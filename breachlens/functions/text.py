@@ -43,9 +43,27 @@ def python_float(x: Column) -> Column:
     return F.when(~java.contains("E"), java).when(written_out, plain).otherwise(scientific)
 
 
+# The short escapes of JSON.
+_SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def _json_char(c: Column) -> Column:
+    code = F.ascii(c)
+    hex4 = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    beyond = code - 0x10000
+    pair = F.concat(hex4(F.shiftright(beyond, 10) + 0xD800), hex4(beyond.bitwiseAND(0x3FF) + 0xDC00))
+    out = F.when(code.between(0x20, 0x7E), c).when(code > 0xFFFF, pair).otherwise(hex4(code))
+    for char, escape in _SHORT_ESCAPES.items():
+        out = F.when(c == char, F.lit(escape)).otherwise(out)
+    return out
+
+
 def json_string(s: Column) -> Column:
-    """A text as a JSON string (NULL stays NULL); characters beyond ASCII are written as they are."""
-    return F.when(s.isNotNull(), F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", ""))
+    """A text as a JSON string in ASCII (NULL stays NULL): characters beyond it are written as ``\\u`` and four lower-case
+    hexadecimal digits, those beyond U+FFFF as a surrogate pair."""
+    escaped = F.array_join(F.transform(F.split(s, ""), _json_char), "")
+    plain = ~s.rlike(r'[^\x20\x21\x23-\x5B\x5D-\x7E]')
+    return F.concat(F.lit('"'), F.when(plain, s).otherwise(escaped), F.lit('"'))
 
 
 __all__ = ["format_g", "format_fixed", "python_float", "json_string"]

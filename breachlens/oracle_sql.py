@@ -341,7 +341,12 @@ _SYSTEM = (
 
 
 def _json(value: str) -> str:
-    return f"coalesce(CAST(to_json({value}) AS VARCHAR), 'null')"
+    short = " ".join(f"WHEN c = {char} THEN '{escape}'" for char, escape in (
+        ("'\"'", '\\"'), ("'\\'", "\\\\"), ("chr(8)", "\\b"), ("chr(12)", "\\f"), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")))
+    return f"""coalesce('"' || array_to_string(list_transform(regexp_extract_all({value}, '(?s).'), lambda c: CASE {short}
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+  WHEN unicode(c) > 65535 THEN printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023))
+  ELSE printf('\\u%04x', unicode(c)) END), '') || '"', 'null')"""
 
 
 def _fields(pad: str, fields: list[tuple[str, str]]) -> str:

@@ -77,3 +77,40 @@ def test_facts_json_keeps_nulls(spark):
     prompts = explain.explanation_prompts(df, bands=None).first()
     assert prompts["user_message"].startswith("Incident risk summary (JSON):\n{")
     assert F is not None
+
+
+def test_json_strings_are_those_of_python(spark):
+    import json
+    import random
+
+    from breachlens.functions.text import json_string
+    rng = random.Random(7)
+    alphabet = [chr(c) for c in (*range(1, 0x180), 0x2028, 0x20AC, 0x4E2D, 0xFEFF, 0xFFFD, 0xFFFF, 0x10000, 0x1D6FC, 0x1F600, 0x10FFFF)]
+    texts = ["", "\0", "Caf\u00e9", '"\\/', "plain text", *alphabet] + ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r["i"]: r["j"] for r in df.select("i", json_string(F.col("t")).alias("j")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: json.dumps(t) for i, t in enumerate(texts)}
+
+
+def test_prompt_is_the_json_of_python(spark):
+    import json
+    row = ("I1", 0.5, "High", "Caf\u00e9 \U0001d6fc", 3, 1, 0, 12.5, "1 - \u9ad8", None, "a\"b\n")
+    df = spark.createDataFrame([row], "number string, sla_breach_probability double, risk_band string, recommended_action string, "
+                               "total_events long, reassignment_count_max int, reopen_count_max int, resolution_hours double, "
+                               "priority string, assignment_group string, category string")
+    facts = {"sla_breach_probability": 0.5, "risk_level": "High", "recommended_action": row[3], "key_factors": {
+        "total_events": 3, "reassignment_count_max": 1, "reopen_count_max": 0, "resolution_hours": 12.5, "priority": row[8],
+        "assignment_group": None, "category": row[10]}}
+    want = "Incident risk summary (JSON):\n" + json.dumps(facts, indent=2)
+    assert explain.explanation_prompts(df).first()["user_message"] == want
+
+
+def test_oracle_escapes_as_python(spark):
+    import json
+
+    import duckdb
+
+    from breachlens.oracle_sql import _json
+    for t in ["Caf\u00e9", "\U0001d6fc", 'a"\\b\n\t', "\x01\x7f"]:
+        assert duckdb.execute(f"SELECT {_json('x')} FROM (SELECT ? AS x)", [t]).fetchone()[0] == json.dumps(t)
