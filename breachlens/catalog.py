@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
-from breachlens.plans import scoring, training
+from breachlens.plans import encoding, scoring, training
 from breachlens.schema import KEY, LABEL, LOG_ORDER, PROB
 from breachlens.session import shared_dir
 from breachlens.sources import event_log as src
@@ -160,8 +160,7 @@ def _q_train(name):
         prep = training.prepare(incidents(spark, d))
         cfg = training.TrainConfig(candidates=(name,))
         model = training.train_candidates(prep, cfg)[name]
-        inputs = training.model_inputs(model, prep.train.drop("class_weight"))
-        return inputs.select("feature", "weight")
+        return training.model_inputs(model, spark).select("feature", "weight")
     return q
 
 
@@ -284,9 +283,14 @@ def _impute_categorical(spark, d):
 
 
 def _onehot_sizes(spark, d):
+    """From the vocabulary table that the models are trained with."""
     _, cat = _feature_types(spark, d)
     train = _train_rows(spark, d)
-    return features.onehot_category_sizes(train, cat, features.categorical_modes(train, cat))
+    modes = {r["feature"]: r["mode"] for r in features.categorical_modes(train, cat).collect()}
+    values = spark.read.parquet(encoding.vocabulary(train, cat, modes, shared_dir(spark, "vocabulary")))
+    names = F.array(*[F.lit(c) for c in cat])
+    return values.groupBy("col").agg(F.count(F.lit(1)).alias("n_categories")).select(
+        names[F.col("col")].alias("feature"), "n_categories")
 
 
 __all__ = ["QUERIES", "event_log", "incidents", "scored"]

@@ -2,12 +2,12 @@
 training rows, a weighted logistic regression and a weighted random forest,
 held-out evaluation, best-by-AUC selection, save/load.
 
-Preprocessing = SQLTransformer (median / mode imputation with the fitted
-values as literals) → StringIndexer(keep) → OneHotEncoder(dropLast) →
-VectorAssembler. Unseen or missing categories encode as the all-zero block.
-The prepared training set is checkpointed to the shared checkpoint folder so
-the iterative fits read a materialised table rather than recomputing the
-summary lineage on every pass (and survive executor loss).
+Preprocessing (``encoding``) fills numbers with the fitted medians, categories with
+the modes, and one-hot encodes them through a vocabulary table. Unseen or missing
+categories encode as the all-zero block. The prepared training set is checkpointed
+to the shared checkpoint folder and its vectors are written, so the iterative fits
+read tables rather than recomputing the summary lineage on every pass (and survive
+executor loss).
 """
 
 from __future__ import annotations
@@ -15,21 +15,21 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import (ClassificationModel, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breachlens.operators import features, metrics, split
+from breachlens.plans.encoding import FEATURES, HashingEncoder, OneHotEncoder, load_encoder
 from breachlens.schema import LABEL, PROB
 from breachlens.session import materialise
 
 log = logging.getLogger(__name__)
 
 WEIGHT = "class_weight"
-FEATURES = "features"
 # Fixed value: the message users of the public job know.
 MISSING_LABEL = "sla_breached not found. Is 'made_sla' present in the CSV?"
 
@@ -41,8 +41,8 @@ ONE_CLASS = "The {part} part has no incident with label {label}; both classes ar
 class TrainConfig:
     """``rf_max_depth``: the library grows trees level by level and holds one histogram for each node of a level, so
     the depth bounds the memory of a fit (its own limit is 30); 12 allows 4,096 leaves a tree.
-    ``encoder``: ``onehot`` keeps every category of the training part (labels held by the driver and the model);
-    ``hashing`` maps them to ``hash_features`` counters, without a vocabulary, for columns of unbounded cardinality."""
+    ``encoder``: ``onehot`` has an input for every category of the training part, whose vocabulary is a table; the
+    classifiers hold a number for each input. ``hashing`` maps categories to ``hash_features`` counters."""
 
     seed: int = 42
     test_size: float = 0.2
@@ -66,10 +66,6 @@ class Prepared:
     n_inputs: int = field(default=0)
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     """Split, fit imputation statistics on train, attach balanced class weights."""
     if LABEL not in summary.columns:
@@ -102,24 +98,25 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     return Prepared(train, test, num_cols, cat_cols, medians, modes, sum_w, len(num_cols) + len(cat_cols))
 
 
-def preprocessing_stages(p: Prepared, cfg: TrainConfig = TrainConfig()) -> list:
-    sel = [f"coalesce(CAST(`{c}` AS DOUBLE), {p.medians[c]!r}D) AS `{c}__imp`" for c in p.num_cols]
-    for c in p.cat_cols:
-        fill = _sql_str(p.modes[c]) if p.modes.get(c) is not None else "NULL"
-        sel.append(f"coalesce(CAST(`{c}` AS STRING), {fill}) AS `{c}__imp`")
-    stages = [SQLTransformer(statement="SELECT *, " + ", ".join(sel) + " FROM __THIS__")]
-    cat_in = [f"{c}__imp" for c in p.cat_cols]
-    encoded = []
-    if p.cat_cols and cfg.encoder == "hashing":
-        encoded = ["categories__ohe"]
-        stages.append(FeatureHasher(inputCols=cat_in, outputCol=encoded[0], numFeatures=cfg.hash_features,
-                                    categoricalCols=cat_in))
-    elif p.cat_cols:
-        idx_out, encoded = [f"{c}__idx" for c in p.cat_cols], [f"{c}__ohe" for c in p.cat_cols]
-        stages += [StringIndexer(inputCols=cat_in, outputCols=idx_out, handleInvalid="keep"),
-                   OneHotEncoder(inputCols=idx_out, outputCols=encoded, dropLast=True)]
-    stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in p.num_cols] + encoded, outputCol=FEATURES))
-    return stages
+def fit_encoder(p: Prepared, cfg: TrainConfig = TrainConfig()) -> OneHotEncoder | HashingEncoder:
+    fitted = (p.train, p.num_cols, p.cat_cols, p.medians, p.modes)
+    return HashingEncoder.fit(*fitted, cfg.hash_features) if cfg.encoder == "hashing" else OneHotEncoder.fit(*fitted)
+
+
+@dataclass
+class RiskModel:
+    """An encoder and a classifier fitted on its vectors."""
+
+    encoder: OneHotEncoder | HashingEncoder
+    classifier: ClassificationModel
+
+    @property
+    def columns(self) -> list[str]:
+        """The summary columns that the model reads."""
+        return self.encoder.columns
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.classifier.transform(self.encoder.encode(df))
 
 
 def classifiers(p: Prepared, cfg: TrainConfig) -> dict:
@@ -132,37 +129,33 @@ def classifiers(p: Prepared, cfg: TrainConfig) -> dict:
     return {"logreg": lr, "random_forest": rf}
 
 
-def train_candidates(p: Prepared, cfg: TrainConfig = TrainConfig()) -> dict[str, PipelineModel]:
-    """One pipeline model per candidate; the preprocessing is fitted once and shared."""
-    pre = Pipeline(stages=preprocessing_stages(p, cfg)).fit(p.train)
-    encoded = materialise(pre.transform(p.train).select(FEATURES, LABEL, WEIGHT))
+def train_candidates(p: Prepared, cfg: TrainConfig = TrainConfig()) -> dict[str, RiskModel]:
+    """One model per candidate; the encoder is fitted once and shared."""
+    encoder = fit_encoder(p, cfg)
+    encoded = encoder.encode(p.train.select(*encoder.columns, LABEL, WEIGHT)).select(FEATURES, LABEL, WEIGHT)
+    encoded = materialise(encoded) if cfg.encoder == "hashing" else encoded      # the other one has written its vectors
     clfs = classifiers(p, cfg)
-    return {name: PipelineModel([*pre.stages, clfs[name].fit(encoded)]) for name in cfg.candidates}
-
-
-def feature_names(model: PipelineModel, data: DataFrame) -> list[str]:
-    """Names of the model's inputs, in order; ``data`` is any table that the model can score."""
-    attrs = model.transform(data.limit(0)).schema[FEATURES].metadata["ml_attr"]
-    named = {a["idx"]: a["name"] for group in attrs.get("attrs", {}).values() for a in group if "name" in a}
-    return [named.get(i, f"{FEATURES}_{i}") for i in range(attrs["num_attrs"])]
+    return {name: RiskModel(encoder, clfs[name].fit(encoded)) for name in cfg.candidates}
 
 
-def model_inputs(model: PipelineModel, data: DataFrame) -> DataFrame:
+def model_inputs(model: RiskModel, spark: SparkSession) -> DataFrame:
     """Rows (feature, weight) of a fitted classifier: coefficients (with the intercept) or importances."""
-    clf = model.stages[-1]
-    if hasattr(clf, "coefficients"):
-        weights = [*clf.coefficients.toArray().tolist(), float(clf.intercept)]
-        names = [*feature_names(model, data), "(intercept)"]
-    else:
-        weights, names = clf.featureImportances.toArray().tolist(), feature_names(model, data)
-    return data.sparkSession.createDataFrame(list(zip(names, weights)), "feature string, weight double")
+    clf = model.classifier
+    linear = hasattr(clf, "coefficients")
+    weights = (clf.coefficients if linear else clf.featureImportances).toArray().tolist()
+    own = spark.createDataFrame(list(enumerate(weights)), "idx long, weight double")
+    named = own.join(model.encoder.names(spark), "idx", "left").select(
+        F.coalesce("feature", F.concat(F.lit(f"{FEATURES}_"), F.col("idx").cast("string"))).alias("feature"), "weight")
+    if linear:
+        named = named.union(spark.createDataFrame([("(intercept)", float(clf.intercept))], named.schema))
+    return named
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn(PROB, vector_to_array(F.col("probability"))[1])
 
 
-def test_scores(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
+def test_scores(models: dict[str, RiskModel], test: DataFrame) -> DataFrame:
     """(name, label, probability) of every test row under every candidate, materialised: each model runs once."""
     frames = [positive_probability(m.transform(test)).select(F.lit(n).alias("name"), LABEL, PROB) for n, m in models.items()]
     out = frames[0]
@@ -180,7 +173,7 @@ def evaluate(scores: DataFrame, name: str, threshold: float = 0.5) -> DataFrame:
                                     acc.alias("accuracy"), "precision", "recall", "f1")
 
 
-def _per_candidate(models: dict[str, PipelineModel], scores: DataFrame, table) -> DataFrame:
+def _per_candidate(models: dict[str, RiskModel], scores: DataFrame, table) -> DataFrame:
     frames = [table(scores.where(F.col("name") == n).drop("name"), n) for n in models]
     out = frames[0]
     for f in frames[1:]:
@@ -188,12 +181,12 @@ def _per_candidate(models: dict[str, PipelineModel], scores: DataFrame, table) -
     return out
 
 
-def evaluate_candidates(models: dict[str, PipelineModel], test: DataFrame) -> DataFrame:
+def evaluate_candidates(models: dict[str, RiskModel], test: DataFrame) -> DataFrame:
     """One row of held-out metrics per candidate."""
     return _per_candidate(models, test_scores(models, test), evaluate)
 
 
-def report_candidates(models: dict[str, PipelineModel], test: DataFrame, threshold: float = 0.5) -> DataFrame:
+def report_candidates(models: dict[str, RiskModel], test: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The per-class report of every candidate on the test part."""
     return _per_candidate(models, test_scores(models, test), lambda s, n: metrics.classification_report(
         s, threshold=threshold).select(F.lit(n).alias("name"), "*"))
@@ -205,16 +198,20 @@ def pick_best(evaluations: DataFrame, order: tuple[str, ...] = TrainConfig.candi
     return evaluations.orderBy(F.desc_nulls_last("roc_auc"), F.when(rank > 0, rank).otherwise(len(order) + 1), "name").limit(1)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save_model(model: RiskModel, path: str) -> str:
+    spark = SparkSession.active()
+    model.encoder.save(spark, path)
+    model.classifier.write().overwrite().save(f"{path}/classifier")
     return path
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> RiskModel:
+    spark = SparkSession.active()
+    kind = DefaultParamsReader.loadMetadata(f"{path}/classifier", spark)["class"].rsplit(".", 1)[1]
+    classifier = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel)}[kind]
+    return RiskModel(load_encoder(spark, path), classifier.load(f"{path}/classifier"))
 
 
-__all__ = ["TrainConfig", "Prepared", "prepare", "preprocessing_stages", "classifiers", "train_candidates",
+__all__ = ["TrainConfig", "Prepared", "RiskModel", "prepare", "fit_encoder", "classifiers", "train_candidates",
            "positive_probability", "test_scores", "evaluate", "evaluate_candidates", "report_candidates", "model_inputs",
-           "feature_names", "pick_best", "save_model", "load_model",
-           "MISSING_LABEL"]
+           "pick_best", "save_model", "load_model", "MISSING_LABEL"]
