@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
-from breachlens.plans import encoding, scoring, training
+from breachlens.plans import certificates, encoding, scoring, training
 from breachlens.schema import KEY, LABEL, LOG_ORDER, PROB
-from breachlens.session import shared_dir
+from breachlens.session import materialise, shared_dir
 from breachlens.sources import event_log as src
 from breachlens.sources import sinks
 from breachlens.sources.stand_in import stand_in_event_log
@@ -124,14 +124,30 @@ def _best_model(spark, d):
     return models[training.pick_best(training.evaluate_candidates(models, _test_part(spark, d))).first()["name"]]
 
 
+def _better_than_chance():
+    return F.col("roc_auc") > certificates.auc_bound(F.col("fn") + F.col("tp"), F.col("tn") + F.col("fp"))
+
+
+def _q_pick_best(spark, d):
+    """Whether the pick has the greatest ROC-AUC of all candidates, and more than chance gives."""
+    evaluations = materialise(_q_evaluate(spark, d))
+    greatest = evaluations.agg(F.max("roc_auc").alias("greatest"), F.count(F.lit(1)).alias("candidates"))
+    return training.pick_best(evaluations).crossJoin(greatest).select(       # one row each
+        "candidates", (F.col("tn") + F.col("fp")).alias("met"), (F.col("fn") + F.col("tp")).alias("breached"),
+        (F.col("roc_auc") == F.col("greatest")).alias("is_greatest"), _better_than_chance().alias("better_than_chance"))
+
+
 def _q_model_roundtrip(spark, d):
+    """Scored incidents, the scores that differ after saving and loading, and whether the scores say anything at all."""
     best = _best_model(spark, d)
     loaded = training.load_model(training.save_model(best, shared_dir(spark, "best-model")))
     inc = incidents(spark, d)
     a = scoring.score_incidents(best, inc, ranked=False).select(KEY, F.col(PROB).alias("p_saved"))
     b = scoring.score_incidents(loaded, inc, ranked=False).select(F.col(KEY).alias("_other"), F.col(PROB).alias("p_loaded"))
-    both = a.join(b, F.col(KEY).eqNullSafe(F.col("_other")))   # the summary has one row per ticket, also for NULL
-    return both.select(KEY, (F.col("p_saved") == F.col("p_loaded")).alias("same"))
+    both = a.join(b, F.col(KEY).eqNullSafe(F.col("_other")), "full")   # the summary has one row per ticket, also for NULL
+    return both.agg(F.count(F.lit(1)).alias("incidents"),
+                    F.count_if(~F.col("p_saved").eqNullSafe(F.col("p_loaded"))).alias("differences"),
+                    (F.count_distinct("p_loaded") > 1).alias("scores_vary"))
 
 
 def another_log(spark, d):
@@ -144,38 +160,59 @@ def another_log(spark, d):
 
 
 def _checked_scores(scored):
-    """Score-independent facts of scored incidents: whether each score lies in [0, 1] and has its band and action."""
+    """Facts of scored incidents that hold for every good model: each score lies in [0, 1] and has its band and action,
+    and all of them together tell breached from met tickets."""
     ok = F.col(PROB).between(0.0, 1.0)
     band = F.col("risk_band") == risk_band(PROB)
     action = F.col("recommended_action") == recommended_action(F.col("risk_band"))
-    return scored.select(KEY, LABEL, "category", "total_events", (ok & band & action).alias("consistent"))
+    rows = materialise(scored.select(KEY, LABEL, PROB, "category", "total_events", (ok & band & action).alias("consistent")))
+    informed = certificates.skill(rows).select(F.col("better_than_prior").alias("informed"))      # one row
+    return rows.drop(PROB).crossJoin(F.broadcast(informed))
 
 
 def _q_score_new_log(spark, d):
     return _checked_scores(scoring.score_new_log(_best_model(spark, d), src.read_event_log(spark, another_log(spark, d))))
 
 
-def _q_train(name):
-    def q(spark, d):
-        prep = training.prepare(incidents(spark, d))
-        cfg = training.TrainConfig(candidates=(name,))
-        model = training.train_candidates(prep, cfg)[name]
-        return training.model_inputs(model, spark).select("feature", "weight")
-    return q
+def _trained(spark, d, name):
+    prep = training.prepare(incidents(spark, d))
+    return prep, training.train_candidates(prep, training.TrainConfig(candidates=(name,)))[name]
+
+
+def _q_train_logreg(spark, d):
+    """Every input of the model, and whether the loss is flat there at its coefficient (see ``certificates``)."""
+    prep, model = _trained(spark, d, "logreg")
+    return certificates.named(model, certificates.optimality(model, prep)).select("feature", "optimal")
+
+
+def _q_train_random_forest(spark, d):
+    prep, model = _trained(spark, d, "random_forest")
+    weights = training.model_inputs(model, spark).agg(F.count(F.lit(1)).alias("inputs"),
+                                                      F.round(F.sum("weight"), 6).alias("importance"))
+    skill = certificates.skill(training.test_scores({"random_forest": model}, prep.test))
+    return weights.crossJoin(skill).select("inputs", F.lit(model.classifier.getNumTrees).cast("long").alias("trees"),
+                                           "importance", F.col("n").alias("test_rows"), "better_than_prior")
+
+
+def _q_model_weights(spark, d):
+    """Coefficients and importances of both candidates."""
+    prep, models = _fit(spark, d)
+    frames = [training.model_inputs(m, spark).select(F.lit(n).alias("name"), "feature", "weight") for n, m in models.items()]
+    return frames[0].union(frames[1])
 
 
 def _q_train_candidates(spark, d):
     prep, models = _fit(spark, d)
     scores = training.test_scores(models, prep.test)
-    return scores.groupBy("name", LABEL).agg(F.count(F.lit(1)).alias("n"),
-                                             F.count_if(F.col(PROB).between(0.0, 1.0)).alias("n_valid"))
+    skills = [certificates.skill(scores.where(F.col("name") == n)).select(F.lit(n).alias("name"), "better_than_prior") for n in models]
+    return certificates.class_losses(scores).drop("log_loss").join(F.broadcast(skills[0].union(skills[1])), "name")
 
 
 def _q_evaluate_candidates(spark, d):
-    """Totals that the split fixes; the model's own figures are in report_candidates and training_job."""
+    """Totals that the split fixes, and whether the order of scores is better than chance gives."""
     return _q_evaluate(spark, d).select("name", (F.col("tn") + F.col("fp")).alias("met"),
                                         (F.col("fn") + F.col("tp")).alias("breached"),
-                                        F.col("roc_auc").between(0.5, 1.0).alias("better_than_chance"))
+                                        _better_than_chance().alias("better_than_chance"))
 
 
 def _q_report(spark, d):
@@ -183,9 +220,15 @@ def _q_report(spark, d):
 
 
 def _q_training_job(spark, d):
+    """The job on another log: what the split fixes, and checks of the figures it reports."""
     from breachlens.plans.train_job import run_training
     log = src.read_event_log(spark, another_log(spark, d))
-    return run_training(spark, summary.incident_summary(log), shared_dir(spark, "training-job"))
+    done = run_training(spark, summary.incident_summary(log), shared_dir(spark, "training-job"))
+    greatest = done.agg(F.max("roc_auc").alias("greatest"), F.count_if("is_best").alias("picked"))
+    return done.crossJoin(greatest).select(                                  # one row
+        "name", (F.col("tn") + F.col("fp")).alias("met"), (F.col("fn") + F.col("tp")).alias("breached"),
+        _better_than_chance().alias("better_than_chance"), "picked",
+        (~F.col("is_best") | (F.col("roc_auc") == F.col("greatest"))).alias("pick_is_greatest"))
 
 
 QUERIES: dict[str, Query] = {
@@ -253,12 +296,13 @@ QUERIES: dict[str, Query] = {
     "impute_categorical": lambda s, d: _impute_categorical(s, d),
     "onehot_category_sizes": lambda s, d: _onehot_sizes(s, d),
     "class_weights": lambda s, d: features.class_weights(_train_rows(s, d)),
-    "train_logreg": _q_train("logreg"),
-    "train_random_forest": _q_train("random_forest"),
+    "train_logreg": _q_train_logreg,
+    "train_random_forest": _q_train_random_forest,
+    "model_weights": _q_model_weights,
     "train_candidates": _q_train_candidates,
     "evaluate_candidates": _q_evaluate_candidates,
     "report_candidates": _q_report,
-    "pick_best": lambda s, d: training.pick_best(_q_evaluate(s, d)),
+    "pick_best": _q_pick_best,
     "score_incidents": lambda s, d: _checked_scores(scoring.score_incidents(_best_model(s, d), incidents(s, d))),
     "training_job": _q_training_job,
 }

@@ -370,23 +370,35 @@ def _on_split(select_sql: str) -> str:
     return with_ctes("SELECT 1", LOG_CTE, INC_CTE).replace("\nSELECT 1", _SPLIT + "\n" + select_sql)
 
 
-# What a model query's rows are apart from the model itself.
+# What a model query's rows are for every good model: counts that the split fixes, and checks that hold.
 _NAMES = "(VALUES ('logreg'), ('random_forest')) AS c(name)"
+_MET = ("CAST(count(*) FILTER (WHERE sla_breached = 0) AS BIGINT) AS met, "
+        "CAST(count(*) FILTER (WHERE sla_breached = 1) AS BIGINT) AS breached")
 ORACLES["evaluate_candidates"] = _on_split(f"""
-SELECT name, CAST(count(*) FILTER (WHERE sla_breached = 0) AS BIGINT) AS met,
-  CAST(count(*) FILTER (WHERE sla_breached = 1) AS BIGINT) AS breached, TRUE AS better_than_chance
-FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name""")
+SELECT name, {_MET}, TRUE AS better_than_chance FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name""")
+ORACLES["pick_best"] = _on_split(f"""
+SELECT CAST(2 AS BIGINT) AS candidates, {_MET}, TRUE AS is_greatest, TRUE AS better_than_chance
+FROM parts WHERE split = 'test'""")
 ORACLES["train_candidates"] = _on_split(f"""
-SELECT name, sla_breached, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_valid
+SELECT name, sla_breached, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_valid, TRUE AS better_than_prior
 FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name, sla_breached""")
-ORACLES["model_roundtrip"] = with_ctes("SELECT number, TRUE AS same FROM inc", LOG_CTE, INC_CTE)
-ORACLES["score_incidents"] = with_ctes(
-    "SELECT number, sla_breached, category, total_events, TRUE AS consistent FROM inc", LOG_CTE, INC_CTE)
+_INPUTS = " UNION ALL ".join([f"SELECT '{c}__imp' AS feature" for c in _NUM] + [
+    f"SELECT DISTINCT '{c}__ohe_' || CAST({c} AS VARCHAR) AS feature FROM train WHERE {c} IS NOT NULL" for c in _CAT])
+ORACLES["train_logreg"] = _on_split(f"""
+SELECT feature, TRUE AS optimal FROM ({_INPUTS} UNION ALL SELECT '(intercept)' AS feature)""")
+ORACLES["train_random_forest"] = _on_split(f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM ({_INPUTS})) AS inputs, CAST(300 AS BIGINT) AS trees, 1.0::DOUBLE AS importance,
+  (SELECT CAST(count(*) AS BIGINT) FROM parts WHERE split = 'test') AS test_rows, TRUE AS better_than_prior""")
+ORACLES["model_roundtrip"] = with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS incidents, CAST(0 AS BIGINT) AS differences, TRUE AS scores_vary FROM inc""", LOG_CTE, INC_CTE)
+ORACLES["score_incidents"] = with_ctes("""
+SELECT number, sla_breached, category, total_events, TRUE AS consistent, TRUE AS informed FROM inc""", LOG_CTE, INC_CTE)
+# another log: other tickets, and a category that no training row has in every third event
+_OTHER_CTE = LOG_CTE.replace("\nlog AS (", "\nfirst_log AS (", 1) + """,
+log AS (SELECT * REPLACE ('N' || number AS number,
+    CASE WHEN event_seq % 3 = 0 THEN 'Unseen, "new"' ELSE category END AS category) FROM first_log)"""
 ORACLES["score_new_log"] = with_ctes("""
-, other AS (SELECT * REPLACE ('N' || number AS number,
-    CASE WHEN event_seq % 3 = 0 THEN 'Unseen, "new"' ELSE category END AS category) FROM log)
-, r AS (SELECT number, CAST(count(*) AS BIGINT) AS total_events,
-    arg_min(category, event_seq) FILTER (WHERE category IS NOT NULL) AS category,
-    arg_max(made_sla, event_seq) FILTER (WHERE made_sla IS NOT NULL) AS last_flag FROM other GROUP BY number)
-SELECT number, CAST(""" + _FLAG + """ = 'false' AS INTEGER) AS sla_breached, category, total_events, TRUE AS consistent
-FROM r WHERE """ + _FLAG + " IN ('true', 'false')", LOG_CTE)
+SELECT number, sla_breached, category, total_events, TRUE AS consistent, TRUE AS informed FROM inc""", _OTHER_CTE, INC_CTE)
+ORACLES["training_job"] = with_ctes("SELECT 1", _OTHER_CTE, INC_CTE).replace("\nSELECT 1", _SPLIT + f"""
+SELECT name, {_MET}, TRUE AS better_than_chance, CAST(1 AS BIGINT) AS picked, TRUE AS pick_is_greatest
+FROM parts, {_NAMES} WHERE split = 'test' GROUP BY name""")

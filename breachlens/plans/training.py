@@ -77,13 +77,13 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     train = parts.where(F.col("split") == "train")
     test = parts.where(F.col("split") == "test")
     # Fitted parameters: one value per input column (bounded by the schema width).
-    med_row = features.numeric_medians(train, num_cols).first()
+    med_row = features.numeric_medians(train, num_cols).first() if num_cols else {}
     empty = [c for c in num_cols if med_row[c] is None]
     if empty:
         log.warning("columns without any value in the training part are left out: %s", ", ".join(empty))
     num_cols = [c for c in num_cols if c not in empty]
     medians = {c: float(med_row[c]) for c in num_cols}
-    modes = {r["feature"]: r["mode"] for r in features.categorical_modes(train, cat_cols).collect()}
+    modes = {r["feature"]: r["mode"] for r in features.categorical_modes(train, cat_cols).collect()} if cat_cols else {}
     weights = {int(r[LABEL]): float(r["weight"]) for r in features.class_weights(train).collect()}
     tested = {int(r[LABEL]) for r in test.select(LABEL).distinct().collect()}
     for part, labels in (("training", weights), ("test", tested)):
