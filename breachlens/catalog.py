@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from breachlens.functions.decision import recommended_action, risk_band, threshold_predict
 from breachlens.operators import decide, explain, features, listing, metrics, reports, split, summary
+from breachlens.operators.ranks import RANK_ERROR
 from breachlens.plans import certificates, encoding, scoring, training
 from breachlens.schema import KEY, LABEL, LOG_ORDER, PROB
 from breachlens.session import materialise, shared_dir
 from breachlens.sources import event_log as src
 from breachlens.sources import sinks
 from breachlens.sources.stand_in import stand_in_event_log
+from breachlens.streaming.summary_table import SummaryTable, follow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,8 @@ LIST_SORT = "reassignment_count_max"
 SEARCH_QUERY = "c0+1[0-9]3"
 LIST_QUERY = "1"
 DETAIL_NUMBER = "INC0000001"
+STREAM_FILES = 6
+
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in_event_log(spark, sf_dir)
@@ -88,6 +92,25 @@ def _q_log_profile(spark, d):
     return src.log_profile(event_log(spark, d))
 
 
+def _q_score_quantiles_sketched(spark, d):
+    """Quantiles from mergeable sketches: whether each value's rank is within the stated error of the wanted one."""
+    s = scored(spark, d)
+    found = reports.score_quantiles(s, exact=False)
+    off = F.lit(RANK_ERROR) * F.col("n") + 1
+    within = (F.col("below") <= F.col("q") * F.col("n") + off) & (F.col("upto") >= F.col("q") * F.col("n") - off)
+    return reports.quantile_ranks(s, PROB, found, reports.SCORE_PROBS).select("name", "n", within.alias("within"))
+
+
+def _q_summary_by_batches(spark, d):
+    """The summary kept up by a stream that takes the log file by file, merged from the batches' partial states."""
+    folder = shared_dir(spark, "log-stream")
+    event_log(spark, d).repartition(STREAM_FILES).write.parquet(folder)
+    table = SummaryTable(spark, shared_dir(spark, "summary-state"), order_by="event_seq")
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    follow(stream, table, shared_dir(spark, "summary-checkpoint")).awaitTermination()
+    return table.summary()
+
+
 # ── model queries: full settings; a model fitted for one query serves the others that only apply one ─────────────
 
 def _fit(spark, d):
@@ -265,6 +288,8 @@ QUERIES: dict[str, Query] = {
     "kpi_overview": lambda s, d: reports.kpi_overview(scored(s, d)),
     "band_counts": lambda s, d: reports.band_counts(scored(s, d)),
     "score_quantiles": lambda s, d: reports.score_quantiles(scored(s, d)),
+    "score_quantiles_sketched": _q_score_quantiles_sketched,
+    "summary_by_batches": _q_summary_by_batches,
     "score_histogram": lambda s, d: reports.score_histogram(scored(s, d)),
     "priority_band_crosstab": lambda s, d: reports.priority_band_crosstab(scored(s, d)),
     "top_groups": lambda s, d: reports.top_groups(scored(s, d)),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachlens.functions.text import format_fixed, format_g, json_string, python_float
-from breachlens.operators.ranks import multi_column_quantiles
+from breachlens.operators.ranks import RANK_ERROR, approximate_quantiles, multi_column_quantiles
 from breachlens.schema import ACTION, BAND, KEY, PROB
 
 # Fixed values that must equal the reference's texts: signals in evaluation
@@ -40,10 +40,10 @@ SYSTEM_PROMPT = (
 USER_PREFIX = "Incident risk summary (JSON):\n"
 
 
-def driver_stats(scored: DataFrame) -> DataFrame:
+def driver_stats(scored: DataFrame, exact: bool = True, rank_error: float = RANK_ERROR) -> DataFrame:
     """One row: ``<signal>_median`` and ``<signal>_q75`` for each signal present."""
     spec = {col: {f"{col}_median": 0.5, f"{col}_q75": 0.75} for col, _, _ in SIGNALS if col in scored.columns}
-    return multi_column_quantiles(scored, spec)
+    return multi_column_quantiles(scored, spec) if exact else approximate_quantiles(scored, spec, rank_error)
 
 
 def _signal_driver(col: str, label: str, note: str) -> Column:

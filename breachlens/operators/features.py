@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from breachlens.operators.ranks import multi_column_quantiles
+from breachlens.operators.ranks import RANK_ERROR, approximate_quantiles, multi_column_quantiles
 from breachlens.schema import LABEL, NON_FEATURE_COLS
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
@@ -30,9 +30,11 @@ def split_feature_types(df: DataFrame) -> tuple[list[str], list[str]]:
     return num, cat
 
 
-def numeric_medians(train: DataFrame, cols: list[str]) -> DataFrame:
-    """One row of exact medians (linear interpolation, NULLs ignored), fitted on ``train``."""
-    return multi_column_quantiles(train, {c: {c: 0.5} for c in cols})
+def numeric_medians(train: DataFrame, cols: list[str], exact: bool = True, rank_error: float = RANK_ERROR) -> DataFrame:
+    """One row of medians (NULLs ignored), fitted on ``train``: exact with linear interpolation, or values of nearly
+    that rank from one pass of mergeable sketches."""
+    spec = {c: {c: 0.5} for c in cols}
+    return multi_column_quantiles(train, spec) if exact else approximate_quantiles(train, spec, rank_error)
 
 
 def _long_format(df: DataFrame, cols: list[str]) -> DataFrame:

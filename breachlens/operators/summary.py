@@ -47,17 +47,18 @@ def order_key(columns: Sequence[str], order_by: str | Sequence[str] | None) -> l
     return [part for c in cols for part in (F.col(c).isNull(), F.col(c))]
 
 
-def _placed(col: str, order: list[Column]) -> Column:
-    parts = [p.alias(f"o{i}") for i, p in enumerate([*order, F.col(col)])]
-    return F.when(F.col(col).isNotNull(), F.struct(*parts))
+def placed(col: str, order: list[Column]) -> Column:
+    """(order …, value), NULL where the column is: its least or greatest holds the first or last value."""
+    parts = [p.alias(f"o{i}") for i, p in enumerate(order)]
+    return F.when(F.col(col).isNotNull(), F.struct(*parts, F.col(col).alias("value")))
 
 
 def first_non_null(col: str, order: list[Column]) -> Column:
-    return F.min_by(F.col(col), _placed(col, order))
+    return F.min_by(F.col(col), placed(col, order))
 
 
 def last_non_null(col: str, order: list[Column]) -> Column:
-    return F.max_by(F.col(col), _placed(col, order))
+    return F.max_by(F.col(col), placed(col, order))
 
 
 def normalised_flag(raw: Column) -> Column:
@@ -149,4 +150,4 @@ def resolution_hours(log: DataFrame, key: str = KEY) -> DataFrame:
 
 __all__ = ["incident_summary", "total_events", "sys_mod_stats", "first_non_null_attrs",
            "last_sla_flag", "resolution_hours", "normalised_flag", "sla_label", "hours_between",
-           "order_key", "MISSING_KEY_MESSAGE", "NO_ORDER"]
+           "order_key", "placed", "MISSING_KEY_MESSAGE", "NO_ORDER"]

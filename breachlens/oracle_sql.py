@@ -111,6 +111,10 @@ _P0, _R0c, _F0 = _r0("tn", "tn + fn"), _r0("tn", "tn + fp"), _r0("2 * tn", "2 *
 _W = lambda a, b: _r0(f"{a} * (tn + fp) + {b} * (tp + fn)", "tn + fp + tp + fn")
 
 ORACLES.update({
+    "score_quantiles_sketched": on_scored("""
+SELECT name, CAST(count(sla_breach_probability) AS BIGINT) AS n, TRUE AS within
+FROM scored, (VALUES ('p10'), ('p50'), ('p90')) AS q(name) GROUP BY name"""),
+    "summary_by_batches": with_ctes(f"SELECT {_SUMMARY_COLS} FROM inc", LOG_CTE, INC_CTE),
     "score_histogram": on_scored(_HIST),
     "calibration_table": on_scored(_CALIB),
     "priority_band_crosstab": on_scored("""

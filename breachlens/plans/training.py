@@ -51,6 +51,7 @@ class TrainConfig:
     rf_max_depth: int = 12
     encoder: str = "onehot"
     hash_features: int = 1 << 16
+    exact_medians: bool = True
     candidates: tuple[str, ...] = ("logreg", "random_forest")
 
 
@@ -77,7 +78,7 @@ def prepare(summary: DataFrame, cfg: TrainConfig = TrainConfig()) -> Prepared:
     train = parts.where(F.col("split") == "train")
     test = parts.where(F.col("split") == "test")
     # Fitted parameters: one value per input column (bounded by the schema width).
-    med_row = features.numeric_medians(train, num_cols).first() if num_cols else {}
+    med_row = features.numeric_medians(train, num_cols, cfg.exact_medians).first() if num_cols else {}
     empty = [c for c in num_cols if med_row[c] is None]
     if empty:
         log.warning("columns without any value in the training part are left out: %s", ", ".join(empty))

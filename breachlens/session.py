@@ -83,10 +83,26 @@ def _application_dir(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/breachlens/{spark.sparkContext.applicationId}"
 
 
+def _located(spark: SparkSession, path: str):
+    """A path as the file system's own, and the file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _located(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, fs = _located(spark, path)
+    fs.delete(p, True)
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote with ``shared_dir``. Call it when no result that reads it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, _application_dir(spark))
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "materialise", "shared_dir", "remove_scratch", "DEFAULT_CONF"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "materialise", "shared_dir", "path_exists", "remove_path", "remove_scratch",
+           "DEFAULT_CONF"]
