@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -225,8 +226,32 @@ def test_methods_add_spans(spark):
     got = {r["id"]: r["spans"] for r in secrets.secrets(frame(spark, docs)).collect()}
     assert all(got[i] == "" for i in range(60))
     assert all(got[i] == "markov:4:36" for i in range(75, 80))
+    plain = "see internationalization-of_identifiers 123456789012345 2024-01-02/03 ==================== CUSTOMERS_INTERNATIONAL here"
+    parts = ["9f3a1c7be20d48a65c1eQ Zx8Qw2Lp0Rt6", f"password={keys[0]}", f"{keys[1]}Z9f3a1c7be20d48a6"]
+    odd = {r["id"]: r["spans"] for r in secrets.secrets(frame(spark, [*docs, plain, *parts])).collect()}
+    assert odd[80] == ""
+    # a token is left out only if it lies wholly within a fixed span
+    assert odd[81] == "hex:0:20,markov:0:21,markov:22:34"
+    assert odd[82] == "assign:0:41" and "markov:0:49" in odd[83].split(",")
     pii = [*[f"call me: phone +1 (555) 123-4{i:03d} or mail p{i}@mail.example.com, server ip 10.0.0.{i}" for i in range(40)],
            "my ssn 123-45-6789", "phone 555-867-5309", *prose]
     spans = {r["id"]: r["spans"] for r in personal.personal_data(frame(spark, pii)).collect()}
     assert spans[40] == "ssn:7:18" and spans[41] == "local_phone:6:18"
     assert all(spans[i] == "" for i in range(42, 42 + 60))
+
+
+@pytest.mark.parametrize("length, letters, least", [(12, False, 0.9), (14, False, 0.9), (18, False, 0.9), (24, False, 0.95), (32, True, 0.9)])
+def test_random_tokens_of_every_length_are_found(spark, length, letters, least):
+    """Planted among the real documents of the smallest set, without any keyword."""
+    rng = random.Random(length)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + ("" if letters else "0123456789")
+    texts = [t[:3000] for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    words = [w for t in texts for w in t.split()]
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    prose = [" ".join(w for w in t.split() if not any(c.isdigit() or c in "=_" for c in w)) for t in prose]
+    planted = [f"{p[:40]} {''.join(rng.choices(chars, k=length))} {p[40:80]}" for p in prose[:40]]
+    got = {r["id"]: r["spans"] for r in secrets.secrets(frame(spark, [*texts, *prose, *planted])).collect()}
+    n = len(texts)
+    assert [got[n + i] for i in range(60)] == [""] * 60
+    found = sum("markov" in got[n + 60 + i] for i in range(40))
+    assert found >= least * 40, found
