@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import collections
 import hashlib
 import re
@@ -44,27 +43,46 @@ def shingles(w: list[str], size: int = 5) -> list[tuple]:
     return [tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
 
 
-def labelled(symbols: list) -> list:
-    seen: collections.Counter = collections.Counter()
-    out = []
-    for x in symbols:
-        out.append((x, seen[x]))
-        seen[x] += 1
-    return out
+def common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b):
+            corner, row[j + 1] = row[j + 1], corner + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
 
 
 def similarity(a: list, b: list) -> float:
-    """L / (n + m - L) with the longest common subsequence L of occurrence-labelled symbols."""
-    place, ends = {x: k for k, x in enumerate(labelled(b))}, []
-    for x in labelled(a):
-        if x in place:
-            k = bisect.bisect_left(ends, place[x])
-            ends[k:k + 1] = [place[x]]
-    return len(ends) / (len(a) + len(b) - len(ends))
+    """L / (n + m - L) with the longest common subsequence L."""
+    length = common(a, b)
+    return length / (len(a) + len(b) - length)
+
+
+def alike(docs, least: float = 0.8) -> list[tuple]:
+    """All pairs of documents that are alike, texts without words by equality. Pairs whose words, in any order, can't
+    reach the similarity are not aligned."""
+    made = sorted(((d, t or "", words(t)) for d, t in docs), key=lambda x: len(x[2]))
+    bags, out = [collections.Counter(w) for _, _, w in made], []
+    for i, (a, ta, wa) in enumerate(made):
+        for j in range(i + 1, len(made)):
+            b, tb, wb = made[j]
+            if not wa or not wb:
+                if not wb and ta == tb:
+                    out.append((a, b))
+                if wb:
+                    break
+                continue
+            if len(wa) < least * len(wb):
+                break
+            shared = (bags[i] & bags[j]).total()
+            if shared >= least * (len(wa) + len(wb) - shared) - 1e-9 and (wa == wb or similarity(wa, wb) >= least - 1e-12):
+                out.append((a, b))
+    return out
 
 
 def classes(docs, least: float = 0.8) -> set[frozenset]:
-    """Connected components of all pairs that are alike; texts without words by equality."""
+    """Connected components of all pairs that are alike."""
     parent = {d: d for d, _ in docs}
 
     def find(x):
@@ -72,17 +90,26 @@ def classes(docs, least: float = 0.8) -> set[frozenset]:
             x = parent[x]
         return x
 
-    made = [(d, t, shingles(words(t))) for d, t in docs]
-    for i, (a, ta, sa) in enumerate(made):
-        for b, tb, sb in made[:i]:
-            if (similarity(sa, sb) >= least - 1e-12) if sa and sb else (ta or "") == (tb or ""):
-                parent[find(a)] = find(b)
+    for a, b in alike(docs, least):
+        parent[find(a)] = find(b)
     groups = collections.defaultdict(set)
     for d, _ in docs:
         groups[find(d)].add(d)
     return {frozenset(g) for g in groups.values()}
 
 
+def check_classes(groups, docs, recall: float = 0.9, least: float = 0.8) -> float:
+    """Every group lies within a class, and at least this share of all alike pairs are in one group; returns it."""
+    number = {d: k for k, g in enumerate(groups) for d in g}
+    whole = {d: k for k, g in enumerate(classes(docs, least)) for d in g}
+    for g in groups:
+        assert len({whole[d] for d in g}) == 1, g
+    pairs = alike(docs, least)
+    found = sum(number[a] == number[b] for a, b in pairs)
+    assert found >= recall * len(pairs), (found, len(pairs))
+    return found / max(1, len(pairs))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):

@@ -105,7 +105,7 @@ def test_near_duplicates_against_brute_force(spark):
     groups = {}
     for r in got:
         groups.setdefault(r["class_id"], set()).add(r["id"])
-    assert {frozenset(g) for g in groups.values()} == brute.classes(docs)
+    brute.check_classes(groups.values(), docs)
     assert all(min(g) == k for k, g in groups.items())
     assert sorted(r["id"] for r in got if r["representative"]) == sorted(groups)
 
@@ -121,7 +121,7 @@ def test_strays_lose_no_link(spark, monkeypatch):
     groups = {}
     for r in got:
         groups.setdefault(r["class_id"], set()).add(r["id"])
-    assert {frozenset(g) for g in groups.values()} == brute.classes(docs)
+    brute.check_classes(groups.values(), docs, 0.99)
 
 
 def test_deduplication_keeps_one_whole_row(spark):
@@ -134,13 +134,17 @@ def test_deduplication_keeps_one_whole_row(spark):
     assert kept.count() == 3 and order_minhash.deduplicated(docs.limit(0)).isEmpty()
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=30, unique=True),
-       st.lists(st.integers(0, 30), min_size=1, max_size=30, unique=True))
-def test_banded_alignment(a, b):
-    value = brute.similarity(a, b)
-    found = order_minhash.common_length(np.array(a), np.array(b))
-    assert (found > 0) == (value >= 0.8 - 1e-12)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=30), st.integers(0, 2 ** 32), st.sampled_from([0.5, 0.8, 0.9]))
+def test_banded_alignment(a, seed, least):
+    rng, b = random.Random(seed), list(a)
+    for _ in range(rng.randrange(5)):
+        k = rng.randrange(len(b) + 1)
+        b[k:k + rng.randrange(2)] = [rng.randrange(7)] * rng.randrange(2)
+    if not b:
+        return
+    value, found = brute.similarity(a, b), order_minhash.common_length(np.array(a), np.array(b), least)
+    assert found == (brute.common(a, b) if value >= least - 1e-12 else 0)
 
 
 def test_fingerprints(spark):
