@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breachlens.functions.python_regex import java_pattern
 from breachlens.schema import BAND, KEY, PROB
 
 SORTABLE = (PROB, "reassignment_count_max", "reopen_count_max", "total_events")
@@ -35,9 +36,9 @@ def filter_min_prob(scored: DataFrame, min_prob: float, prob: str = PROB) -> Dat
 
 
 def search_incidents(scored: DataFrame, query: str | None, key: str = KEY, literal: bool = False) -> DataFrame:
-    """Case-insensitive search in the ticket number; regex by default, blank → no filter.
+    """Case-insensitive search in the ticket number; regex in Python's dialect by default, blank → no filter.
 
-    A NULL ticket number never matches.
+    A NULL ticket number never matches; a regex that can't be run is a ValueError.
     """
     q = (query or "").strip()
     if not q:
@@ -45,7 +46,7 @@ def search_incidents(scored: DataFrame, query: str | None, key: str = KEY, liter
     target = F.col(key).cast("string")
     if literal:
         return scored.where(F.contains(F.lower(target), F.lit(q.lower())))
-    return scored.where(target.rlike("(?i)" + q))
+    return scored.where(target.rlike(java_pattern(q)))
 
 
 def incident_detail(scored: DataFrame, number: str, key: str = KEY) -> DataFrame:

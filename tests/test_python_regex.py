@@ -1,0 +1,65 @@
+"""Searches mean what they mean to Python's ``re``, on ticket texts of mixed scripts."""
+
+import random
+import re
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from breachlens.functions.python_regex import java_pattern
+from breachlens.operators import listing
+
+TEXTS = ["INC0000123", "inc-é", "INC-É", "Straße", "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "Ωmega", "ﬁx", "İstanbul", "ıstanbul", "\u212aelvin", "naïve",
+         "١٢٣", "१२", "x²", "Ⅻ", "a_b", "a b", "a\u00a0b", "a\u2003b", "line\nINC2", "INC2\n", "\nINC2", "", " ", "\t", "a\x1cb", "a\x85b",
+         "aa", "abab", "AbaB", "[x]", "a.b", "a\\b", "$5", "^", "😀x", "中文12", "A-1", "inc1inc1", "a\u2028b", "ſ", "Ǆ ǅ ǆ", "µ μ", "ß ẞ"]
+
+FIXED = ["inc-é", "(?P<a>inc)1(?P=a)1", r"\d+", r"\w+$", r"\bINC2\b", r"INC2\Z", "INC2$", "^INC2", "(?m)^INC2$", r"\A\s", r"\S\s\S", "a.b", "(?s)a.b",
+         "[^a-z]", "[É]", "[α-ω]+", "[^\\W\\d_]", "straße", "ß", "k", "ss", "ſ", "i", "İ", "ı", "µ", "ǆ", r"[\d-]+", r"a\.b", r"a\\b", r"\$5", "x|y|^$", "(a)(b)?\\1",
+         "(?:ab){2}", "(?:ab){2,}?$", "a*+b", "(?>a+)b", "(?<=c)0", "(?<!c)0", "(?=.*2)inc", "(?!inc)....", "(?i:INC)", "(?-i:INC)", "(?a)\\w+$", "(?a:\\d)",
+         r"\B", r"\Bb", r"\x41", r"\u00e9", r"\N{GREEK SMALL LETTER SIGMA}", "[]x]", "[^]x]", "[\\]x]", "a{,2}b", "a{0}", "", "()", "😀", "[😀中]", "(?x) inc 0 # no", r"[\s]",
+         r"[^\s]", r"[\W]", r"[^\D]", r"\D\d", "."]
+
+
+def generated(rng):
+    atoms = ["a", "b", "É", "é", "σ", "Σ", "ß", "k", "s", "i", "1", "-", ".", r"\d", r"\w", r"\s", r"\D", r"\W", r"\S", "[a-cé]", "[^a-c]", r"[\w-]", r"[^\d]",
+             "[A-Z]", "中", " ", "_", r"\.", "x"]
+
+    def one(depth):
+        kind = rng.randrange(9)
+        if depth == 0 or kind < 4:
+            return rng.choice(atoms)
+        inner = "".join(one(depth - 1) for _ in range(rng.randrange(1, 3)))
+        return {4: f"({inner})", 5: f"(?:{inner}|{one(depth - 1)})", 6: f"(?:{inner}){rng.choice(['*', '+', '?', '{2}', '{0,2}', '+?', '*+'])}",
+                7: f"{rng.choice(['(?=', '(?!'])}{inner})", 8: rng.choice(["^", "$", r"\b", r"\B", r"\Z"]) + inner}[kind]
+
+    return "".join(one(3) for _ in range(rng.randrange(1, 4)))
+
+
+def test_searches_are_those_of_python(spark):
+    rng = random.Random(12)
+    queries = FIXED + [generated(rng) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string").coalesce(1).cache()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for lo in range(0, len(queries), 60):
+            part = queries[lo:lo + 60]
+            rows = df.select("i", *[F.col("t").rlike(java_pattern(q)).alias(f"q{k}") for k, q in enumerate(part)]).collect()
+            for r in rows:
+                for k, q in enumerate(part):
+                    assert r[f"q{k}"] == (re.search(q, TEXTS[r["i"]], re.IGNORECASE) is not None), (q, TEXTS[r["i"]], java_pattern(q))
+
+
+def test_search_incidents(spark):
+    df = spark.createDataFrame([("INC-É",), ("INC1",), ("inc1inc1",), (None,)], "number string")
+    found = lambda q, **o: sorted(r[0] for r in listing.search_incidents(df, q, **o).collect())
+    assert found("inc-é") == ["INC-É"]
+    assert found("(?P<a>inc)1") == ["INC1", "inc1inc1"]
+    assert found("1\\Z") == ["INC1", "inc1inc1"] and found("(?P<a>inc)1(?P=a)") == ["inc1inc1"]
+    assert found("nc1", literal=True) == ["INC1", "inc1inc1"]
+
+
+@pytest.mark.parametrize("query", ["(", "[a", "*a", "(?P<a>x)(?P<a>y)", "a{2,1}", "(a)?(?(1)b|c)", "(?<=a+)b", "\\g"])
+def test_what_cannot_be_run_is_an_error(query):
+    with pytest.raises(ValueError, match="can't be run"):
+        java_pattern(query)
