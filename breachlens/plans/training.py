@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from breachlens.operators import features, metrics, split
 from breachlens.plans.encoding import FEATURES, HashingEncoder, OneHotEncoder, load_encoder
-from breachlens.schema import LABEL, PROB
-from breachlens.session import materialise
+from breachlens.plans.forest import BalancedForest
+from breachlens.schema import KEY, LABEL, PROB
+from breachlens.session import materialise, path_exists
 
 log = logging.getLogger(__name__)
 
@@ -40,7 +41,9 @@ ONE_CLASS = "The {part} part has no incident with label {label}; both classes ar
 @dataclass(frozen=True)
 class TrainConfig:
     """``rf_max_depth``: the library grows trees level by level and holds one histogram for each node of a level, so
-    the depth bounds the memory of a fit (its own limit is 30); 12 allows 4,096 leaves a tree.
+    the depth bounds the memory of a fit (its own limit is 30); 12 allows 4,096 leaves a tree. ``rf_groups``: bootstrap
+    samples, each with its own class weights, that share out the trees (see ``forest``); 0 is one forest of the library's
+    own bootstraps with the class weights of the whole training part.
     ``encoder``: ``onehot`` has an input for every category of the training part, whose vocabulary is a table; the
     classifiers hold a number for each input. ``hashing`` maps categories to ``hash_features`` counters."""
 
@@ -49,6 +52,7 @@ class TrainConfig:
     lr_max_iter: int = 250
     rf_trees: int = 300
     rf_max_depth: int = 12
+    rf_groups: int = 10
     encoder: str = "onehot"
     hash_features: int = 1 << 16
     exact_medians: bool = True
@@ -109,7 +113,7 @@ class RiskModel:
     """An encoder and a classifier fitted on its vectors."""
 
     encoder: OneHotEncoder | HashingEncoder
-    classifier: ClassificationModel
+    classifier: ClassificationModel | BalancedForest
 
     @property
     def columns(self) -> list[str]:
@@ -133,10 +137,16 @@ def classifiers(p: Prepared, cfg: TrainConfig) -> dict:
 def train_candidates(p: Prepared, cfg: TrainConfig = TrainConfig()) -> dict[str, RiskModel]:
     """One model per candidate; the encoder is fitted once and shared."""
     encoder = fit_encoder(p, cfg)
-    encoded = encoder.encode(p.train.select(*encoder.columns, LABEL, WEIGHT)).select(FEATURES, LABEL, WEIGHT)
+    encoded = encoder.encode(p.train.select(*dict.fromkeys([KEY, *encoder.columns, LABEL, WEIGHT]))).select(KEY, FEATURES, LABEL, WEIGHT)
     encoded = materialise(encoded) if cfg.encoder == "hashing" else encoded      # the other one has written its vectors
     clfs = classifiers(p, cfg)
-    return {name: RiskModel(encoder, clfs[name].fit(encoded)) for name in cfg.candidates}
+
+    def fit(name: str):
+        if name == "random_forest" and cfg.rf_groups:
+            return BalancedForest.fit(encoded, KEY, LABEL, FEATURES, cfg.rf_trees, cfg.rf_groups, cfg.rf_max_depth, cfg.seed)
+        return clfs[name].fit(encoded)
+
+    return {name: RiskModel(encoder, fit(name)) for name in cfg.candidates}
 
 
 def model_inputs(model: RiskModel, spark: SparkSession) -> DataFrame:
@@ -202,12 +212,17 @@ def pick_best(evaluations: DataFrame, order: tuple[str, ...] = TrainConfig.candi
 def save_model(model: RiskModel, path: str) -> str:
     spark = SparkSession.active()
     model.encoder.save(spark, path)
-    model.classifier.write().overwrite().save(f"{path}/classifier")
+    if isinstance(model.classifier, BalancedForest):
+        model.classifier.save(spark, f"{path}/classifier")
+    else:
+        model.classifier.write().overwrite().save(f"{path}/classifier")
     return path
 
 
 def load_model(path: str) -> RiskModel:
     spark = SparkSession.active()
+    if path_exists(spark, f"{path}/classifier/forest"):
+        return RiskModel(load_encoder(spark, path), BalancedForest.load(spark, f"{path}/classifier"))
     kind = DefaultParamsReader.loadMetadata(f"{path}/classifier", spark)["class"].rsplit(".", 1)[1]
     classifier = {c.__name__: c for c in (LogisticRegressionModel, RandomForestClassificationModel)}[kind]
     return RiskModel(load_encoder(spark, path), classifier.load(f"{path}/classifier"))
