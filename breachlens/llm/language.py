@@ -11,7 +11,8 @@ Training runs on the driver over a bounded sample: about ``per_lang`` documents
 rows give the same model. Only text and label are used. The output layer grows with the labels; beyond 250 of them the
 sample per language shrinks to ``MOST_SAMPLE`` rows in all, but every label keeps one, and steps are added so that each
 language is seen as often as with 320. Work per byte grows with the number of languages, memory does not. The driver
-holds the sample; more than ``MAX_LANGS`` labels (twice the number of living languages) are an error.
+holds the sample. The ``MAX_LANGS`` labels with the most rows are learned (twice the number of living languages): that is
+a bound of the fit, as the sample is; every document gets a prediction.
 
 A document is accepted if its score reaches the bound of its predicted language, which lies ``MIN_SCORE`` of the way
 from chance (one over the number of languages) to the ``LOW`` quantile of the scores of texts that training did not see
@@ -246,10 +247,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """Fit on about ``per_lang`` hashed rows of each language, scored on a quarter as many others (the bounds on rows)."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER))
-    counts = {r["lang"]: r["n"] for r in
-              rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages in column {lang}")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return fit([], [])
     per_lang = max(1, min(per_lang, MOST_SAMPLE // len(counts)))
@@ -262,8 +261,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     sample = (rows.join(F.broadcast(shares), "lang").select("lang", "text", "key", draw.alias("draw"), "share")
               .where(F.col("draw") < F.col("share") * 5 / 4)
               .select("lang", F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"),
-                      (F.col("draw") >= F.col("share")).alias("held"))
-              .limit(5 * per_lang * len(counts)).collect())
+                      (F.col("draw") >= F.col("share")).alias("held"), "draw").distinct()     # a repeated row is drawn once
+              .orderBy("draw", "lang", "text").limit(5 * per_lang * len(counts)).collect())
     got = [(r["lang"], r["text"].encode(), r["held"]) for r in sample]
     missing = [(x,) for x in counts.keys() - {x for x, _, held in got if not held}]   # no row drawn: the first one by hash
     if missing:

@@ -375,3 +375,24 @@ def test_quality(spark):
     assert sum(got[i]["keep"] for i in range(120, 144)) <= 8
     assert not any(got[i]["keep"] for i in range(144, 147))
     assert quality.scored(docs.limit(0)).isEmpty()
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    """The most frequent labels are learned, and every document gets one of them."""
+    monkeypatch.setattr(language, "MAX_LANGS", 3)
+    texts = {"aa": "la casa de la montana ", "bb": "the house on the hill ", "cc": "das haus auf dem berg "}
+    rows = [(i, t * 5, lang, None) for i, (lang, t) in enumerate(list(texts.items()) * 20)]
+    rows += [(1000 + i, "zz qq " * 9, f"rare{i:05d}", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.train(docs, steps=60)
+    assert sorted(model.langs) == ["aa", "bb", "cc"]
+    got = language.identify(docs, model, keep=["doc_id"]).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"aa", "bb", "cc"}
+
+
+def test_a_repeated_labelled_row_does_not_crowd_out_others(spark):
+    rows = [(7, "word and word again " * 4, "aa", None)] * 4000 + [(i, f"otra cosa numero {i} " * 4, "bb", None) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, DOCS)
+    a, b = language.train(docs, steps=20), language.train(docs.repartition(7), steps=20)
+    assert sorted(a.langs) == ["aa", "bb"]
+    assert all((x == y).all() for x, y in ((a.inputs, b.inputs), (a.output, b.output)))
