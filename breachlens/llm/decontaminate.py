@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breachlens.llm.arrow_text import add_columns, pieces, utf8, words
+from breachlens.llm.rows import Tables
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -272,11 +273,16 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     items with an occurring window) and ``spans`` (code points to remove, merged, end exclusive).
 
     A word is a run of letters, digits and characters from U+0080 on, A-Z lower-cased; a window is ``window``
-    consecutive item words, or all words of a shorter item. Each block of items is one more pass in the same plan.
+    consecutive item words, or all words of a shorter item. Each block of items is one pass over the documents; it is
+    written before the next one begins, so only one block is held and broadcast at a time.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     out = docs.select(*dict.fromkeys([*keep, text]))
+    tables, sent = Tables(docs.sparkSession, "decontaminate"), None
     for block in _blocks(benchmark, item, item_text, block_bytes):
+        if sent is not None:
+            out = tables.put(out)
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
         out = _scan(out, text, sent, list(dict.fromkeys([*keep, text])), shard_bytes)
     return out.select(*keep, *ADDED)
