@@ -6,7 +6,8 @@ order depends on the two bin numbers only, so two texts agree on it), and the lo
 as hex. Two fingerprints agree in a share e of bins; chance agreement of stored bits is taken out:
 likeness = (e - 2^-BITS) / (1 - 2^-BITS), at least 0.
 
-A document's neighbour is the next one by descending id. The rows are dealt into ranges of ids; the first rows of a
+A document's neighbour is the next one by descending id. The rows are dealt into ranges of ids, of ``RANGE_BYTES`` of
+text on average, so a task's share does not grow with the table (rows of one id are in one range); the first rows of a
 range also go to the range before (the first of all to the last), where they come last, so each neighbour is found
 inside its range by a window and the texts are shuffled once.
 
@@ -29,7 +30,9 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 8
 SPACE = " \t\n\x0b\f\r"
-MOST_RANGES = 4096
+RANGE_BYTES = 4 << 20       # of texts in a range of ids
+TASK_RANGES = 4             # ranges of a task
+MOST_RANGES = 1 << 16
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -79,7 +82,8 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, carried: list[str], text: str) -> DataFrame:
     """Every row with the struct ``next`` of the ``carried`` columns of its neighbour by descending id."""
     spark = docs.sparkSession
-    ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = int(min(MOST_RANGES, 2 + size // RANGE_BYTES))
     place = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
     ids = docs.select(F.col(id_col).alias("id"), place.alias("place"))
     cuts = ids.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
@@ -95,6 +99,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], text: str) -> Da
     where = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")),
                     F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost")))
     dealt = own.select(*docs.columns, F.inline(F.filter(where, lambda w: w["range"].isNotNull())))
+    dealt = dealt.repartition(1 + len(tops) // TASK_RANGES, "range")       # tasks by bytes, whatever the session's number
     order = Window.partitionBy("range").orderBy(
         "ghost", F.col(id_col).isNull(), F.bitwise_not(F.col(id_col)), F.xxhash64(text))
     following = F.lead(F.struct(*carried)).over(order)
