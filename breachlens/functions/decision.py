@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # the three action texts, in band order High, Medium, Low.
 LOW_BELOW = 0.30
 MEDIUM_BELOW = 0.60
+NO_PROBABILITY = "A probability is missing, so the incident has no risk band."
 BANDS = ("High", "Medium", "Low")
 ACTION_HIGH = "Escalate now. Assign correctly, reduce reassignment loops, senior review."
 ACTION_MEDIUM = "Monitor. Check missing details and confirm ownership early."
@@ -23,9 +24,9 @@ def _c(x) -> Column:
 
 
 def risk_band(p) -> Column:
-    """p < 0.30 → Low, p < 0.60 → Medium, otherwise High (NaN → High). NULL stays NULL."""
+    """p < 0.30 → Low, p < 0.60 → Medium, otherwise High (NaN → High). A NULL probability fails the job."""
     p = _c(p)
-    return (F.when(p.isNull(), F.lit(None).cast("string"))
+    return (F.when(p.isNull(), F.raise_error(F.lit(NO_PROBABILITY)).cast("string"))
              .when(p < LOW_BELOW, F.lit("Low"))
              .when(p < MEDIUM_BELOW, F.lit("Medium"))
              .otherwise(F.lit("High")))
@@ -57,4 +58,4 @@ def proxy_score_bp(total_events="total_events", reassign="reassignment_count_max
 
 
 __all__ = ["risk_band", "recommended_action", "threshold_predict", "proxy_score_bp",
-           "BANDS", "ACTION_HIGH", "ACTION_MEDIUM", "ACTION_LOW", "LOW_BELOW", "MEDIUM_BELOW"]
+           "NO_PROBABILITY", "BANDS", "ACTION_HIGH", "ACTION_MEDIUM", "ACTION_LOW", "LOW_BELOW", "MEDIUM_BELOW"]

@@ -5,9 +5,9 @@ from breachlens.functions.text import format_fixed, format_g
 
 
 def test_band_edges(spark):
-    df = spark.createDataFrame([(0.2999,), (0.30,), (0.5999,), (0.60,), (float("nan"),), (None,)], "p double")
+    df = spark.createDataFrame([(0.2999,), (0.30,), (0.5999,), (0.60,), (float("nan"),)], "p double")
     got = [r[0] for r in df.select(risk_band("p")).collect()]
-    assert got == ["Low", "Medium", "Medium", "High", "High", None]
+    assert got == ["Low", "Medium", "Medium", "High", "High"]
 
 
 def test_actions(spark):
@@ -28,3 +28,10 @@ def test_python_fixed_format(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(format_fixed(F.col("v"), 2)).collect()]
     assert got == [f"{v:.2f}" for v in vals]
+
+
+def test_a_missing_probability_is_refused(spark):
+    import pytest
+    df = spark.createDataFrame([(0.5,), (None,)], "p double")
+    with pytest.raises(Exception, match="no risk band"):
+        df.select(risk_band("p")).collect()
