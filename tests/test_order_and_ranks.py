@@ -102,7 +102,7 @@ def test_prompt_is_indented_json(spark):
                                "assignment_group string, category string")
     for r in explain.explanation_prompts(df).collect():
         body = r["user_message"].removeprefix(explain.USER_PREFIX)
-        assert body == json.dumps(json.loads(body), indent=2, ensure_ascii=False)
+        assert body == json.dumps(json.loads(body), indent=2)
     assert explain.explanation_prompts(df, bands=("High",)).count() == 1
 
 
