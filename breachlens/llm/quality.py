@@ -25,6 +25,8 @@ from breachlens.llm.weak_labels import em
 FEATURES = 1 << 14
 SAMPLE_DOCUMENTS = 8000
 THRESHOLD = 0.4
+REGULARISATION = 0.01
+RESULTS = ("quality_score", "quality_posterior", "keep")
 # Frequent words of the languages served.
 STOPWORDS = ("the and of to in is that for it with as was on be by la le de et les des un une est que pour dans en el los "
              "las por con una para der die das und ist nicht ein eine mit zu den von").split()
@@ -71,27 +73,26 @@ def label_model(voted: DataFrame) -> list[tuple[tuple[int, ...], int, float]]:
     return [(v, n, p) for (v, n), p in zip(rows, posterior)]
 
 
-def _features(df: DataFrame, words: Column) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_words", outputCol="_features").transform(
-        df.withColumn("_words", words))
-
-
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCUMENTS,
-           threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with ``quality_score`` (of the linear scorer), ``quality_posterior`` (of the label model) and
-    ``keep``."""
-    spark = docs.sparkSession
+           threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of the documents (default: all) with ``quality_score`` (of the linear scorer),
+    ``quality_posterior`` (of the label model) and ``keep``.
+
+    Texts are read once: their votes and hashed words are written, and all that follows reads those."""
+    spark, tables = docs.sparkSession, Tables(docs.sparkSession, "quality")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     body = F.coalesce(F.col("_text"), F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    own = own.withColumn("_votes", let(_words(body), lambda w: F.struct(
-        *[v.cast("int").alias(k) for k, v in votes(body, w).items()])))
-    tables = Tables(spark, "quality")
-    voted = tables.put(own.select(F.col("_id").alias("id"), F.xxhash64("_id", "_text").alias("h"), "_votes.*"))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept], F.lit(0).alias("_")).alias("_row"), docs[f"`{text}`"].alias("_text"),
+                      F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text}`"]).alias("_h"))
+    own = own.withColumn("_words", _words(body))        # once for all that uses it
+    own = own.withColumn("_votes", F.struct(*[v.cast("int").alias(k) for k, v in votes(body, F.col("_words")).items()]))
+    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_words", outputCol="_features").transform(own)
+    voted = tables.put(hashed.select("_row", "_h", body.rlike(r"[\p{L}\p{N}]").alias("_nonempty"), "_votes.*", "_features"))
     patterns = label_model(voted)
     total = sum(n for _, n, _ in patterns)
     code = F.lit(0)            # votes as digits to the base 3
     for name in NAMES:
-        code = code * 3 + F.col("_votes")[name] + 1
+        code = code * 3 + F.col(name) + 1
     codes = [0.0] * 3 ** len(NAMES)
     for v, _, p in patterns:
         at = 0
@@ -99,25 +100,23 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample:
             at = at * 3 + x + 1
         codes[at] = p
     posterior = F.element_at(F.split(F.lit(" ".join(f"{p:.4g}" for p in codes)), " ").cast("array<double>"), code + 1)
-    own = own.withColumn("_posterior", posterior)
-    chosen = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < min(1 << 30, (sample << 30) // max(1, total))
-    fit_on = tables.put(own.where(chosen).select(body.alias("_text"), "_posterior").limit(2 * sample))
+    voted = voted.withColumn("_posterior", posterior)
+    chosen = F.pmod("_h", F.lit(1 << 30)) < min(1 << 30, (sample << 30) // max(1, total))
     twice = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("_posterior").alias("weight")),
                               F.struct(F.lit(0.0).alias("label"), (1 - F.col("_posterior")).alias("weight"))))
-    train = tables.put(_features(fit_on, _words(F.col("_text"))).select("_features", twice.alias("y")).select(
+    train = tables.put(voted.where(chosen).orderBy("_h").limit(2 * sample).select("_features", twice.alias("y")).select(
         "_features", "y.*").where("weight > 0.001"))
-    nonempty = body.rlike(r"[\p{L}\p{N}]")
     if train.select("label").distinct().count() == 2:
-        model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=0.01, maxIter=25,
+        model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=REGULARISATION, maxIter=25,
                                    probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred").fit(train)
-        own = model.transform(_features(own, _words(body)))
+        voted = model.transform(voted)
         score = vector_to_array("_p")[1]
     else:
         score = F.col("_posterior")
-    own = own.withColumn("_score", score)
-    new = {"quality_score": F.col("_score"), "quality_posterior": F.col("_posterior"),
-           "keep": nonempty & ((F.col("_score") + F.col("_posterior")) / 2 >= threshold)}
-    return own.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    voted = voted.withColumn("_score", score)
+    good = F.col("_nonempty") & ((F.col("_score") + F.col("_posterior")) / 2 >= threshold)
+    return voted.select(*[F.col(f"_row.`{c}`") for c in kept], F.col("_score").alias("quality_score"),
+                        F.col("_posterior").alias("quality_posterior"), good.alias("keep"))
 
 
 __all__ = ["scored", "label_model", "votes", "NAMES"]

@@ -15,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.scored(docs).drop("text")
+    return quality.scored(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,3 +396,84 @@ def test_a_repeated_labelled_row_does_not_crowd_out_others(spark):
     a, b = language.train(docs, steps=20), language.train(docs.repartition(7), steps=20)
     assert sorted(a.langs) == ["aa", "bb"]
     assert all((x == y).all() for x, y in ((a.inputs, b.inputs), (a.output, b.output)))
+
+
+# ── quality by hand ──────────────────────────────────────────────────────────
+
+def plain_votes(text):
+    """The votes on a text, and its words, in plain Python."""
+    import regex
+    text = text or ""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    n, chars = len(words), max(1, len(text))
+    share = lambda p: sum(len(m) for m in regex.findall(p, text)) / chars
+    between = lambda v, good, bad: -1 if bad(v) else 1 if good(v) else 0
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    distinct = len(set(lines)) / max(1, len(lines))
+    runs = len(regex.findall(r"[^\p{L}\p{N}\s]{2,}|\s[^\p{L}\p{N}\s]\s", text)) / max(1, n)
+    repeats = sum(a == b for a, b in zip(words, words[1:])) / max(1, n)
+    kinds = len(set(words)) / max(1, n)
+    return (between(n, lambda v: v >= 40, lambda v: v < 4), between(share(r"[^\p{L}\p{N}\s]+"), lambda v: v <= 0.05, lambda v: v > 0.09),
+            between(sum(w in quality.STOPWORDS for w in words) / max(1, n), lambda v: v >= 0.08, lambda v: v < 0.02),
+            -1 if distinct < 0.6 and len(lines) > 2 else 1 if distinct > 0.9 and len(lines) > 2 else 0,
+            between(runs, lambda v: v <= 0.05, lambda v: v > 0.25), between(repeats, lambda v: v <= 0.05, lambda v: v > 0.25),
+            between(share(r"\p{Lu}+"), lambda v: v <= 0.08, lambda v: v > 0.3),
+            -1 if kinds < 0.2 and n >= 12 else 1 if kinds > 0.4 else 0), words
+
+
+def plain_posteriors(votes):
+    """Posterior of each vote pattern by expectation-maximisation over the single rows."""
+    k, rows = len(votes[0]), np.array(votes)
+    p = np.array([0.95 if min(v) >= 0 else 0.3 / sum(x < 0 for x in v) for v in votes])
+    for _ in range(60):
+        share = min(0.98, max(0.02, p.mean()))
+        odds = np.full(len(rows), np.log(share / (1 - share)))
+        for j in range(k):
+            for label, sign in ((True, 1), (False, -1)):
+                own = p if label else 1 - p
+                count = {v: weak_labels.PRIOR_SHARE * len(rows) * weak_labels.PRIOR[label][v] + own[rows[:, j] == v].sum() for v in (1, 0, -1)}
+                odds += sign * np.log(np.array([count[v] for v in rows[:, j]]) / sum(count.values()))
+        p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return p
+
+
+def plain_scores(features, p, penalty):
+    """A logistic regression with penalised standardised weights, by Newton's method, on both labels of every row."""
+    x, y = np.concatenate([features, features]), np.concatenate([np.ones(len(p)), np.zeros(len(p))])
+    w = np.concatenate([p, 1 - p])
+    x, y, w = x[w > 0.001], y[w > 0.001], w[w > 0.001]
+    w = w / w.sum()
+    mean = w @ x
+    n = len(w)
+    sd = np.sqrt(np.maximum(0, (w @ (x * x) - mean ** 2)))
+    keep = sd > 1e-9
+    design = np.concatenate([x[:, keep] / sd[keep], np.ones((n, 1))], axis=1)
+    fine = np.append(np.full(keep.sum(), penalty), 0.0)
+    beta = np.zeros(design.shape[1])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-design @ beta))
+        grad = design.T @ (w * (q - y)) + fine * beta
+        hess = (design * (w * q * (1 - q))[:, None]).T @ design + np.diag(fine + 1e-10)
+        beta -= np.linalg.solve(hess, grad)
+    own = np.concatenate([features[:, keep] / sd[keep], np.ones((len(features), 1))], axis=1)
+    return 1 / (1 + np.exp(-own @ beta))
+
+
+def test_quality_by_hand(spark):
+    rng = random.Random(5)
+    good = "the house of stone is on a hill and people come to see that garden with old trees".split()
+    texts = [" ".join(rng.choices(good, k=rng.randrange(5, 90))) + "." for _ in range(150)]
+    texts += ["".join(rng.choices("#$%&*! @", k=60)) + " buy now" for _ in range(40)]
+    texts += ["Buy now\nBuy now\nBuy now\n" * 3 for _ in range(10)] + ["NOW NOW NOW CLICK CLICK " * 8 for _ in range(15)]
+    texts += ["", None, "one two", "ÄÖÜ ÜBER " * 20, " \n \n", "a\nb\nc\na"]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS).repartition(4)
+    got = sorted(quality.scored(docs, keep=["doc_id"]).collect())
+    made = [plain_votes(t) for t in texts]
+    p = plain_posteriors([v for v, _ in made])
+    assert [r["quality_posterior"] for r in got] == pytest.approx(p.tolist(), abs=2e-3)
+    vocabulary = sorted({w for _, ws in made for w in ws})
+    features = np.array([[float(w in set(ws)) for w in vocabulary] for _, ws in made])
+    scores = plain_scores(features, p, quality.REGULARISATION)
+    assert [r["quality_score"] for r in got] == pytest.approx(scores.tolist(), abs=0.02)
+    sure = [k for k in range(len(texts)) if abs((scores[k] + p[k]) / 2 - quality.THRESHOLD) > 0.02]
+    assert all(got[k]["keep"] == (bool(made[k][1]) and (scores[k] + p[k]) / 2 >= quality.THRESHOLD) for k in sure)
