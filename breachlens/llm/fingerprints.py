@@ -88,13 +88,15 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], text: str) -> Da
     ids = docs.select(F.col(id_col).alias("id"), place.alias("place"))
     cuts = ids.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     splits = [float("-inf"), *sorted({c for c in cuts or [] if c != float("-inf")} or {0.0}), float("inf")]
-    into = Bucketizer(splits=splits, inputCol="place", outputCol="range")
+    cut = Bucketizer(splits=splits, inputCol="place", outputCol="range")
+    # whole numbers: of doubles, a window would hash another, normalised, key than the repartitioning before it
+    into = lambda df: cut.transform(df).withColumn("range", F.col("range").cast("int"))
     # one row per range, at most MOST_RANGES: its greatest id
-    tops = (into.transform(ids).groupBy("range").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    tops = (into(ids).groupBy("range").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("range")).collect())
     before = [(tops[i]["top"], tops[i]["top"] is None, tops[i - 1]["range"]) for i in range(len(tops))]
-    ghosts = spark.createDataFrame(before, f"top {docs.schema[id_col].dataType.simpleString()}, none boolean, before double")
-    own = into.transform(docs.withColumn("place", place)).join(
+    ghosts = spark.createDataFrame(before, f"top {docs.schema[id_col].dataType.simpleString()}, none boolean, before int")
+    own = into(docs.withColumn("place", place)).join(
         F.broadcast(ghosts), F.col(id_col).eqNullSafe(F.col("top")) & (F.col("none") == F.col(id_col).isNull()), "left")
     where = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")),
                     F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost")))
