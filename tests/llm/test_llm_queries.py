@@ -106,3 +106,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for r in after.groupBy("shard").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("n")).collect():
         assert (r["lo"], r["hi"]) == (0, r["n"] - 1)
     assert language.MIN_SCORE < 0.5 and "corpus_pipeline" in sys.modules
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot string, lang_pred string, spans string, row string"
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    """An empty table; and one without labels, with nulls, repeated rows and columns named like those of the stages."""
+    import corpus_pipeline
+
+    texts = [f"Document number {i} has words of its own {i * i} and {i * 7} others, as {i} does." for i in range(rows)]
+    made = [(i if i % 9 else None, t if i % 7 else None, None, None if i % 3 else "s", i, "a", None, "x", "1", "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(made + made[:10], ODD)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("b1", "nothing that any of these documents says in ten consecutive words at all")] if rows else [],
+                          "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    got = out.collect()
+    kept = {r["text"] for r in got}
+    assert kept <= {t for _, t, *_ in made if t} and bool(kept) == bool(rows)
+    assert sorted(r["slot"] for r in got if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in got)))
