@@ -16,7 +16,7 @@ a bound of the fit, as the sample is; every document gets a prediction.
 
 A document is accepted if its score reaches the bound of its predicted language, which lies ``MIN_SCORE`` of the way
 from chance (one over the number of languages) to the ``LOW`` quantile of the scores of texts that training did not see
-and the model got right: the first ``SHORT`` bytes of labelled windows, as short texts score lowest. A
+and the model got right: the first ``SHORT`` bytes of a window of every such labelled row, as short texts score lowest. A
 language with fewer than ``LEAST_HELD`` of those has no bound.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; without any labelled text every
@@ -30,11 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from breachlens.llm.arrow_text import add_columns, pieces, utf8
+from breachlens.session import written
 
 STATES = 8
 STRETCH = 64
@@ -47,6 +48,7 @@ MIN_SCORE = 0.3        # how far from chance to a language's low scores a docume
 LOW = 0.01
 SHORT = 8
 LEAST_HELD = 10
+BUCKETS = 1024         # of scores, when a quantile is looked for
 LEAST_SPLIT = 50       # languages with fewer labelled rows hold none out
 BLOCK = 4096           # stretches that step together
 PAD = 256              # the symbol after the end of a text: it keeps the state
@@ -158,23 +160,6 @@ def bounds(m: Model, min_score: float) -> np.ndarray:
     return np.nan_to_num(chance + min_score * (m.low - chance) - 1e-6, nan=0.0)
 
 
-def low_scores(m: Model, texts: list[bytes], langs: list[str]) -> np.ndarray:
-    """The ``LOW`` quantile of the scores of the texts of each language that the model gets right."""
-    low = np.full(len(m.langs), np.nan)
-    if not texts:
-        return low
-    found, score = best(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    number = {x: k for k, x in enumerate(m.langs)}
-    right: dict[int, list[float]] = {}
-    for x, k, own in zip(langs, found, score):
-        if number[x] == k:
-            right.setdefault(k, []).append(own)
-    for k, own in right.items():
-        if len(own) >= LEAST_HELD:
-            low[k] = np.quantile(own, LOW)
-    return low
-
-
 def gradients(m: Model, x: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross entropy over the positions of labelled stretches, and its gradients by backpropagation through time."""
     trace: list = []
@@ -244,7 +229,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7, steps: int = 160, b
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
           per_lang: int = PER_LANG, **options) -> Model:
-    """Fit on about ``per_lang`` hashed rows of each language, scored on a quarter as many others (the bounds on rows)."""
+    """Fit on about ``per_lang`` hashed rows of each language; the low scores come from all other labelled rows."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -263,19 +248,58 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
               .select("lang", F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"),
                       (F.col("draw") >= F.col("share")).alias("held"), "draw").distinct()     # a repeated row is drawn once
               .orderBy("draw", "lang", "text").limit(5 * per_lang * len(counts)).collect())
-    got = [(r["lang"], r["text"].encode(), r["held"]) for r in sample]
-    missing = [(x,) for x in counts.keys() - {x for x, _, held in got if not held}]   # no row drawn: the first one by hash
+    got = [(r["lang"], r["text"].encode()) for r in sample if not r["held"]]
+    missing = [(x,) for x in counts.keys() - {x for x, _ in got}]   # no row drawn: the first one by hash
     if missing:
         own = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(missing, "lang string")), "lang")
         first = own.groupBy("lang").agg(F.min(F.struct(
             draw.alias("draw"), F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).alias("text"))).alias("row"))
-        got += [(r["lang"], r["row"]["text"].encode(), False) for r in first.collect()]
+        got += [(r["lang"], r["row"]["text"].encode()) for r in first.collect()]
     got.sort()
-    m = fit([t for _, t, h in got if not h], [x for x, _, h in got if not h], **options)
-    m.low = low_scores(m, [t[:SHORT] for _, t, h in got if h], [x for x, _, h in got if h])
+    m = fit([t for _, t in got], [x for x, _ in got], **options)
+    # every row that training left out, repeated ones once
+    held = (rows.join(F.broadcast(shares), "lang").where(draw >= F.col("share"))
+            .select("lang", F.substring(F.substring(F.col("text"), place, F.lit(WINDOW_CHARS)).cast("binary"), 1, SHORT).alias("text"),
+                    F.xxhash64("key", "text").alias("row")).distinct())
+    low = {r["lang"]: r["low"] for r in low_scores(held, m).collect()}         # one row per language
+    m.low = np.array([low.get(x, np.nan) for x in m.langs])
     return m
 
 
+def low_scores(held: DataFrame, model: Model) -> DataFrame:
+    """lang, low: the exact ``LOW`` quantile of the scores of the rows (lang, text) of each language that the model gets
+    right, for languages with ``LEAST_HELD`` of them. Scores are counted by bucket, only the bucket of the quantile is ranked."""
+    sent = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        number = {x: k for k, x in enumerate(m.langs)}
+        for batch in batches:
+            lang, text = (batch.column(batch.schema.get_field_index(x)) for x in ("lang", "text"))
+            texts = text.to_pylist()
+            found, score = best(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            right = np.array([number[x] for x in lang.to_pylist()], int) == found
+            yield pa.RecordBatch.from_arrays([lang.filter(pa.array(right)), pa.array(score[right])], names=["lang", "score"])
+
+    scores = (held.select("lang", "text").mapInArrow(run, "lang string, score double")
+              .groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("score") * BUCKETS)))
+    scores = written(scores, "low-scores")
+    own = Window.partitionBy("lang")
+    before = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = scores.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).select(
+        "lang", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.col("n").alias("own"), F.sum("n").over(own).alias("total"))
+    at = (F.col("total") - 1) * LOW
+    holds = lambda p, start, n: (p >= start) & (p < start + n)
+    near = lambda start, n: holds(F.floor(at), start, n) | holds(F.ceil(at), start, n)
+    wanted = buckets.where((F.col("total") >= LEAST_HELD) & near(F.col("start"), F.col("own")))          # at most two a language
+    inside = Window.partitionBy("lang", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = scores.join(F.broadcast(wanted), ["lang", "bucket"]).withColumn(
+        "first", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    value = lambda p: F.max(F.when(holds(p, F.col("first"), F.col("n")), F.col("score")))
+    ends = ranked.groupBy("lang").agg(value(F.floor(at)).alias("lo"), value(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    return ends.select("lang", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("low"))
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None,
              min_score: float | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) with ``lang_pred`` and ``score``, the pooled probability of that language.
