@@ -13,8 +13,9 @@ similarity 0.8 (edits that lie together leave J at 0.8). Texts of a few words ha
 No bucket is expanded into all pairs. First each member is aligned with a few leaders: the least and greatest class
 number of its bucket, and the least of its neighbours that also share the next one or two sketches, so the number of
 pairs is linear. The links found are joined to components. In a bucket that then still holds several components, the
-members outside the largest one are strays. All strays are a query set against all members of such buckets: blocks of
-at most ``BLOCK_BYTES`` of stray sequences go to the tasks, which look up each member's symbols in a block at once and
+members outside the largest one are strays. In buckets of at most ``PAIRED`` members each stray is aligned with the members
+of other components: at most ``PAIRED`` pairs a stray and bucket, so the work grows with the strays. The strays of larger
+buckets are a query set against all members of such buckets: blocks of at most ``BLOCK_BYTES`` of stray sequences go to the tasks, which look up each member's symbols in a block at once and
 align only pairs with enough symbols in common. So each pair in a bucket is either aligned, or both are in the largest
 component of their bucket already, and of strays only links become rows, at most one for each two components in a task.
 
@@ -43,6 +44,7 @@ SHINGLE = 5
 ELL = 2
 SKETCHES = 16
 SIMILARITY = 0.8
+PAIRED = 64
 BLOCK_BYTES = 3 << 20
 PIECE_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -258,6 +260,13 @@ def _stray_links(members: DataFrame, similarity: float, tables: Tables) -> DataF
     return out
 
 
+def _stray_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of strays and members of other components in their bucket, from rows (h, c, root, stray)."""
+    strays = mixed.where("stray").select("h", F.col("c").alias("x"), F.col("root").alias("root_x"))
+    both = strays.join(mixed.select("h", F.col("c").alias("y"), F.col("root").alias("root_y")), "h").where("root_x <> root_y")
+    return both.select(*_ordered("x", "y")).distinct()
+
+
 def _ordered(x: str, y: str) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -308,12 +317,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     pairs = tables.put(leaders.where("c <> leader").select(*_ordered("c", "leader")).distinct())
     links = tables.put(_alike(pairs, sequences, similarity))
     roots = components(links, tables)
-    own = members.where("m > 3").select("h", "c").join(roots, "c", "left").select("h", "c", F.coalesce("root", "c").alias("root"))
+    own = members.where("m > 3").select("h", "c", "m").join(roots, "c", "left").select("h", "c", "m", F.coalesce("root", "c").alias("root"))
     sizes = own.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
-    mixed = tables.put(own.join(main.where("roots > 1"), "h").groupBy("c", "root").agg(F.max(F.expr("root <> main")).alias("stray")))
+    mixed = tables.put(own.join(main.where("roots > 1"), "h").select("h", "m", "c", "root", F.expr("root <> main").alias("stray")))
     if not mixed.isEmpty():
-        found = _stray_links(tables.put(sequences.join(mixed, "c")), similarity, tables)
+        found = tables.put(_alike(_stray_pairs(mixed.where(F.col("m") <= PAIRED)), sequences, similarity))
+        wide = tables.put(mixed.where(F.col("m") > PAIRED).groupBy("c", "root").agg(F.max("stray").alias("stray")))
+        if not wide.isEmpty():
+            found = found.union(_stray_links(tables.put(sequences.join(wide, "c")), similarity, tables))
         roots = joined_components(roots, found, tables)
     own = rows.groupBy("c").agg(F.min(F.struct("id", *KEY)).alias("least"), F.count(F.lit(1)).alias("rows"))
     own = tables.put(own.join(roots, "c", "left").select("c", "least", "rows", F.coalesce("root", "c").alias("root")))
