@@ -1,0 +1,73 @@
+"""Work of a level of trees: rows placed by the entries of the cuts, batches taken together, sums of drawn inputs only."""
+
+import numpy as np
+import pyarrow as pa
+
+from breachlens.plans import forest
+from breachlens.plans.forest import Tree, _blocks, _Rows
+
+
+def batch(rng, n, width):
+    rows = [{int(i): float(rng.choice([-1.5, 0.0, 1.0, 2.0])) for i in sorted(rng.choice(width, rng.integers(0, 5), replace=False))} for _ in range(n)]
+    places, values = (pa.array([list(x) for x in ([r.keys() for r in rows], [r.values() for r in rows])[k]], t)
+                      for k, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.float64()))))
+    return rows, places, values
+
+
+def test_rows_reach_their_leaves():
+    rng = np.random.default_rng(7)
+    rows, places, values = batch(rng, 300, 12)
+    made = _Rows(places, values)
+    for _ in range(20):
+        tree = Tree()
+        for node in range(15):
+            if node < len(tree.cut) and rng.random() < 0.8:
+                tree.split(node, int(rng.integers(0, 14)), float(rng.choice([-2.0, -1.0, 0.0, 1.5])), 0.1)
+        want = []
+        for r in rows:
+            k = 0
+            while tree.cut_input[k] >= 0:
+                k = tree.left[k] + (r.get(tree.cut_input[k], 0.0) > tree.cut[k])
+            want.append(k)
+        assert made.nodes(tree.cuts).tolist() == want
+        assert made.nodes(tree.cuts, np.arange(len(tree.cut)) * 0.5).tolist() == [k * 0.5 for k in want]
+
+
+def test_entries_of_inputs():
+    rows, places, values = batch(np.random.default_rng(8), 200, 9)
+    made = _Rows(places, values)
+    inputs = np.array([3, 3, 8, 20, 0])
+    e, pair = made.of_inputs(inputs)
+    assert sorted(zip(pair.tolist(), made.row[e].tolist(), made.value[e].tolist())) == sorted(
+        (k, i, r[f]) for k, f in enumerate(inputs.tolist()) for i, r in enumerate(rows) if f in r)
+    assert len(_Rows(places.slice(0, 0), values.slice(0, 0)).of_inputs(inputs)[0]) == 0
+
+
+def test_batches_are_taken_together(monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_ENTRIES", 100)
+    parts = [pa.RecordBatch.from_arrays([pa.array([[1, 2]] * n, pa.list_(pa.int32())), pa.array([[1.0, 1.0]] * n), pa.array([0] * n),
+                                         pa.array([[1.0]] * n)], names=["places", "values", "label", "weights"]) for n in (20, 20, 20, 80, 1)]
+    assert [len(b[0]) for b in _blocks(iter(parts))] == [40, 20, 80, 1]
+
+
+def test_few_and_many_drawn_inputs_give_the_same_sums():
+    """The two ways to find the entries of drawn inputs, by input and by entry."""
+    class Sent:
+        pass
+
+    rng = np.random.default_rng(9)
+    _, places, values = batch(rng, 400, 10)
+    columns = [places, values, pa.array(rng.integers(0, 2, 400), pa.int32()), pa.array(rng.choice([0.0, 1.0, 2.0], (400, 2)).tolist())]
+    log = pa.RecordBatch.from_arrays(columns, names=["places", "values", "label", "weights"])
+    tree = Tree()
+    tree.split(0, 3, 0.0, 0.1)
+    Sent.value = ([tree.cuts, tree.cuts], [0, 1], {0: [1, 2], 1: [2]}, {4: np.array([-1.0, 0.0, 1.5])})
+    sums = {}
+    for k in (3, 10):                  # 3 of 10 inputs are fewer than all entries, 10 are not
+        out = pa.Table.from_batches(forest._grower(Sent, 5, 10, k)(iter([log]))).to_pylist()
+        sums[k] = {(r["tree"], r["node"], r["input"], r["bin"]): (r["w0"], r["w1"]) for r in out}
+        assert all(w0 + w1 > 0 for w0, w1 in sums[k].values())
+    few = {(t, n): {i for a, b, i, _ in sums[3] if (a, b) == (t, n) and i >= 0} for t, n, _, _ in sums[3]}
+    assert few and all(len(v) <= 3 for v in few.values())
+    want = {key: w for key, w in sums[10].items() if key[2] < 0 or key[2] in few[key[:2]]}
+    assert sums[3] == want
