@@ -1,10 +1,21 @@
-"""Work of a level of trees: rows placed by the entries of the cuts, batches taken together, sums of drawn inputs only."""
+"""Work of a level of trees: rows placed by the entries of the cuts, batches taken together, sums of drawn inputs only.
+Shuffles and files of the stand-in log."""
+
+import glob
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from breachlens import catalog
 from breachlens.plans import forest
 from breachlens.plans.forest import Tree, _blocks, _Rows
+from breachlens.schema import LOG_ORDER
+from breachlens.sources import event_log as src
+from breachlens.sources.stand_in import stand_in_event_log, ticket_number
+
+SF = "/root/testdata/sf0.001"
 
 
 def batch(rng, n, width):
@@ -71,3 +82,52 @@ def test_few_and_many_drawn_inputs_give_the_same_sums():
     assert few and all(len(v) <= 3 for v in few.values())
     want = {key: w for key, w in sums[10].items() if key[2] < 0 or key[2] in few[key[:2]]}
     assert sums[3] == want
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Plans as of tables that are too large to broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_events_are_grouped_where_they_were_joined(spark, shuffled_joins):
+    """Line items for part and order, part, orders for customer and line item, customers: the summary adds no shuffle."""
+    joined = stand_in_event_log(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    for name in ("sla_label", "incident_summary"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == joined == 6
+
+
+def test_ticket_numbers_tell_order_keys_apart(spark):
+    keys = [None, 0, 1, -1, 10, 100000, 999999, 1000000, 9999999, 10000000, -100000, -1000000, 2**63 - 1, -2**63]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", ticket_number(F.col("k")).alias("n")).collect()
+    assert all((r["n"] is None) == (r["k"] is None) for r in rows) and len({r["n"] for r in rows}) == len(keys)
+
+
+def test_risk_drivers_reads_the_log_once(spark, shuffled_joins):
+    plan = catalog.QUERIES["risk_drivers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan          # they lie behind the written table
+
+
+def test_a_compressed_log_is_read_like_a_plain_one(spark, tmp_path):
+    rows = [(f"INC{i}", i, f'a "quoted"\nsecond, {i}' if i % 2 else "plain") for i in range(50)]
+    log = spark.createDataFrame(rows, "number string, sys_mod_count int, category string").repartition(3)
+    plain = src.write_event_log_csv(log, str(tmp_path / "plain"))
+    packed = src.write_event_log_csv(log, str(tmp_path / "packed"), compression="gzip")
+    assert len(glob.glob(f"{packed}/*.csv.gz")) == len(glob.glob(f"{plain}/*.csv")) == 3
+    read = lambda p: sorted(map(tuple, src.read_event_log(spark, p).drop(LOG_ORDER).collect()))
+    assert read(packed) == read(plain) == sorted(rows)
+
+
+def test_the_scanned_logs_are_written_compressed(spark, monkeypatch):
+    kinds, write = [], src.write_event_log_csv
+    monkeypatch.setattr(src, "write_event_log_csv", lambda *a, **k: kinds.append(k.get("compression")) or write(*a, **k))
+    for name in ("scan_event_log", "scan_iso_log", "scan_quoted_log"):
+        assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert kinds == ["gzip"] * 4
