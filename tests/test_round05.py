@@ -1,14 +1,17 @@
-"""What picking and reporting candidates repeats: the split, the encoded test part."""
+"""What picking and reporting candidates repeats: the split, the encoded test part, the weights of the forest's rows."""
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from breachlens import catalog, session
 from breachlens.operators import split
-from breachlens.plans import training
+from breachlens.plans import forest, training
 from breachlens.plans.encoding import OneHotEncoder, same_vectors
+from breachlens.plans.forest import BalancedForest, draws
 
 SCHEMA = "number string, hours double, category string, note string, sla_breached int"
 SMALL = training.TrainConfig(rf_trees=4, rf_groups=2, rf_max_depth=3, lr_max_iter=5)
@@ -86,3 +89,44 @@ def test_a_written_table_is_read_with_its_schema(spark):
 def test_prepare_weighs_classes_as_their_rows_do(spark, fitted):
     prep, _ = fitted
     assert prep.sum_weights == pytest.approx(prep.train.agg(F.sum(training.WEIGHT)).first()[0], rel=1e-12)
+
+
+def test_forest_rows_hold_draws(spark, fitted, monkeypatch):
+    prep, _ = fitted
+    kept, write = [], forest.written
+    monkeypatch.setattr(forest, "written", lambda df, name: kept.append(write(df, name)) or kept[-1])
+    model = training.train_candidates(prep, training.TrainConfig(rf_trees=4, rf_groups=2, rf_max_depth=3, candidates=("random_forest",)))
+    assert isinstance(model["random_forest"].classifier, BalancedForest)
+    (table,) = kept
+    assert dict(table.dtypes)["weights"] == "array<tinyint>"
+    want = prep.train.select(*[F.sum(draws(F.col("number"), g, SMALL.seed)) for g in range(2)]).first()
+    assert table.select(*[F.sum(F.col("weights")[g]) for g in range(2)]).first() == want
+
+
+def test_draws_and_class_weights_give_the_sums_of_weights():
+    class Sent:
+        value = ([([-1], [0.0], [-1])] * 2, [0, 1], {0: [0], 1: [0]}, {1: np.array([-1.0, 0.0, 1.5])})
+
+    rng = np.random.default_rng(3)
+    places = pa.array([[0, 1, 2][:n] for n in rng.integers(0, 4, 200)], pa.list_(pa.int32()))
+    values = pa.array([rng.choice([-2.0, 0.0, 1.0, 2.0], n).tolist() for n in np.asarray(places.value_lengths())], pa.list_(pa.float64()))
+    label, drawn = rng.integers(0, 2, 200), rng.integers(0, 3, (200, 2))
+    of_class = np.array([[0.75, 0.5], [1.5, 2.0]])
+
+    def sums(weights, kind, *more):
+        columns = [places, values, pa.array(label, pa.int32()), pa.array(weights.tolist(), pa.list_(kind))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["places", "values", "label", "weights"])
+        return pa.Table.from_batches(forest._grower(Sent, 5, 3, 3, *more)(iter([batch]))).to_pylist()
+
+    found = sums(drawn, pa.int8(), of_class)
+    assert found == sums(drawn * of_class[label], pa.float64()) and len(found) > 10
+
+
+def test_quantiles_are_taken_of_inputs_with_other_values(spark):
+    vectors = [([0, 1, 2], [float(i), 1.0, -1.0 if i % 5 == 0 else 1.0]) if i % 2 else ([1, 3], [0.0, 1.0]) for i in range(200)]
+    rows = spark.createDataFrame(vectors, "places array<int>, values array<double>")
+    cuts = forest._cut_points(rows)
+    assert sorted(cuts) == [0, 2]                         # 1 and 3 hold 0 and 1 only
+    assert cuts[2].tolist() == [-1.0, 0.0] and len(cuts[0]) == forest.MAX_BINS - 1
+    assert cuts[0].tolist() == sorted(cuts[0]) and cuts[0][0] == 0.0 and cuts[0][-1] < 199.0
+    assert forest._cut_points(rows.where("places[0] = 1")) == {}
