@@ -1,0 +1,122 @@
+"""What the driver holds of models with many inputs, and what a log leaves on disk."""
+
+import random
+from array import array
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from breachlens.plans import certificates as ce
+from breachlens.plans import forest, logistic, scoring, training
+from breachlens.plans.encoding import FEATURES
+from breachlens.plans.forest import Tree
+
+SCHEMA = "number string, hours double, category string, caller string, sla_breached int"
+LOGREG = training.TrainConfig(candidates=("logreg",))
+
+
+def incidents(spark, n=900, seed=3):
+    """Callers with a few rows each, one with a third of them, and rows without one."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        caller = None if i % 11 == 0 else "hot" if i % 3 == 0 else f"c{rng.randrange(200)}"
+        late = rng.random() < (0.6 if caller and caller[-1] in "137" else 0.25)
+        rows.append((f"I{i}", rng.gauss(3 if late else 0, 2) + 50, rng.choice("ab" if late else "bc"), caller, int(late)))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def prepared(spark):
+    prep = training.prepare(incidents(spark))
+    prep.modes["caller"] = None                # incidents without a caller have no input of the column
+    return prep
+
+
+def scores(frame):
+    return {r["number"]: r[training.PROB] for r in training.positive_probability(frame).collect()}
+
+
+def test_a_wide_regression_is_that_of_the_library(spark, prepared, monkeypatch, tmp_path):
+    library = training.train_candidates(prepared, LOGREG)["logreg"]
+    monkeypatch.setattr(training, "MOST_DENSE", 0)
+    monkeypatch.setattr(LogisticRegression, "fit", lambda *a: pytest.fail("all coefficients on the driver"))
+    wide = training.train_candidates(prepared, LOGREG)["logreg"]
+    first, last = wide.classifier.private
+    assert len(wide.classifier.shared) == wide.encoder.width - (last - first) == 1 + 3 + 1        # the hot caller is shared
+    of = lambda m: {r["feature"]: r["weight"] for r in training.model_inputs(m, spark).collect()}
+    want, got = of(library), of(wide)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=5e-3) for k in want)
+    assert "caller__ohe_hot" in got and "(intercept)" in got
+    slopes = [r["slope"] for r in ce.optimality(wide, prepared).collect()]
+    assert len(slopes) == wide.encoder.width + 1 and max(map(abs, slopes)) < 1e-5
+    # unseen callers, callers without a value and others
+    test = prepared.test.withColumn("caller", F.when(F.col("number").endswith("5"), "never seen").otherwise(F.col("caller")))
+    a, b = scores(library.transform(test)), scores(wide.transform(test))
+    assert a.keys() == b.keys() and len(b) == test.count() and all(b[k] == pytest.approx(a[k], abs=2e-3) for k in a)
+    loaded = training.load_model(training.save_model(wide, str(tmp_path / "m")))
+    assert scores(loaded.transform(test)) == b
+    scored = scoring.score_incidents(loaded, test)
+    assert scored.columns == [*test.columns, training.PROB, "risk_band", "recommended_action"] and scored.count() == len(b)
+
+
+def test_rows_of_a_private_input_stay_together(spark, monkeypatch):
+    """Records of whole inputs, also where a batch ends in the middle of one."""
+    import pyarrow as pa
+    monkeypatch.setattr(logistic, "MOST_ROWS", 3)
+    own = [-9, -9, -5, -5, -5, -5, 4, 4, 5, 6, 6, 6]
+    places = [[0, 7, k] if k >= 0 else [0, 7] for k in own]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(own, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array([[float(i), 1.0, 1.0][:len(p)] for i, p in enumerate(places)]),
+         pa.array([float(i % 2) for i in range(12)]), pa.array([1.0 + i for i in range(12)])], names=["key", "places", "values", "label", "weight"])
+    for parts in ([12], [7, 5], [1] * 12, [10, 2]):
+        ends = np.cumsum(parts)
+        batches = [batch.slice(b - n, n) for n, b in zip(parts, ends)]
+        records = [r for out in logistic._packer((4, 7))(iter(batches)) for r in out.to_pylist()]
+        held = [(r["private"], r["weight"]) for r in records if r["private"] >= 0]
+        assert held == [(4, [7.0, 8.0]), (5, [9.0]), (6, [10.0, 11.0, 12.0])]
+        free = [r for r in records if r["private"] < 0]
+        assert sum((r["weight"] for r in free), []) == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and all(len(r["weight"]) <= 3 for r in free)
+        assert all(r["size"] == [2] * len(r["label"]) and r["places"] == [0, 4] * len(r["label"]) for r in records)     # 7 is the fifth shared one
+        assert sum((r["values"][::2] for r in records), []) == [float(i) for i in range(12)]
+
+
+def test_the_search_ends_at_the_least_value():
+    a = np.array([[4.0, 1.0, 0.0], [1.0, 3.0, 0.5], [0.0, 0.5, 0.2]])
+    b, calls = np.array([1.0, -2.0, 0.3]), []
+
+    def value(x):
+        calls.append(1)
+        return float(x @ a @ x / 2 - b @ x), a @ x - b
+
+    assert logistic.minimised(value, np.zeros(3), 100, 1e-12) == pytest.approx(np.linalg.solve(a, b), rel=1e-5)
+    calls.clear()
+    logistic.minimised(value, np.zeros(3), 1, 1e-12)
+    assert len(calls) < 10
+
+
+def test_one_class_and_no_private_input(spark):
+    rows = spark.createDataFrame([(f"I{i}", i % 2, 1.0, float(i % 5)) for i in range(40)], "n string, y int, w double, x double")
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["x"], outputCol=FEATURES).transform(rows)
+    model = logistic.WideLogistic.fit(rows, "y", "w", FEATURES, 1, (1, 1), 1 / 40, 50)
+    want = LogisticRegression(featuresCol=FEATURES, labelCol="y", weightCol="w", regParam=1 / 40, standardization=False, maxIter=50).fit(rows)
+    assert model.shared[0] == pytest.approx(want.coefficients[0], abs=1e-4) and model.intercept == pytest.approx(want.intercept, abs=1e-3)
+    assert model.weights(spark).count() == 1
+
+
+def test_trees_are_packed_and_weights_are_those_of_cut_inputs(spark, prepared, monkeypatch, tmp_path):
+    assert isinstance(Tree().cut, array) and sum(getattr(Tree(), c).itemsize for c in ("cut_input", "cut", "left", "gain", "weight", "p")) == 40
+    cfg = training.TrainConfig(rf_trees=6, rf_groups=2, rf_max_depth=4, candidates=("random_forest",))
+    model = training.train_candidates(prepared, cfg)["random_forest"]
+    used, weights = model.classifier.importances
+    dense = model.classifier.featureImportances.toArray()
+    assert weights.sum() == pytest.approx(1.0) and (dense[used] == weights).all() and np.count_nonzero(dense) <= len(used) < len(dense)
+    monkeypatch.setattr(forest, "DenseVector", lambda *a: pytest.fail("all inputs on the driver"))
+    got = {r["idx"]: r["weight"] for r in training.input_weights(model, spark).collect()}
+    assert [got[i] for i in range(len(dense))] == dense.tolist()
+    loaded = training.load_model(training.save_model(model, str(tmp_path / "f")))
+    trees = lambda m: [t for g in m.classifier.groups for t in g.trees]
+    assert trees(loaded) == trees(model) and [g.getNumTrees for g in loaded.classifier.groups] == [3, 3]
