@@ -1,6 +1,8 @@
 """What the driver holds of models with many inputs, and what a log leaves on disk."""
 
+import os
 import random
+import re
 from array import array
 
 import numpy as np
@@ -8,10 +10,14 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from breachlens import catalog, session
+from breachlens.operators import summary
 from breachlens.plans import certificates as ce
 from breachlens.plans import forest, logistic, scoring, training
 from breachlens.plans.encoding import FEATURES
 from breachlens.plans.forest import Tree
+from breachlens.schema import LOG_ORDER
+from breachlens.sources import event_log as src
 
 SCHEMA = "number string, hours double, category string, caller string, sla_breached int"
 LOGREG = training.TrainConfig(candidates=("logreg",))
@@ -120,3 +126,72 @@ def test_trees_are_packed_and_weights_are_those_of_cut_inputs(spark, prepared, m
     loaded = training.load_model(training.save_model(model, str(tmp_path / "f")))
     trees = lambda m: [t for g in m.classifier.groups for t in g.trees]
     assert trees(loaded) == trees(model) and [g.getNumTrees for g in loaded.classifier.groups] == [3, 3]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return set(re.findall(r"shuffle_\d+_\S+", files))
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffle_files(spark)
+    back = session.written(df, "t")
+    assert shuffle_files(spark) <= before and back.count() == 7
+    conf = spark.conf.get(session.FREE_SHUFFLES, None)
+    with session.shuffles_freed(spark), session.shuffles_freed(spark):
+        df, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), shuffle_files(spark)
+        assert len(df.collect()) == 7 and len(df.collect()) == 7
+        assert sorted(session.at_once(spark, [df.count, lambda: df.agg(F.sum("count")).first()[0]])) == [7, 1000]
+        assert shuffle_files(spark) <= before
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == conf
+    with pytest.raises(ZeroDivisionError), session.shuffles_freed(spark):
+        1 / 0
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == conf
+
+
+def test_files_are_numbered_in_the_order_of_their_keys(spark, tmp_path):
+    """The tenth file comes after the ninth, and a summary is that of the whole keys."""
+    rng = random.Random(5)
+    for n in (1, 2, 9, 10, 11):
+        rows = [f"T{rng.randrange(6)},{rng.choice(['', 'a', 'b', 'c'])},{rng.choice(['', 'x', 'y'])},{rng.choice(['true', 'false'])}" for _ in range(40)]
+        (tmp_path / f"log_{n}.csv").write_text("\n".join(["number,category,priority,made_sla", *rows]) + "\n")
+    path = str(tmp_path)
+    whole, short = src.read_event_log(spark, path), src.read_event_log(spark, path, numbered=True)
+    assert dict(short.dtypes)[LOG_ORDER] == "struct<file:int,block:bigint,row:bigint>"
+    rows = lambda log: [tuple(r) for r in log.orderBy(LOG_ORDER).drop(LOG_ORDER).collect()]
+    assert rows(short) == rows(whole) and len(rows(short)) == 200
+    assert [r[0] for r in short.select(f"{LOG_ORDER}.file").distinct().orderBy("file").collect()] == [1, 2, 3, 4, 5]
+    of = lambda log: sorted(map(tuple, summary.incident_summary(log).collect()))
+    assert of(short) == of(whole) and len(of(short)) == 6
+
+
+def test_a_file_that_came_meanwhile_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("number,made_sla\nT1,true\n")
+    (tmp_path / "b.csv").write_text("number,made_sla\nT2,true\n")
+    parts = [p.select("*", src._plain_order().alias(LOG_ORDER)) for p in src._raw_csv(spark, str(tmp_path), False)]
+    keys = src._file_keys(spark, str(tmp_path / "a.csv"))
+    assert src._keyed(parts[0], keys).count() == 2
+    with pytest.raises(Exception, match="A file came while the log was read"):
+        src._keyed(parts[0], keys, numbered=True).collect()
+
+
+def test_the_state_of_a_first_value_holds_it_once(spark):
+    log = spark.createDataFrame([("T1", 2, "late"), ("T1", 1, None), ("T1", 3, "a"), ("T1", None, "0"), ("T2", 1, None)], "number string, o int, category string")
+    order = summary.order_key(log.columns, "o")
+    out = log.groupBy("number").agg(summary.first_non_null("category", order).alias("f"), summary.last_non_null("category", order).alias("l"))
+    assert {r["number"]: (r["f"], r["l"]) for r in out.collect()} == {"T1": ("late", "0"), "T2": (None, None)}
+    assert "min_by" not in out._jdf.queryExecution().toString() and "max_by" not in out._jdf.queryExecution().toString()
+
+
+def test_another_log_is_packed_and_leaves_nothing_else(spark):
+    before = shuffle_files(spark)
+    path = catalog.another_log(spark, "/root/testdata/sf0.001")
+    names = [n for n in os.listdir(path) if not n.startswith((".", "_"))]
+    assert names and all(n.endswith(".csv.gz") for n in names) and shuffle_files(spark) <= before
+    assert not [n for n in os.listdir(os.path.dirname(path)) if n.startswith("upload-rows")]
+    log = src.read_event_log(spark, path, numbered=True)
+    seen = [r[0] for r in log.orderBy(LOG_ORDER).select("sys_updated_at").collect()]
+    source = catalog.event_log(spark, "/root/testdata/sf0.001")
+    assert seen == sorted(seen) and len(seen) == source.count()
+    assert log.select("number").distinct().count() == source.select("number").distinct().count()
