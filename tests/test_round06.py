@@ -138,6 +138,9 @@ def test_shuffle_files_go_with_their_query(spark):
     before = shuffle_files(spark)
     back = session.written(df, "t")
     assert shuffle_files(spark) <= before and back.count() == 7
+    before = shuffle_files(spark)
+    kept = session.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert shuffle_files(spark) <= before and kept.count() == 7 and kept.agg(F.sum("count")).first()[0] == 1000
     conf = spark.conf.get(session.FREE_SHUFFLES, None)
     with session.shuffles_freed(spark), session.shuffles_freed(spark):
         df, before = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), shuffle_files(spark)
@@ -150,6 +153,15 @@ def test_shuffle_files_go_with_their_query(spark):
     assert spark.conf.get(session.FREE_SHUFFLES, None) == conf
 
 
+def test_encoding_leaves_no_shuffle_files(spark, prepared, monkeypatch):
+    from breachlens.plans import encoding
+    monkeypatch.setattr(encoding, "SMALL", 2)              # callers and categories meet their values by shuffles
+    encoder = training.fit_encoder(prepared)
+    before = shuffle_files(spark)
+    rows = encoder.encode(prepared.test)
+    assert shuffle_files(spark) <= before and rows.count() == prepared.test.count()
+
+
 def test_files_are_numbered_in_the_order_of_their_keys(spark, tmp_path):
     """The tenth file comes after the ninth, and a summary is that of the whole keys."""
     rng = random.Random(5)
